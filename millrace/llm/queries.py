@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import simhash
+from millrace.llm import bpe, simhash
 from millrace.llm.common import table
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded: ``doc_id, n_tokens, ids_sha256, decoded_sha256``."""
+    ranks, split = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = bpe.with_ids(docs, ranks, split).select("doc_id", "ids")
+    decoded = bpe.with_bytes(encoded, ranks, split)
+    n_tokens = (F.length("ids") / 4).cast("long")
+    return decoded.select("doc_id", n_tokens.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash components of all documents: ``doc_id, fingerprint, component_id``."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op8_simhash": op8_simhash}
+QUERIES = {"op1_bpe": op1_bpe, "op8_simhash": op8_simhash}
 ORACLES: dict[str, str] = {}
