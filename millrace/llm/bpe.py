@@ -15,10 +15,12 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from functools import cache
 from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,12 +87,34 @@ class RankQueue:
         return at, position
 
 
+def _characters(kind: str) -> set[str]:
+    """The characters that tiktoken's own Unicode tables put into a class."""
+    every = "".join(chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000)
+    bare = tiktoken.Encoding("bytes", pat_str=kind, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+    return set(bare.decode_bytes(bare.encode_ordinary(every)).decode())
+
+
+@cache
+def splitters(split: str) -> tuple[regex.Pattern, regex.Pattern, regex.Pattern | None]:
+    """The pattern for most texts; the one for texts with characters of which tiktoken's Unicode and this one's differ; a finder of these."""
+    exact, odd = split, set()
+    every = "".join(chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000)
+    for kind in (r"\p{L}", r"\p{N}"):
+        theirs, ours = _characters(kind), set(regex.findall(kind, every))
+        more, less = "".join(map(regex.escape, sorted(theirs - ours))), "".join(map(regex.escape, sorted(ours - theirs)))
+        odd |= theirs ^ ours
+        exact = exact.replace(kind, f"[[{kind}{more}]--[{less}]]" if less else f"[{kind}{more}]")
+    if not odd:
+        return regex.compile(split), regex.compile(split), None
+    return regex.compile(split), regex.compile(f"(?V1){exact}"), regex.compile("[" + "".join(map(regex.escape, sorted(odd))) + "]")
+
+
 class Codec:
     """Encodes and decodes by a rank table; every single byte must have a rank."""
 
     def __init__(self, ranks: dict[bytes, int], split: str):
         self.ranks = ranks
-        self.split = regex.compile(split)
+        self.usual, self.exact, self.odd = splitters(split)
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
@@ -141,7 +165,13 @@ class Codec:
     def encode(self, text: str) -> bytes:
         """The ids of a text, packed as little-endian unsigned 32-bit integers."""
         known, fresh = self.memory.get, self._packed
-        return b"".join([p if (p := known(piece)) is not None else fresh(piece) for piece in self.split.findall(text)])
+        split = self.usual
+        if self.odd is not None and not text.isascii():
+            try:
+                text.encode("latin-1")  # holds none of them, and is quickly known
+            except UnicodeEncodeError:
+                split = self.exact if self.odd.search(text) else split
+        return b"".join([p if (p := known(piece)) is not None else fresh(piece) for piece in split.findall(text)])
 
     def decode(self, packed: bytes) -> bytes:
         """The bytes that packed ids stand for."""

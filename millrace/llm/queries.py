@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, simhash
-from millrace.llm.common import table
+from millrace.llm import bpe, simhash, tokenfst
+from millrace.llm.common import table, text_of
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,5 +26,13 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op8_simhash": op8_simhash}
+def op10_tokenfst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents: ``doc_id, n_bytes, n_tokens, over_limit``."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = tokenfst.with_token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    n_bytes = F.octet_length(text_of()).cast("long").alias("n_bytes")
+    return counted.select("doc_id", n_bytes, "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+
+
+QUERIES = {"op10_tokenfst": op10_tokenfst, "op1_bpe": op1_bpe, "op8_simhash": op8_simhash}
 ORACLES: dict[str, str] = {}

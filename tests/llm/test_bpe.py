@@ -37,6 +37,13 @@ def test_codec_matches_the_library():
         assert codec.decode(packed) == text.encode()
 
 
+def test_every_character_splits_as_in_the_library():
+    codec = bpe.Codec(RANKS, P.PATTERN)
+    for i in [*range(0x3500), *range(0xA000, 0xD800, 17), *range(0xE000, 0x110000, 97), 0x11DE0]:
+        text = f"b{chr(i)}b1{chr(i)}1?{chr(i)}?"
+        assert memoryview(codec.encode(text)).cast("I").tolist() == LIBRARY.encode_ordinary(text), hex(i)
+
+
 def test_memory_stays_bounded(monkeypatch):
     monkeypatch.setattr(bpe, "MEMORY", 5)
     codec = bpe.Codec(RANKS, P.PATTERN)
