@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, simhash, tokenfst
+from millrace.llm import bpe, reshard, simhash, tokenfst
 from millrace.llm.common import table, text_of
 
 
@@ -20,6 +20,14 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", n_tokens.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in shards 0 to 7 of near-equal bytes, from five shards by source: moves the fewest bytes."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    placed = reshard.reshard(docs, F.pmod(F.crc32("source"), F.lit(5)), 8)
+    law, grown = F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    return placed.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown, "old_shard")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash components of all documents: ``doc_id, fingerprint, component_id``."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -34,5 +42,5 @@ def op10_tokenfst(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", n_bytes, "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
-QUERIES = {"op10_tokenfst": op10_tokenfst, "op1_bpe": op1_bpe, "op8_simhash": op8_simhash}
+QUERIES = {"op7_reshard": op7_reshard, "op10_tokenfst": op10_tokenfst, "op1_bpe": op1_bpe, "op8_simhash": op8_simhash}
 ORACLES: dict[str, str] = {}
