@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, reshard, simhash, tokenfst
+from millrace.llm import bpe, gam, reshard, simhash, tokenfst
 from millrace.llm.common import table, text_of
 
 
@@ -20,6 +20,14 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", n_tokens.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents: ``doc_id, held_out, score, predicted``."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = gam.learn(docs, table(spark, sf_dir, "labels"))
+    scored = gam.with_score(docs, model)
+    return scored.select("doc_id", gam.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in shards 0 to 7 of near-equal bytes, from five shards by source: moves the fewest bytes."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -42,5 +50,5 @@ def op10_tokenfst(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", n_bytes, "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
-QUERIES = {"op7_reshard": op7_reshard, "op10_tokenfst": op10_tokenfst, "op1_bpe": op1_bpe, "op8_simhash": op8_simhash}
+QUERIES = {"op5_gam": op5_gam, "op7_reshard": op7_reshard, "op10_tokenfst": op10_tokenfst, "op1_bpe": op1_bpe, "op8_simhash": op8_simhash}
 ORACLES: dict[str, str] = {}
