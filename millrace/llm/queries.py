@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, gam, reshard, simhash, tokenfst
+from millrace.llm import blockknn, bpe, gam, reshard, simhash, tokenfst
 from millrace.llm.common import table, text_of
 
 
@@ -42,6 +42,12 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_blockknn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth embedding among all: ``query_id, rank, vec_id, score``."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return blockknn.nearest(vectors.filter("vec_id % 20 = 0"), vectors, 20)
+
+
 def op10_tokenfst(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents: ``doc_id, n_bytes, n_tokens, over_limit``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -50,5 +56,5 @@ def op10_tokenfst(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", n_bytes, "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
-QUERIES = {"op5_gam": op5_gam, "op7_reshard": op7_reshard, "op10_tokenfst": op10_tokenfst, "op1_bpe": op1_bpe, "op8_simhash": op8_simhash}
+QUERIES = {"op9_blockknn": op9_blockknn, "op5_gam": op5_gam, "op7_reshard": op7_reshard, "op10_tokenfst": op10_tokenfst, "op1_bpe": op1_bpe, "op8_simhash": op8_simhash}
 ORACLES: dict[str, str] = {}

@@ -1,0 +1,45 @@
+"""The block matrix join against brute force."""
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from millrace.llm import blockknn
+from millrace.llm.queries import op9_blockknn
+
+
+def brute(ids, x, queries, k):
+    out = []
+    for q in queries:
+        scores = [(-float((x[q] * x[j]).sum()), int(ids[j])) for j in range(len(ids)) if ids[j] != ids[q]]
+        out += [(int(ids[q]), r, i, -s) for r, (s, i) in enumerate(sorted(scores)[:k], 1)]
+    return out
+
+
+def test_cell_matches_brute_force(monkeypatch):
+    monkeypatch.setattr(blockknn, "TILE_ROWS", 37)
+    monkeypatch.setattr(blockknn, "TILE_QUERIES", 5)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 24)) * rng.choice([1e-3, 1, 50], size=(400, 1))
+    x[100:180] = x[7]
+    ids = np.arange(400) * 3
+    found = sorted(blockknn.cell_best(ids[:40], x[:40], ids, x, 6))
+    assert found == sorted((q, i, s) for q, _, i, s in brute(ids, x, range(40), 6))
+
+
+def test_query_has_full_recall(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").orderBy("vec_id").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], np.float64)
+    got = sorted(map(tuple, op9_blockknn(spark, sf_dir).select("query_id", "rank", "vec_id", "score").collect()))
+    want = brute(ids, x, [i for i, v in enumerate(ids) if v % 20 == 0], 20)
+    assert [g[:3] for g in got] == [w[:3] for w in sorted(want)]
+    assert np.allclose([g[3] for g in got], [w[3] for w in sorted(want)], rtol=0, atol=1e-14)
+
+
+def test_odd_vectors(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, None), (3, [nan, 1.0]), (4, [None, 1.0]), (5, [0.0, 0.0]), (6, [inf, 1.0]), (7, [1.0]), (8, [0.5, 0.5]), (None, [9.0, 9.0]), (1, [0.5, 0.5]), (9, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit("clash"))
+    got = blockknn.nearest(df.filter("vec_id = 0 or vec_id = 5"), df, 9).orderBy("rank").collect()
+    assert [(r.query_id, r.vec_id, r.score) for r in got] == [(0, 7, 1.0), (0, 1, 0.5), (0, 1, 0.5), (0, 8, 0.5)]
+    assert blockknn.nearest(df.limit(0), df, 3).count() == 0
+    assert blockknn.nearest(df, df.limit(0), 3).count() == 0
