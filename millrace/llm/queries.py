@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import blockknn, bpe, gam, reshard, simhash, tokenfst
+from millrace.llm import blockknn, bpe, gam, mtree, reshard, simhash, tokenfst
 from millrace.llm.common import table, text_of
 
 
@@ -20,6 +20,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", n_tokens.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 largest integer inner products of every hundredth embedding among all: ``query_id, rank, vec_id, score``."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return mtree.top_k(vectors.filter("vec_id % 100 = 0"), vectors, 10)
+
+
 def op5_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents: ``doc_id, held_out, score, predicted``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -56,5 +62,19 @@ def op10_tokenfst(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", n_bytes, "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
-QUERIES = {"op9_blockknn": op9_blockknn, "op5_gam": op5_gam, "op7_reshard": op7_reshard, "op10_tokenfst": op10_tokenfst, "op1_bpe": op1_bpe, "op8_simhash": op8_simhash}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op2_mtree": op2_mtree, "op9_blockknn": op9_blockknn, "op5_gam": op5_gam, "op7_reshard": op7_reshard, "op10_tokenfst": op10_tokenfst, "op1_bpe": op1_bpe, "op8_simhash": op8_simhash}
+ORACLES: dict[str, str] = {
+    "op2_mtree": """
+        with v as (
+            select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as e
+            from embeddings
+            where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        ), scored as (
+            select q.vec_id as query_id, c.vec_id as vec_id, list_inner_product(q.e, c.e)::bigint as score
+            from v q join v c on q.vec_id % 100 = 0 and q.vec_id != c.vec_id
+        ), ranked as (
+            select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::integer as rank, vec_id, score from scored
+        )
+        select * from ranked where rank <= 10
+    """,
+}
