@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import blockknn, bpe, gam, mtree, reshard, simhash, tokenfst
+from millrace.llm import blockknn, bpe, chat, gam, mtree, reshard, simhash, tokenfst
 from millrace.llm.common import table, text_of
 
 
@@ -26,6 +26,14 @@ def op2_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.top_k(vectors.filter("vec_id % 100 = 0"), vectors, 10)
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one of control strings, formatted in windows of 2048 tokens and read back."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.format_windows(turns.unionByName(extra), public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def op5_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents: ``doc_id, held_out, score, predicted``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -62,7 +70,7 @@ def op10_tokenfst(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", n_bytes, "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
-QUERIES = {"op2_mtree": op2_mtree, "op9_blockknn": op9_blockknn, "op5_gam": op5_gam, "op7_reshard": op7_reshard, "op10_tokenfst": op10_tokenfst, "op1_bpe": op1_bpe, "op8_simhash": op8_simhash}
+QUERIES = {"op3_chat": op3_chat, "op2_mtree": op2_mtree, "op9_blockknn": op9_blockknn, "op5_gam": op5_gam, "op7_reshard": op7_reshard, "op10_tokenfst": op10_tokenfst, "op1_bpe": op1_bpe, "op8_simhash": op8_simhash}
 ORACLES: dict[str, str] = {
     "op2_mtree": """
         with v as (
