@@ -1,14 +1,16 @@
 """Byte-level BPE encoding and decoding by a rank queue.
 
-The pairs of a piece that can merge wait in one bucket for each merge rank; a bucket holds
-positions in the linked list of the piece's symbols. A three-level bitmap of 64-bit words says
-which buckets have entries, so find-first-set on three words gives the lowest rank. Merging
-does not take neighbours' old entries out: an entry whose pair has since changed is stale and
-is skipped when its turn comes. A piece of n bytes costs O(n log n) whatever its length, where
+The pairs of symbols that can merge wait in one bucket for each merge rank; a bucket holds
+positions in the linked list of symbols. A three-level bitmap of 64-bit words says which
+buckets have entries, so find-first-set on three words gives the lowest rank. Merging does
+not take neighbours' old entries out: an entry whose pair has since changed is stale and is
+skipped when its turn comes. A piece of n bytes costs O(n log n) whatever its length, where
 the usual scan for the lowest pair costs O(n * n).
 
-Most pieces are short and repeat, so each task remembers the ids of pieces that it has seen;
-the memory is bounded and is only a matter of speed.
+Pieces merge independently, so all new pieces of a block of texts share one list and one
+queue: the lowest rank of all is the lowest of each piece that has it, and opening a bucket
+serves them all at once. Most pieces are short and repeat, so each task remembers the ids of
+pieces that it has seen; the memory is bounded and is only a matter of speed.
 """
 
 from __future__ import annotations
@@ -16,7 +18,6 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import cache
-from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 import regex
@@ -26,8 +27,9 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import text_of
 
-MEMORY = 300_000  # pieces that a task remembers
-LONGEST = 64  # bytes of a piece that is remembered
+MEMORY = 250_000  # pieces that a task remembers from earlier blocks
+LONGEST = 48  # characters of a piece that is remembered
+BLOCK = 2_000_000  # characters encoded together
 WORD = 6  # bits that index a bitmap word of 64
 
 
@@ -38,7 +40,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class RankQueue:
-    """Positions by merge rank: ``push``, and ``pop`` of the lowest rank's leftmost position."""
+    """Positions by merge rank: ``push``, and ``pop`` of the lowest rank with all its positions, in order."""
 
     def __init__(self, ranks: int):
         self.buckets: dict[int, list[int]] = {}
@@ -48,43 +50,34 @@ class RankQueue:
         #: levels[0] has a bit for each rank, levels[i + 1] a bit for each word of levels[i]
         self.levels = [[0] * n for n in sizes[1:]] or [[0]]
 
-    def push(self, rank: int, position: int) -> None:
+    def push(self, rank: int, *positions: int) -> None:
         bucket = self.buckets.get(rank)
-        if bucket:
-            heappush(bucket, position)
+        if bucket is not None:
+            bucket.extend(positions)
             return
-        self.buckets[rank] = [position]
+        self.buckets[rank] = list(positions)
         for level in self.levels:
             word = rank >> WORD
             level[word] |= 1 << (rank & 63)
             rank = word
 
-    def fill(self, entries: dict[int, list[int]]) -> None:
-        """Many entries at once, into an empty queue."""
-        for rank, positions in entries.items():
-            self.push(rank, positions[0])
-            self.buckets[rank] = positions
-            heapify(positions)
-
-    def pop(self) -> tuple[int, int] | None:
+    def pop(self) -> tuple[int, list[int]] | None:
         at = 0
         for level in reversed(self.levels):
             word = level[at]
             if not word:
                 return None
             at = at << WORD | ((word & -word).bit_length() - 1)
-        bucket = self.buckets[at]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[at]
-            rank = at
-            for level in self.levels:
-                word = rank >> WORD
-                level[word] &= ~(1 << (rank & 63))
-                if level[word]:
-                    break
-                rank = word
-        return at, position
+        rank = at
+        for level in self.levels:
+            word = rank >> WORD
+            level[word] &= ~(1 << (rank & 63))
+            if level[word]:
+                break
+            rank = word
+        bucket = self.buckets.pop(at)
+        bucket.sort()
+        return at, bucket
 
 
 def _characters(kind: str) -> set[str]:
@@ -121,63 +114,112 @@ class Codec:
         self.queue = RankQueue(len(self.bytes_of))
         self.memory: dict[str, bytes] = {}
 
-    def merge(self, piece: bytes) -> list[int]:
-        """The ids of one piece."""
-        ranks, n = self.ranks, len(piece)
-        if (whole := ranks.get(piece)) is not None:
-            return [whole]
-        # symbol i covers piece[i:right[i]]; left[i] is where the symbol before it begins; right is 0 inside symbols
-        right, left = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue = self.queue
-        waiting: dict[int, list[int]] = {}
+    def merge(self, pieces: list[bytes]) -> list[list[int]]:
+        """The ids of each piece; a piece that is a token is that token, as in the tiktoken library."""
+        ranks, queue = self.ranks, self.queue
+        whole, pieces = pieces, [p for p in pieces if p not in ranks]
+        blob = b"".join(pieces)
+        n, buckets = len(blob), queue.buckets
+        # symbol i covers blob[i:right[i]]; left[i] is where the one before it begins; waits[i] is the rank of its pair
+        right, left, waits = list(range(1, n + 1)), list(range(-1, n - 1)), [-1] * n
+        first = bytearray(n + 1)  # where pieces begin: no pair reaches over
+        at = 0
+        for piece in pieces:
+            first[at] = 1
+            at += len(piece)
+        first[n] = 1
         for i in range(n - 1):
-            if (rank := ranks.get(piece[i : i + 2])) is not None:
-                waiting.setdefault(rank, []).append(i)
-        queue.fill(waiting)
-        while entry := queue.pop():
-            rank, i = entry
-            j = right[i]
-            if not j or j >= n or ranks.get(piece[i : right[j]]) != rank:
-                continue  # stale: the symbol is gone, or its pair is another now
-            k = right[i] = right[j]
-            right[j] = 0
-            if k < n:
-                left[k] = i
-                if (rank := ranks.get(piece[i : right[k]])) is not None:
+            if not first[i + 1] and (rank := ranks.get(blob[i : i + 2])) is not None:
+                waits[i] = rank
+                if (bucket := buckets.get(rank)) is not None:
+                    bucket.append(i)
+                else:
                     queue.push(rank, i)
-            if (h := left[i]) >= 0 and (rank := ranks.get(piece[h:k])) is not None:
-                queue.push(rank, h)
-        ids, i = [], 0
-        while i < n:
-            ids.append(ranks[piece[i : right[i]]])
-            i = right[i]
-        return ids
-
-    def _packed(self, piece: str) -> bytes:
-        raw = piece.encode()
-        packed = b"".join(i.to_bytes(4, "little") for i in self.merge(raw))
-        if len(raw) <= LONGEST:
-            if len(self.memory) >= MEMORY:
-                self.memory.clear()
-            self.memory[piece] = packed
-        return packed
-
-    def encode(self, text: str) -> bytes:
-        """The ids of a text, packed as little-endian unsigned 32-bit integers."""
-        known, fresh = self.memory.get, self._packed
+        while entry := queue.pop():
+            rank, positions = entry
+            for done, i in enumerate(positions, 1):
+                if waits[i] != rank:
+                    continue  # stale: the symbol is gone, or its pair is another now
+                j = right[i]
+                k = right[i] = right[j]
+                waits[j] = waits[i] = -1
+                lower = False
+                if not first[k]:
+                    left[k] = i
+                    if (new := ranks.get(blob[i : right[k]])) is not None:
+                        waits[i] = new
+                        lower = new < rank
+                        if (bucket := buckets.get(new)) is not None:
+                            bucket.append(i)
+                        else:
+                            queue.push(new, i)
+                if not first[i]:
+                    h = left[i]
+                    new = waits[h] = ranks.get(blob[h:k], -1)
+                    if new >= 0:
+                        lower = lower or new < rank
+                        if (bucket := buckets.get(new)) is not None:
+                            bucket.append(h)
+                        else:
+                            queue.push(new, h)
+                if lower:  # a pair of lower rank came up: it goes first
+                    if done < len(positions):
+                        queue.push(rank, *positions[done:])
+                    break
+        out, i = [], 0
+        for piece in whole:
+            if piece in ranks:
+                out.append([ranks[piece]])
+                continue
+            end, ids = i + len(piece), []
+            while i < end:
+                ids.append(ranks[blob[i : right[i]]])
+                i = right[i]
+            out.append(ids)
+        return out
+
+    def _pieces(self, text: str) -> list[str]:
         split = self.usual
         if self.odd is not None and not text.isascii():
             try:
                 text.encode("latin-1")  # holds none of them, and is quickly known
             except UnicodeEncodeError:
                 split = self.exact if self.odd.search(text) else split
-        return b"".join([p if (p := known(piece)) is not None else fresh(piece) for piece in split.findall(text)])
+        return split.findall(text)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, packed as little-endian unsigned 32-bit integers."""
+        cut, memory = [self._pieces(text) for text in texts], self.memory
+        if len(memory) >= MEMORY:
+            memory.clear()
+        new = sorted({piece for pieces in cut for piece in pieces if piece not in memory})
+        packed = (b"".join([i.to_bytes(4, "little") for i in ids]) for ids in self.merge([p.encode() for p in new]))
+        here = dict(zip(new, packed, strict=True))
+        memory.update(here)
+        out = [b"".join(map(memory.__getitem__, pieces)) for pieces in cut]
+        for piece in here:
+            if len(piece) > LONGEST:
+                del memory[piece]
+        return out
 
     def decode(self, packed: bytes) -> bytes:
         """The bytes that packed ids stand for."""
         return b"".join(map(self.bytes_of.__getitem__, memoryview(packed).cast("I"))) if packed else b""
 
 
+def blocks(texts: pa.Array) -> Iterator[list[str]]:
+    """The texts in order, in lists of about BLOCK characters or one text."""
+    block, size = [], 0
+    for text in texts:
+        block.append(text.as_py())
+        size += len(block[-1])
+        if size >= BLOCK:
+            yield block
+            block, size = [], 0
+    if block:
+        yield block
+
+
 _codecs: dict[tuple, Codec] = {}
 
 
@@ -203,7 +245,7 @@ def with_ids(docs: DataFrame, ranks_path: str, split: str, text: str = "text", o
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = _codec(shared, ranks_path, split)
         for texts in batches:
-            yield pa.array([codec.encode(t.as_py()) for t in texts], pa.binary())
+            yield pa.array([ids for block in blocks(texts) for ids in codec.encode(block)], pa.binary())
 
     return docs.withColumn(out, encode(text_of(text)))
 
