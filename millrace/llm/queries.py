@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import blockknn, bpe, chat, gam, mtree, reshard, simhash, tokenfst
-from millrace.llm.common import table, text_of
+from millrace.llm import blockknn, bpe, chat, gam, mtree, reshard, simhash, tokenfst, warc
+from millrace.llm.common import fresh_path, table, text_of
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +34,14 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_windows(turns.unionByName(extra), public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as dictionary-compressed archives and read back, a row for each page."""
+    target = fresh_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), target)
+    read = warc.read_archives(spark, target, payload=False)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents: ``doc_id, held_out, score, predicted``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -70,8 +78,19 @@ def op10_tokenfst(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", n_bytes, "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
-QUERIES = {"op3_chat": op3_chat, "op2_mtree": op2_mtree, "op9_blockknn": op9_blockknn, "op5_gam": op5_gam, "op7_reshard": op7_reshard, "op10_tokenfst": op10_tokenfst, "op1_bpe": op1_bpe, "op8_simhash": op8_simhash}
+QUERIES = {"op4_warc": op4_warc, "op3_chat": op3_chat, "op2_mtree": op2_mtree, "op9_blockknn": op9_blockknn, "op5_gam": op5_gam, "op7_reshard": op7_reshard, "op10_tokenfst": op10_tokenfst, "op1_bpe": op1_bpe, "op8_simhash": op8_simhash}
 ORACLES: dict[str, str] = {
+    "op4_warc": """
+        with p as (
+            select page_id, coalesce(html, '') as html from pages
+        ), largest as (
+            select html, max(page_id) as top from p where strlen(html) >= 1000 group by html
+        )
+        select page_id, strlen(p.html)::bigint as payload_bytes, sha1(p.html) as payload_digest,
+               case when top is null or top = page_id then 'response' else 'revisit' end as record_type,
+               case when top != page_id then top end as refers_to
+        from p left join largest using (html)
+    """,
     "op2_mtree": """
         with v as (
             select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as e
