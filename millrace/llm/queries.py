@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import blockknn, bpe, chat, gam, mtree, reshard, simhash, tokenfst, warc
+from millrace.llm import blockknn, bpe, chat, gam, mixing, mtree, reshard, simhash, tokenfst, warc
 from millrace.llm.common import fresh_path, table, text_of
 
 
@@ -50,6 +50,24 @@ def op5_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", gam.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+#: Token shares of the domains quality + 2 * toxic of the labels: low, high, low and toxic, high and toxic.
+WEIGHTS = [0.05, 0.9, 0.0, 0.05]
+
+
+def label_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled table of domains: ``doc_id, domain``."""
+    return table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") + 2 * F.col("toxic")).alias("domain"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of all documents for the target shares: ``doc_id, n_tokens, posterior, rate, copies``."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = mixing.learn(docs, label_domains(spark, sf_dir), len(WEIGHTS))
+    scored = mixing.with_posterior(docs, model).select("doc_id", "mix")
+    mixed = mixing.rated(scored, WEIGHTS)
+    return mixed.select("doc_id", F.col("mix.tokens").alias("n_tokens"), F.col("mix.p").alias("posterior"), "mix.rate", "mix.copies")
+
+
 def op7_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in shards 0 to 7 of near-equal bytes, from five shards by source: moves the fewest bytes."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -78,7 +96,7 @@ def op10_tokenfst(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", n_bytes, "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
-QUERIES = {"op4_warc": op4_warc, "op3_chat": op3_chat, "op2_mtree": op2_mtree, "op9_blockknn": op9_blockknn, "op5_gam": op5_gam, "op7_reshard": op7_reshard, "op10_tokenfst": op10_tokenfst, "op1_bpe": op1_bpe, "op8_simhash": op8_simhash}
+QUERIES = {"op6_mixing": op6_mixing, "op4_warc": op4_warc, "op3_chat": op3_chat, "op2_mtree": op2_mtree, "op9_blockknn": op9_blockknn, "op5_gam": op5_gam, "op7_reshard": op7_reshard, "op10_tokenfst": op10_tokenfst, "op1_bpe": op1_bpe, "op8_simhash": op8_simhash}
 ORACLES: dict[str, str] = {
     "op4_warc": """
         with p as (
