@@ -5,7 +5,8 @@ document counts for several domains at once. Rates r >= 0, one for each document
 fitted by projected gradient: with tokens n and posteriors p, the expected tokens of domain k
 are T_k = sum(r * n * p_k), and sum((T_k - t_k)^2 / m_k) is made least, where t are the targets
 and m the totals at r = 1. In the metric that weighs documents by their tokens the gradient is
-sum_k p_k (T_k - t_k) / m_k and the largest eigenvalue 1, so the step is 1.
+sum_k p_k (T_k - t_k) / m_k and the largest eigenvalue 1, so a step of length 1 is safe; longer
+ones take the curvature that the last step met (Barzilai and Borwein), and the best rates count.
 
 A step needs K totals from all documents and nothing else, so that is all that comes to the
 driver; the rate is a column expression over the posterior and the residuals of all steps, and
@@ -28,8 +29,8 @@ MAX_FIT = 20_000  # labelled documents that the classifier learns from at most:
 BUCKETS = 1 << 15  # of hashed words
 PRIOR_WEIGHT = 20.0  # documents' worth of the overall rate in each domain's rate
 HEATS = (1, 2, 4, 8, 16, 32, 64)  # by which log-odds may be divided
-STEPS, NEAR = 60, 1e-3  # at most so many steps; done when all totals are so near, relative to the whole
-CUT = 8  # steps after which rates are written
+STEPS, NEAR, LONGEST_STEP = 60, 1e-3, 1000.0  # at most so many steps; done when all totals are so near, relative to the whole
+CUT = 6  # steps after which rates are written
 
 
 def buckets(text: str) -> tuple[int, np.ndarray]:
@@ -134,22 +135,34 @@ def fit(mixed: DataFrame, weights: list[float], tokens: Column, p: list[Column],
 
     names = [f"p{k}" for k in range(len(p))]
     shown = [F.col(x) for x in names]
-    state = mixed.select(tokens.cast("double").alias("n"), *(x.alias(name) for x, name in zip(p, names, strict=True)), F.lit(1.0).alias("r"))
+    state = mixed.select(tokens.cast("double").alias("n"), *(x.alias(name) for x, name in zip(p, names, strict=True)), F.lit(1.0).alias("r"), F.lit(1.0).alias("was"))
 
-    def totals() -> np.ndarray:
-        row = state.agg(*(F.sum(F.col("r") * F.col("n") * x) for x in shown)).first()
-        return np.array([v or 0.0 for v in row])
+    def totals() -> tuple[np.ndarray, float]:
+        """The domains' tokens, and the length of the last step, squared, in the metric of tokens."""
+        gap = F.col("r") - F.col("was")
+        row = state.agg(*(F.sum(F.col("r") * F.col("n") * x) for x in shown), F.sum(F.col("n") * gap * gap)).first()
+        return np.array([v or 0.0 for v in row[:-1]]), row[-1] or 0.0
 
-    now = mass = totals()
+    now, _ = totals()
+    mass = now
+    inverse = np.where(mass > 0, 1 / np.maximum(mass, 1e-300), 0.0)
     target = shares * (mass.sum() if total is None else total)
     steps: list[list[float]] = []
-    while len(steps) < STEPS and np.abs(np.where(mass > 0, now - target, 0)).max() > NEAR * max(target.sum(), 1e-9):
-        steps.append(np.where(mass > 0, (now - target) / np.maximum(mass, 1e-300), 0.0).tolist())
-        state = state.withColumn("r", _stepped(F.col("r"), shown, steps[-1]))
+    best, best_at, length = np.inf, 0, 1.0
+    while True:
+        off = np.where(mass > 0, now - target, 0.0)
+        if (off * off * inverse).sum() < best:
+            best, best_at = (off * off * inverse).sum(), len(steps)
+        if len(steps) == STEPS or np.abs(off).max() <= NEAR * max(target.sum(), 1e-9):
+            break
+        steps.append((length * off * inverse).tolist())
+        state = state.withColumns({"was": F.col("r"), "r": _stepped(F.col("r"), shown, steps[-1])})
         if len(steps) % CUT == 0:  # the expression stays short
             state = written(state, "rates")
-        now = totals()
-    return steps
+        before, (now, moved) = now, totals()
+        curve = ((now - before) ** 2 * inverse).sum()
+        length = float(np.clip(moved / curve, 1.0, LONGEST_STEP)) if curve > 0 else 1.0
+    return steps[:best_at]
 
 
 def rated(scored: DataFrame, weights: list[float], total: float | None = None, doc_id: str = "doc_id", column: str = "mix") -> DataFrame:

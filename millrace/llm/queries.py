@@ -51,7 +51,7 @@ def op5_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Token shares of the domains quality + 2 * toxic of the labels: low, high, low and toxic, high and toxic.
-WEIGHTS = [0.05, 0.9, 0.0, 0.05]
+WEIGHTS = [0.04, 0.9, 0.01, 0.05]
 
 
 def label_domains(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,15 +22,18 @@ def test_rates_reach_targets_and_are_nonnegative(spark):
     n = rng.integers(0, 300, 500)
     df = spark.createDataFrame([(i, int(n[i]), [float(x) for x in p[i]]) for i in range(500)], "doc_id long, n long, p array<double>").repartition(5)
     cols = [F.col("p")[k] for k in range(3)]
-    for weights in ([1, 1, 1], [0.7, 0.3, 0.0]):
+    for weights in ([0.9, 0.05, 0.05], [0.7, 0.3, 0.0]):
         steps = mixing.fit(df, weights, F.col("n"), cols)
         r = np.array([x.r for x in df.withColumn("r", mixing.rate(cols, steps)).orderBy("doc_id").collect()])
         target = np.array(weights) / sum(weights) * n.sum()
         assert (r >= 0).all()
-        assert np.allclose(r, direct(n, p, target, len(steps)), atol=1e-9)
+        replayed = np.ones(len(n))
+        for step in steps:
+            replayed = np.maximum(0, replayed - p @ np.array(step))
+        assert np.allclose(r, replayed, atol=1e-9)
         best = direct(n, p, target, 3000)
         total = lambda x: ((x * n)[:, None] * p).sum(0)
-        assert np.abs(total(r) - target).max() <= np.abs(total(best) - target).max() + 0.03 * n.sum()
+        assert np.abs(total(r) - target).max() <= np.abs(total(best) - target).max() + 0.01 * n.sum(), len(steps)
 
 
 def test_odd_rows_clashing_names_and_repeats(spark):
