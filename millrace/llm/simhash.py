@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from functools import reduce
 from itertools import combinations, islice, repeat
+from math import ceil
 from operator import and_
 from re import compile as pattern
 
@@ -32,6 +33,7 @@ WORD = pattern(rb"[^\x20\x09-\x0D]+")
 BLOCK = 50_000  # words hashed at once: bounds memory for very long texts
 #: A part's value that more fingerprints than this have is asked for under a longer key.
 CROWDED = 64
+TASK_ROWS = 50_000  # fingerprints whose questions one task asks
 
 
 def _set_bits(hashes: np.ndarray) -> np.ndarray:
@@ -111,7 +113,8 @@ def links(fingerprints: DataFrame, fp: str = "fingerprint", radius: int = 3, seg
     width, near = 64 // segments, radius // segments
     parts = [(width * i, width) for i in range(segments)]
     once = written(fingerprints.select(F.col(fp).cast("long").alias("fp")).filter("fp is not null").distinct(), "fingerprints")
-    held, asks = (_entries(once, F.col("fp"), parts, near * probe, "part") for probe in (0, 1))
+    spread = once.repartition(ceil((once.count() + 1) / TASK_ROWS), "fp")  # each row becomes many questions
+    held, asks = _entries(once, F.col("fp"), parts, 0, "part"), _entries(spread, F.col("fp"), parts, near, "part")
     crowd = written(held.groupBy("part", "part_v").count().filter(F.col("count") > crowded).drop("count"), "crowded")
 
     differ = F.col("a").bitwiseXOR(F.col("b"))
