@@ -69,15 +69,16 @@ def format_windows(turns: DataFrame, tokenizer: str, budget: int = 2048, history
     clean = turns.select(
         F.col("conv_id").cast("long").alias("conv"), F.col("turn").alias("t"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("body")
     )
-    shown = clean.select(
-        "conv", "t", "role", "body",
+    # dealt before anything is made of the texts: dealing by range reads its input twice, and only the turns themselves travel
+    order = ["conv", "t", "role", "body", "_row"]
+    dealt = clean.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(*order)
+    shown = dealt.select(
+        *order,
         F.concat(F.lit(OPEN), _escaped(F.col("role"), True), F.lit(AFTER_ROLE)).alias("head"),
         _escaped(F.col("body")).alias("escaped"),
     ).withColumn("piece", F.concat("head", "escaped", F.lit(CLOSE)))
-    counted = with_token_counts(shown, tokenizer, "piece", "tokens").withColumn("_row", F.monotonically_increasing_id())
-    order = ["conv", "t", "role", "body", "_row"]
-    dealt = counted.repartitionByRange(*order).select(
-        "conv", "t", "role", "body", "_row", "piece", "tokens", F.length("head").alias("head_chars"), F.length("escaped").alias("body_chars"), F.spark_partition_id().alias("range")
+    dealt = with_token_counts(shown, tokenizer, "piece", "tokens").select(
+        *order, "piece", "tokens", F.length("head").alias("head_chars"), F.length("escaped").alias("body_chars"), F.spark_partition_id().alias("range")
     )
     dealt = written(dealt, "turns")
 
