@@ -165,6 +165,13 @@ def self_relation(spark: SparkSession, sf: str) -> DataFrame:
     return relations.children_of(events, "event_id", "up").select("child", "parent")
 
 
+@query("select a.event_id as child, b.event_id as parent from events a join events b on b.event_id = a.event_id // 2 where a.event_id > 0")
+def self_relation_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """The links of all events, where self_relation has those of every fiftieth."""
+    events = load(spark, sf, "events").select("event_id", F.when(F.col("event_id") > 0, F.floor(F.col("event_id") / 2)).alias("up"))
+    return relations.children_of(events, "event_id", "up").select("child", "parent")
+
+
 @query("""select l_orderkey, l_linenumber, coalesce(o_orderstatus, 'deleted') as status
     from lineitem left join (select * from orders where o_totalprice > 100000) on o_orderkey = l_orderkey where l_linenumber = 1""")
 def status_or_deleted(spark: SparkSession, sf: str) -> DataFrame:
@@ -467,6 +474,15 @@ def timeline(spark: SparkSession, sf: str) -> DataFrame:
     return reporting.timeline(orders, lines)
 
 
+@query("""select o_orderdate as at, 'order' as kind, o_orderkey as id from orders
+    union all select l_shipdate, 'shipment', l_orderkey from lineitem""")
+def timeline_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """U5 (specified): all orders and all lines in one order, where timeline has those of a few ids."""
+    orders = load(spark, sf, "orders").select(F.col("o_orderdate").alias("at"), F.lit("order").alias("kind"), F.col("o_orderkey").alias("id"))
+    lines = load(spark, sf, "lineitem").select(F.col("l_shipdate").alias("at"), F.lit("shipment").alias("kind"), F.col("l_orderkey").alias("id"))
+    return reporting.timeline(orders, lines)
+
+
 @query("""with f as (select distinct o_custkey as k from orders where o_orderstatus = 'P'), t as (select distinct o_custkey as k from orders where o_orderpriority = '1-URGENT')
     select (select count(*) from f semi join t using (k)) / (select count(*) from t) as recall, (select count(*) from f semi join t using (k)) / (select count(*) from f) as precision,
     (select count(*) - count(distinct o_custkey) from orders where o_orderstatus = 'P') / (select count(*) from orders where o_orderstatus = 'P') as duplicate_ratio""")
