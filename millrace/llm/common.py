@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +50,20 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(f"`{name}`"), F.lit(""))
 
 
+def blocks(texts, most: int) -> Iterator[list[str]]:
+    """The texts of an Arrow array in order, in lists of at most ``most`` characters or of one text."""
+    block, size = [], 0
+    for text in texts:
+        text = text.as_py()
+        if block and size + len(text) > most:
+            yield block
+            block, size = [], 0
+        block.append(text)
+        size += len(text)
+    if block:
+        yield block
+
+
 def salted(*cols: Column, parts: int) -> Column:
     """A number from 0 to parts - 1 that depends on the given columns alone."""
     return F.pmod(F.xxhash64(*cols), F.lit(parts)).cast("int")

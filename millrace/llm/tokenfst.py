@@ -10,19 +10,23 @@ Two deterministic machines replace the tokenizer:
   count, follows from the last tokens of a few shorter prefixes. Which prefixes can still
   matter is a set of places in the vocabulary's trie; that set, with the last token and the
   relative count at each place, is a state. A transition carries the change of the count, so
-  counts of a piece are sums along its path. States are made when first met (as regular
-  expression engines do) and kept in a table of 256 entries each.
+  counts of a piece are sums along its path. States and transitions are made when first met (as
+  regular expression engines do); transitions lie in a hash table of (state, byte).
 
 The bytes of many texts form one stream, cut into chunks of equal length that step through
 the table side by side. Each chunk gives a state map (entry state to exit state); a parallel
 prefix scan composes the maps and tells each chunk's entry. Chunks enter with a guess from a
 short run-up, which is right unless a piece is longer than the run-up; where the scan finds
 another entry, the chunk's map is extended and the scan repeated.
+
+Memory: the states, the known answers and the stream are bounded; a text longer than the stream
+goes through in windows that hand on the machine's state.
 """
 
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -31,13 +35,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Regex, pre_tokenizers
 
-from millrace.llm.common import text_of
+from millrace.llm.common import blocks, text_of
 
-STREAM = 2 << 20  # characters stepped through together
+STREAM = 1 << 20  # characters stepped through together
 CHUNK, RUN_UP = 512, 48  # bytes
-MOST_STATES = 120_000  # kept between streams; 1280 bytes each
+MOST_STATES = 250_000  # kept between streams; some 300 bytes each, with their transitions
+MOST_AGREE = 200_000  # answers kept about pairs of tokens
+SPREAD = np.uint64(0x9E3779B97F4A7C15)  # an odd multiplier
+BEFORE, AFTER = 4, 3  # characters around a place that decide whether a piece begins there
 END, SPACE, WHITE, LETTER, NUMBER, OTHER = range(6)
 
 
@@ -69,7 +75,12 @@ def read_model(path: str) -> tuple[list[bytes], list[tuple[int, int]], list[int]
 
 @cache
 def classes() -> np.ndarray:
-    """The class of each code point, as the tokenizers library's own Unicode tables have it (regex knows a later Unicode)."""
+    """The class of each code point, as the tokenizers library's own Unicode tables have it (regex knows a later Unicode).
+
+    Takes seconds, as it asks for every code point: the driver makes it once and broadcasts it (1 MB).
+    """
+    from tokenizers import Regex, pre_tokenizers  # on the driver alone
+
     out = np.full(0x110000, OTHER, np.uint8)
     every = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
     for kind, what in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (WHITE, r"\s")):
@@ -141,15 +152,41 @@ class Transducer:
                 node = child
             if token:
                 self.token_at[node] = i
-        self.agree: dict[tuple[int, int], bool] = {}
+        self.agree: dict[int, bool] = {}
         self.forget()
 
     def forget(self) -> None:
         """Back to the entry state alone."""
-        self.states = [((0, -1, 0),)]
-        self.number = {self.states[0]: 0}
-        self.next = np.full((1024, 256), -1, np.int32)
-        self.weight = np.zeros((1024, 256), np.int8)
+        start = array("i", (0, -1, 0)).tobytes()
+        #: places of each state, packed: node, last token, relative count
+        self.states, self.number = [start], {start: 0}
+        self._room(1 << 16)
+
+    def _room(self, slots: int) -> None:
+        """An empty table of transitions; at most half of its slots get used."""
+        self.keys = np.full(slots, -1, np.int64)
+        self.next, self.weight = np.zeros(slots, np.int32), np.zeros(slots, np.int8)
+        self.used, self.shift = 0, np.uint64(65 - slots.bit_length())
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * SPREAD >> self.shift).astype(np.int64)
+
+    def _insert(self, keys: np.ndarray, states: np.ndarray, gains: np.ndarray) -> None:
+        """New transitions; a slot that is taken sends a key on to the next."""
+        if 2 * (self.used + len(keys)) > len(self.keys):
+            held = self.keys >= 0
+            old, wanted = (self.keys[held], self.next[held], self.weight[held]), 2 * (self.used + len(keys))
+            self._room(max(2 * len(self.keys), 1 << wanted.bit_length()))
+            self._insert(*old)
+        self.used += len(keys)
+        slots, left = self._slots(keys), np.arange(len(keys))
+        while len(left):
+            free = left[self.keys[slots[left]] < 0]
+            self.keys[slots[free]] = keys[free]  # of several that want a slot, one gets it
+            got = free[self.keys[slots[free]] == keys[free]]
+            self.next[slots[got]], self.weight[slots[got]] = states[got], gains[got]
+            left = left[self.keys[slots[left]] != keys[left]]
+            slots[left] = (slots[left] + 1) % len(self.keys)
 
     def plain(self, raw: bytes) -> list[int]:
         """The encoding by repeated merging; for the few bytes of one or two tokens."""
@@ -164,19 +201,31 @@ class Transducer:
 
     def together(self, last: int, token: int) -> bool:
         """Whether the two tokens (or, with last = -1, the one) are the encoding of their bytes."""
-        key = (last, token)
+        key = last << 32 | token
         if (known := self.agree.get(key)) is None:
             if last < 0:
                 known = self.plain(self.tokens[token]) == [token]
             else:
                 known = self.plain(self.tokens[last] + self.tokens[token]) == [last, token]
+            if len(self.agree) >= MOST_AGREE:
+                self.agree.clear()
             self.agree[key] = known
         return known
 
-    def step(self, state: int, byte: int) -> int:
-        """Make the transition and return where it goes."""
-        found, places = None, []
-        for node, last, count in self.states[state]:
+    def known(self, places: bytes) -> int:
+        """The number of a state with these places."""
+        new = self.number.get(places)
+        if new is None:
+            new = self.number[places] = len(self.states)
+            self.states.append(places)
+        return new
+
+    def step(self, state: int, byte: int) -> tuple[int, int]:
+        """Where a new transition goes, and what it adds."""
+        found, key = None, array("i")
+        now = memoryview(self.states[state]).cast("i").tolist()
+        for at in range(0, len(now), 3):
+            node, last, count = now[at : at + 3]
             child = self.children[node].get(byte)
             if child is None:
                 continue
@@ -184,31 +233,33 @@ class Transducer:
             if found is None and token >= 0 and self.together(last, token):
                 found = (token, count + 1)
             if self.children[child]:
-                places.append((child, last, count))
+                key.extend((child, last, count))
         token, gain = found
-        key = (*((node, last, count - gain) for node, last, count in places), (0, token, 0))
-        new = self.number.get(key)
-        if new is None:
-            new = self.number[key] = len(self.states)
-            self.states.append(key)
-            if new >= len(self.next):
-                self.next = np.concatenate([self.next, np.full_like(self.next, -1)])
-                self.weight = np.concatenate([self.weight, np.zeros_like(self.weight)])
-        self.next[state, byte], self.weight[state, byte] = new, gain
-        return new
-
-    def advance(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-        """The next states, side by side."""
-        flat = states * 256 + symbols
-        out = self.next.reshape(-1)[flat]
-        if out.min(initial=0) < 0:
-            for key in np.unique(flat[out < 0]).tolist():
-                self.step(key >> 8, key & 255)
-            out = self.next.reshape(-1)[flat]
-        return out
-
-    def weights(self, stream: np.ndarray, reset: np.ndarray) -> np.ndarray:
-        """The change of the token count at each byte; ``reset`` marks the bytes that begin a piece (the first does)."""
+        for at in range(2, len(key), 3):
+            key[at] -= gain
+        key.extend((0, token, 0))
+        return self.known(key.tobytes()), gain
+
+    def advance(self, states: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states, side by side, and what they add."""
+        keys = states.astype(np.int64) << 8 | symbols
+        slots = self._slots(keys)
+        found = self.keys[slots]
+        off = np.flatnonzero(found != keys)
+        while len(off):
+            new = off[found[off] < 0]
+            if len(new):
+                fresh = np.unique(keys[new])
+                after, gains = zip(*(self.step(key >> 8, key & 255) for key in fresh.tolist()), strict=True)
+                self._insert(fresh, np.array(after, np.int32), np.array(gains, np.int8))
+                return self.advance(states, symbols)
+            slots[off] = (slots[off] + 1) % len(self.keys)
+            found[off] = self.keys[slots[off]]
+            off = off[found[off] != keys[off]]
+        return self.next[slots], self.weight[slots]
+
+    def weights(self, stream: np.ndarray, reset: np.ndarray, state: int = 0) -> tuple[np.ndarray, int]:
+        """The change of the token count at each byte, and the last state; ``reset`` marks the bytes that begin a piece, ``state`` is that before the first."""
         n = len(stream)
         lanes = -(-n // CHUNK)
         grid = np.zeros(lanes * CHUNK, np.uint8)
@@ -216,46 +267,46 @@ class Transducer:
         new = np.ones(lanes * CHUNK, bool)
         new[:n] = reset
         grid, new = grid.reshape(lanes, CHUNK).T.copy(), new.reshape(lanes, CHUNK).T.copy()
-        entry = np.zeros(lanes, np.int64)
+        entry = np.zeros(lanes, np.int32)
+        entry[0] = state
         for k in range(CHUNK - RUN_UP, CHUNK):  # the run-up is the end of the chunk before
             entry[1:] = np.where(new[k, :-1], 0, entry[1:])
-            entry[1:] = self.advance(entry[1:], grid[k, :-1])
-        path = np.empty((CHUNK + 1, lanes), np.int32)
+            entry[1:], _ = self.advance(entry[1:], grid[k, :-1])
+        path, gains = np.empty((CHUNK + 1, lanes), np.int32), np.empty((CHUNK, lanes), np.int8)
         path[0] = entry
         for k in range(CHUNK):
-            path[k + 1] = self.advance(np.where(new[k], 0, path[k]).astype(np.int64), grid[k])
+            path[k + 1], gains[k] = self.advance(np.where(new[k], 0, path[k]), grid[k])
         constant = new.any(axis=0)
         while True:
-            entries = np.concatenate([[0], _compose(path[0].copy(), path[-1].copy(), constant.copy())[:-1]])
+            entries = np.concatenate([[state], _compose(path[0].copy(), path[-1].copy(), constant.copy(), state)[:-1]])
             wrong = np.flatnonzero((entries >= 0) & (entries != path[0]))
             if not len(wrong):
                 break
             for lane in wrong.tolist():
-                self._extend(path, new, grid, lane, int(entries[lane]))
-        came = np.where(new, 0, path[:-1]).astype(np.int64)
-        return self.weight.reshape(-1)[came * 256 + grid].T.reshape(-1)[:n]
+                self._extend(path, gains, new, grid, lane, int(entries[lane]))
+        return gains.T.reshape(-1)[:n], int(path[(n - 1) % CHUNK + 1, lanes - 1])
 
-    def _extend(self, path: np.ndarray, new: np.ndarray, grid: np.ndarray, lane: int, state: int) -> None:
+    def _extend(self, path: np.ndarray, gains: np.ndarray, new: np.ndarray, grid: np.ndarray, lane: int, state: int) -> None:
         """Walk a lane from another entry, as far as its path differs."""
         path[0, lane] = state
         for k in range(CHUNK):
             if new[k, lane]:
                 return
-            byte = int(grid[k, lane])
-            known = int(self.next[state, byte])
-            state = known if known >= 0 else self.step(state, byte)
-            if path[k + 1, lane] == state:
+            after, gains[k, lane : lane + 1] = self.advance(path[k, lane : lane + 1], grid[k, lane : lane + 1])
+            if path[k + 1, lane] == after[0]:
                 return
-            path[k + 1, lane] = state
+            path[k + 1, lane] = after[0]
 
 
-def _compose(entry: np.ndarray, leave: np.ndarray, constant: np.ndarray) -> np.ndarray:
+def _compose(entry: np.ndarray, leave: np.ndarray, constant: np.ndarray, state: int = 0) -> np.ndarray:
     """The exit state after each chunk, -1 where the maps don't tell, by a parallel prefix scan.
 
-    A map takes ``entry`` to ``leave``, or any entry if it is ``constant``. Two maps compose
-    to a map of the same form, so log2(chunks) sweeps compose all prefixes.
+    A map takes ``entry`` to ``leave``, or any entry if it is ``constant``; the first one is
+    entered with ``state``. Two maps compose to a map of the same form, so log2(chunks) sweeps
+    compose all prefixes.
     """
     step, n = 1, len(entry)
+    constant[:1] |= entry[:1] == state
     while step < n:
         first_leave, first_entry, first_constant = leave[:-step], entry[:-step], constant[:-step]
         meets = constant[step:] | ((first_leave == entry[step:]) & (first_leave >= 0))
@@ -266,71 +317,112 @@ def _compose(entry: np.ndarray, leave: np.ndarray, constant: np.ndarray) -> np.n
 
 
 class Counter:
-    """Counts the tokens of texts."""
+    """Counts the tokens of texts. ``kinds``: of ``classes``."""
 
-    def __init__(self, model: tuple):
+    def __init__(self, model: tuple, kinds: np.ndarray):
         tokens, merges, made, self.special = model
-        self.machine = Transducer(tokens, merges, made)
+        self.machine, self.kinds = Transducer(tokens, merges, made), kinds
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
+    def _parts(self, text: str) -> Iterator[str]:
+        """What lies between special strings; one more part than these."""
+        at = 0
+        for m in self.cut.finditer(text) if self.cut else ():
+            yield text[at : m.start()]
+            at = m.end()
+        yield text[at:]
+
     def count(self, texts: list[str]) -> np.ndarray:
         """Token counts; a special string counts as one token and ends the text before it."""
         total = np.zeros(len(texts), np.int64)
         owners, parts, size = [], [], 0
         for i, text in enumerate(texts):
-            pieces = [text]
-            if self.cut and self.cut.search(text):
-                pieces = self.cut.split(text)
-                total[i] += len(pieces) - 1
-            for piece in pieces:
-                if piece:
+            for n, part in enumerate(self._parts(text)):
+                total[i] += n > 0
+                if len(part) > STREAM:
+                    total[i] += self._long(part)
+                elif part:
                     owners.append(i)
-                    parts.append(piece)
-                    size += len(piece)
-            if size >= STREAM:
-                self._stream(owners, parts, total)
-                owners, parts, size = [], [], 0
+                    parts.append(part)
+                    size += len(part)
+                if size >= STREAM:
+                    self._stream(owners, parts, total)
+                    owners, parts, size = [], [], 0
         if parts:
             self._stream(owners, parts, total)
         return total
 
-    def _stream(self, owners: list[int], parts: list[str], total: np.ndarray) -> None:
+    def _fresh(self) -> None:
         if len(self.machine.states) > MOST_STATES:
             self.machine.forget()
+
+    def _stream(self, owners: list[int], parts: list[str], total: np.ndarray) -> None:
+        self._fresh()
         joined = "\n".join(parts) + "\n"
         points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-        kinds = classes()[points]
+        kinds = self.kinds[points]
         ends = np.cumsum([len(p) + 1 for p in parts]) - 1
         kinds[ends] = END
-        starts = piece_starts(points, kinds)
-        width = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
-        offset = np.concatenate([[0], np.cumsum(width)])
-        stream = np.frombuffer(joined.encode(), np.uint8)
-        reset = np.zeros(len(stream), bool)
-        reset[offset[:-1][starts]] = True
-        sums = np.concatenate([[0], np.cumsum(self.machine.weights(stream, reset), dtype=np.int64)])
+        stream, reset, offset = _bytes(joined, points, piece_starts(points, kinds))
+        gains, _ = self.machine.weights(stream, reset)
+        sums = np.concatenate([[0], np.cumsum(gains, dtype=np.int64)])
         first = np.concatenate([[0], ends[:-1] + 1])
         np.add.at(total, owners, sums[offset[ends]] - sums[offset[first]])
 
+    def _long(self, text: str) -> int:
+        """One long text, in windows; each sees a few characters of its neighbours and goes on from the state before."""
+        total, state = 0, 0
+        for a in range(0, len(text), STREAM):
+            if len(self.machine.states) > MOST_STATES:
+                places = self.machine.states[state]
+                self.machine.forget()
+                state = self.machine.known(places)
+            b = min(a + STREAM, len(text))
+            low, high = max(0, a - BEFORE), min(b + AFTER, len(text))
+            shown = text[low:high] + "\n" * (high == len(text))
+            points = np.frombuffer(shown.encode("utf-32-le"), np.uint32)
+            kinds = self.kinds[points]
+            if high == len(text):
+                kinds[-1] = END
+            starts = piece_starts(points, kinds)[a - low : b - low]
+            starts[0] |= a == 0
+            stream, reset, _ = _bytes(text[a:b], points[a - low : b - low], starts)
+            gains, state = self.machine.weights(stream, reset, state)
+            total += int(gains.sum(dtype=np.int64))
+        return total
+
+
+def _bytes(text: str, points: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The text's bytes, which of them begin a piece, and where each character's bytes begin."""
+    stream = np.frombuffer(text.encode(), np.uint8)
+    width = (1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)).astype(np.int32)
+    offset = np.concatenate([[0], np.cumsum(width, dtype=np.int32)])
+    reset = np.zeros(len(stream), bool)
+    reset[offset[:-1][starts]] = True
+    return stream, reset, offset
+
 
 _counters: dict[str, Counter] = {}
+SHARE = 2 << 20  # characters of texts turned into Python strings at once
 
 
 def with_token_counts(docs: DataFrame, model_path: str, text: str = "text", out: str = "n_tokens") -> DataFrame:
     """``docs`` and a long column: the tokens of the whole text, as the tokenizers library counts them.
 
     No special tokens are added; a special string within a text is one token, which is that
-    library's default. Null and empty texts have none. The model (a few MB, whatever the
-    corpus) is read on the driver from ``model_path`` and broadcast; each Python worker keeps
-    its compiled machine for later tasks.
+    library's default. Null and empty texts have none. A column named ``out`` is replaced. The
+    model and the classes of characters (a few MB, whatever the corpus) are made on the driver
+    and broadcast; each Python worker keeps its compiled machine for later tasks.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(read_model(model_path))
+    shared = docs.sparkSession.sparkContext.broadcast((read_model(model_path), classes()))
 
     @F.arrow_udf("long")
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         if model_path not in _counters:
-            _counters[model_path] = Counter(shared.value)
+            _counters.clear()
+            _counters[model_path] = Counter(*shared.value)
         for texts in batches:
-            yield pa.array(_counters[model_path].count(texts.to_pylist()), pa.int64())
+            for block in blocks(texts, SHARE):
+                yield pa.array(_counters[model_path].count(block), pa.int64())
 
     return docs.withColumn(out, count(text_of(text)))

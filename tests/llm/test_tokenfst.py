@@ -22,7 +22,7 @@ def library(texts):
 
 @pytest.fixture(scope="module")
 def counter():
-    return tokenfst.Counter(tokenfst.read_model(PATH))
+    return tokenfst.Counter(tokenfst.read_model(PATH), tokenfst.classes())
 
 
 def test_every_character_has_the_librarys_class(counter):
@@ -86,3 +86,20 @@ def test_query_over_a_whole_table(spark, sf_dir):
     assert sorted(r.doc_id for r in rows) == sorted(texts)
     for r, n in zip(rows, library([texts[r.doc_id] for r in rows]), strict=True):
         assert (r.n_tokens, r.n_bytes, r.over_limit) == (n, len(texts[r.doc_id].encode()), n > 512)
+
+
+def test_long_texts_in_windows(counter, monkeypatch):
+    """Windows may cut anywhere: within words, contractions, white space, characters of several bytes."""
+    rng = random.Random(9)
+    letters = "abcdefgh'' \n\t,.12éß漢🙂stmdrelv"
+    texts = ["".join(rng.choice(letters) for _ in range(400)) for _ in range(40)] + ["a" * 900, "we're they'll don't " * 40, " " * 300, "x <|endoftext|> y" * 60]
+    for width in (37, 64, 129):
+        monkeypatch.setattr(tokenfst, "STREAM", width)
+        assert counter.count(texts).tolist() == library(texts)
+    monkeypatch.setattr(tokenfst, "MOST_STATES", 20)  # the state goes on where states are forgotten between windows
+    assert counter.count(texts).tolist() == library(texts)
+
+
+def test_a_column_of_the_outputs_name_is_replaced(spark):
+    docs = spark.createDataFrame([(1, "a b", "old")], "doc_id long, text string, n_tokens string")
+    assert [tuple(r) for r in tokenfst.with_token_counts(docs, PATH).collect()] == [(1, "a b", 2)]
