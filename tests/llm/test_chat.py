@@ -67,3 +67,22 @@ def test_query_over_a_whole_table(spark, sf_dir):
     out = op3_chat(spark, sf_dir)
     assert got(out) == expected(rows)
     assert all(r.formatted_chars > r.loss_chars for r in out.collect())
+
+
+def test_windows_keep_the_budget_beside_a_system_turn(spark):
+    """Turns just under the stride, and a system turn that every window repeats."""
+    one = "word " * 90  # some hundred tokens with its marks
+    rows = [(1, 0, "system", one)] + [(1, i, "user" if i % 2 else "assistant", one) for i in range(1, 12)] + [(2, i, "user", one) for i in range(7)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat.format_windows(turns, MODEL, budget=310).collect()
+    assert max(r.n_tokens for r in out) <= 310 and sum(r.new for r in out) == len(rows)
+    assert all(chat.parse(r.text)[0][0] == "system" for r in out if r.conv_id == 1)
+    long = spark.createDataFrame([(1, 0, "system", one), (1, 1, "user", one), (1, 2, "assistant", "x")], "conv_id long, turn long, role string, text string")
+    out = chat.format_windows(long, MODEL, budget=150, history=0).orderBy("window").collect()
+    assert [r.context for r in out] == [0] * len(out)  # a system turn of over half the budget isn't repeated
+
+
+def test_no_text_is_a_key_of_ranges(spark):
+    turns = spark.createDataFrame([(1, None, "user", "x" * 5000)] * 20, "conv_id long, turn long, role string, text string")
+    (row,) = chat.read_back(chat.format_windows(turns, MODEL)).collect()
+    assert row.n_turns == 20
