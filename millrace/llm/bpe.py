@@ -7,29 +7,35 @@ not take neighbours' old entries out: an entry whose pair has since changed is s
 skipped when its turn comes. A piece of n bytes costs O(n log n) whatever its length, where
 the usual scan for the lowest pair costs O(n * n).
 
-Pieces merge independently, so all new pieces of a block of texts share one list and one
-queue: the lowest rank of all is the lowest of each piece that has it, and opening a bucket
-serves them all at once. Most pieces are short and repeat, so each task remembers the ids of
-pieces that it has seen; the memory is bounded and is only a matter of speed.
+Pieces merge independently, so many new pieces share one list and one queue: the lowest rank
+of all is the lowest of each piece that has it, and opening a bucket serves them all at once.
+Most pieces are short and repeat, so each task remembers the ids of pieces that it has seen;
+the memory is bounded and is only a matter of speed.
+
+Memory: texts are taken in blocks, results leave in blocks, and the pieces of a longer text are
+taken in portions. One piece of n bytes (a text without any place to split it) needs about 60 n.
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import chain, islice
 
+import numpy as np
 import pyarrow as pa
 import regex
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import text_of
+from millrace.llm.common import blocks, text_of
 
-MEMORY = 250_000  # pieces that a task remembers from earlier blocks
+MEMORY = 200_000  # pieces that a task remembers from earlier blocks
 LONGEST = 48  # characters of a piece that is remembered
-BLOCK = 2_000_000  # characters encoded together
+BLOCK = 3 << 20  # characters encoded together
+PORTION = 200_000  # pieces of a longer text encoded together
+SLICE = 1 << 20  # bytes that share a queue, or one piece
 WORD = 6  # bits that index a bitmap word of 64
 
 
@@ -40,28 +46,28 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class RankQueue:
-    """Positions by merge rank: ``push``, and ``pop`` of the lowest rank with all its positions, in order."""
+    """Positions by merge rank: ``push``, and ``pop`` of the lowest rank with all its positions, in order, each once."""
 
     def __init__(self, ranks: int):
-        self.buckets: dict[int, list[int]] = {}
+        self.buckets: dict[int, list[np.ndarray]] = {}
         sizes = [ranks]
         while sizes[-1] > 1:
             sizes.append((sizes[-1] + 63) >> WORD)
         #: levels[0] has a bit for each rank, levels[i + 1] a bit for each word of levels[i]
         self.levels = [[0] * n for n in sizes[1:]] or [[0]]
 
-    def push(self, rank: int, *positions: int) -> None:
+    def push(self, rank: int, positions: np.ndarray) -> None:
         bucket = self.buckets.get(rank)
         if bucket is not None:
-            bucket.extend(positions)
+            bucket.append(positions)
             return
-        self.buckets[rank] = list(positions)
+        self.buckets[rank] = [positions]
         for level in self.levels:
             word = rank >> WORD
             level[word] |= 1 << (rank & 63)
             rank = word
 
-    def pop(self) -> tuple[int, list[int]] | None:
+    def pop(self) -> tuple[int, np.ndarray] | None:
         at = 0
         for level in reversed(self.levels):
             word = level[at]
@@ -76,20 +82,46 @@ class RankQueue:
                 break
             rank = word
         bucket = self.buckets.pop(at)
-        bucket.sort()
-        return at, bucket
+        positions = np.sort(bucket[0] if len(bucket) == 1 else np.concatenate(bucket))
+        twice = positions[1:] == positions[:-1]
+        return at, positions[np.append(True, ~twice)] if twice.any() else positions
+
+
+class Neighbours:
+    """For each token, the tokens that may follow (or precede) it in a pair, and the ranks of these pairs."""
+
+    def __init__(self, own: np.ndarray, other: np.ndarray, rank: np.ndarray, tokens: int):
+        order = np.argsort(own, kind="stable")
+        self.other, self.rank = other[order], rank[order]
+        self.begin = np.searchsorted(own[order], np.arange(tokens + 1))
+        self.lookup = np.full(tokens, -1, np.int32)  # set for one token at a time
+
+    def of(self, token: int, others: np.ndarray) -> np.ndarray | None:
+        """The ranks of the token's pairs with these others, -1 for none; None if it has no pairs at all."""
+        a, b = self.begin[token], self.begin[token + 1]
+        if a == b:
+            return None
+        self.lookup[self.other[a:b]] = self.rank[a:b]
+        out = self.lookup[others]
+        self.lookup[self.other[a:b]] = -1
+        return out
 
 
 def _characters(kind: str) -> set[str]:
     """The characters that tiktoken's own Unicode tables put into a class."""
+    import tiktoken  # on the driver alone
+
     every = "".join(chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000)
     bare = tiktoken.Encoding("bytes", pat_str=kind, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
     return set(bare.decode_bytes(bare.encode_ordinary(every)).decode())
 
 
 @cache
-def splitters(split: str) -> tuple[regex.Pattern, regex.Pattern, regex.Pattern | None]:
-    """The pattern for most texts; the one for texts with characters of which tiktoken's Unicode and this one's differ; a finder of these."""
+def splitters(split: str) -> tuple[str, str, str]:
+    """The pattern for most texts; the one for texts with characters of which tiktoken's Unicode and this one's differ; a pattern for these ("": none).
+
+    Takes seconds, as it asks for every code point: the driver makes it once and broadcasts it.
+    """
     exact, odd = split, set()
     every = "".join(chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000)
     for kind in (r"\p{L}", r"\p{N}"):
@@ -97,175 +129,310 @@ def splitters(split: str) -> tuple[regex.Pattern, regex.Pattern, regex.Pattern |
         more, less = "".join(map(regex.escape, sorted(theirs - ours))), "".join(map(regex.escape, sorted(ours - theirs)))
         odd |= theirs ^ ours
         exact = exact.replace(kind, f"[[{kind}{more}]--[{less}]]" if less else f"[{kind}{more}]")
-    if not odd:
-        return regex.compile(split), regex.compile(split), None
-    return regex.compile(split), regex.compile(f"(?V1){exact}"), regex.compile("[" + "".join(map(regex.escape, sorted(odd))) + "]")
+    return (split, f"(?V1){exact}", "[" + "".join(map(regex.escape, sorted(odd))) + "]") if odd else (split, split, "")
 
 
-class Codec:
-    """Encodes and decodes by a rank table; every single byte must have a rank."""
+class Decoder:
+    """Decodes by a rank table: a byte string for each id, and nothing else."""
 
-    def __init__(self, ranks: dict[bytes, int], split: str):
-        self.ranks = ranks
-        self.usual, self.exact, self.odd = splitters(split)
-        self.bytes_of = [b""] * (max(ranks.values()) + 1)
+    def __init__(self, ranks: dict[bytes, int]):
+        self.bytes_of: list[bytes | None] = [None] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
-        self.queue = RankQueue(len(self.bytes_of))
+
+    def decode(self, packed: bytes) -> bytes:
+        """The bytes that packed ids stand for; an id without a token raises an error."""
+        return b"".join(map(self.bytes_of.__getitem__, memoryview(packed).cast("I"))) if packed else b""
+
+
+class Codec(Decoder):
+    """Encodes and decodes by a rank table; every single byte must have a rank. ``patterns``: of ``splitters``."""
+
+    def __init__(self, ranks: dict[bytes, int], patterns: tuple[str, str, str]):
+        super().__init__(ranks)
+        self.ranks = ranks
+        usual, exact, odd = patterns
+        self.usual, self.exact, self.odd = regex.compile(usual), regex.compile(exact), regex.compile(odd) if odd else None
+        tokens = len(self.bytes_of)
+        self.queue = RankQueue(tokens)
+        pairs = np.array([(x, y, r) for t, r in ranks.items() for i in range(1, len(t)) if (x := ranks.get(t[:i])) is not None and (y := ranks.get(t[i:])) is not None], np.int32).reshape(-1, 3)
+        left, right, rank = pairs.T
+        self.after, self.before = Neighbours(left, right, rank, tokens), Neighbours(right, left, rank, tokens)
+        self.early = np.zeros(tokens, bool)  # tokens that take part in a pair of lower rank than their own
+        self.early[left[rank < left]] = self.early[right[rank < right]] = True
+        self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
+        two = np.full((256, 256), -1, np.int32)
+        for token, r in ranks.items():
+            if len(token) == 2:
+                two[token[0], token[1]] = r
+        self.two = two
         self.memory: dict[str, bytes] = {}
 
-    def merge(self, pieces: list[bytes]) -> list[list[int]]:
-        """The ids of each piece; a piece that is a token is that token, as in the tiktoken library."""
-        ranks, queue = self.ranks, self.queue
-        whole, pieces = pieces, [p for p in pieces if p not in ranks]
-        blob = b"".join(pieces)
-        n, buckets = len(blob), queue.buckets
-        # symbol i covers blob[i:right[i]]; left[i] is where the one before it begins; waits[i] is the rank of its pair
-        right, left, waits = list(range(1, n + 1)), list(range(-1, n - 1)), [-1] * n
-        first = bytearray(n + 1)  # where pieces begin: no pair reaches over
-        at = 0
-        for piece in pieces:
-            first[at] = 1
-            at += len(piece)
-        first[n] = 1
-        for i in range(n - 1):
-            if not first[i + 1] and (rank := ranks.get(blob[i : i + 2])) is not None:
-                waits[i] = rank
-                if (bucket := buckets.get(rank)) is not None:
-                    bucket.append(i)
-                else:
-                    queue.push(rank, i)
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """The packed ids of pieces that aren't tokens themselves, by one list and one queue."""
+        queue, blob = self.queue, b"".join(pieces)
+        n = len(blob)
+        edges = np.cumsum([0, *map(len, pieces)])
+        first = np.zeros(n + 1, bool)  # where pieces begin: no pair reaches over
+        first[edges] = True
+        raw = np.frombuffer(blob, np.uint8)
+        # symbol i covers blob[i:right[i]] and is the token name[i]; left[i] is where the one before it begins; waits[i] is the rank of its pair
+        right, left = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+        name, waits = np.append(self.single[raw], np.int32(0)), np.full(n, -1, np.int32)
+        waits[:-1] = np.where(first[1:-1], -1, self.two[raw[:-1], raw[1:]])
+        _push(queue, np.arange(n, dtype=np.int32), waits)
+        now = np.zeros(n + 1, bool)  # set for one bucket at a time: the positions that merge
+        slow: set[int] = set()
+        while entry := queue.pop():
+            rank, at = entry
+            at = at[waits[at] == rank]  # the others are stale: the symbol is gone, or its pair is another now
+            if not len(at):
+                continue
+            middle = right[at]
+            if (middle[:-1] == at[1:]).any():  # pairs that share a symbol: the first has it
+                at = _leftmost(at, middle)
+                middle = right[at]
+            end = right[middle]
+            if self.early[rank]:
+                now[at] = True
+                odd = self._odd(rank, at, end, first, left, name, now)
+                now[at] = False
+                if odd.any():  # pieces with such a merge are left to _slowly
+                    own = np.searchsorted(edges, at, "right") - 1
+                    bad = np.unique(own[odd])
+                    slow.update(bad.tolist())
+                    for p in bad.tolist():
+                        waits[edges[p] : edges[p + 1]] = -1  # all its entries are stale from now on
+                    at = at[~np.isin(own, bad)]
+                    middle = right[at]
+                    end = right[middle]
+            right[at], left[end], name[at] = end, at, rank
+            waits[middle] = waits[at] = -1
+            ranks = self.after.of(rank, name[end])
+            if ranks is not None:
+                ranks[first[end]] = -1
+                waits[at] = ranks
+                _push(queue, at, ranks)
+            inner = at[~first[at]]
+            behind = left[inner]
+            ranks = self.before.of(rank, name[behind])
+            waits[behind] = -1 if ranks is None else ranks
+            if ranks is not None:
+                _push(queue, behind, ranks)
+        at = np.flatnonzero(_begins(right))
+        ids, cuts = name[at].astype("<u4").tobytes(), (4 * np.searchsorted(at, edges)).tolist()
+        out = [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        for p in slow:
+            out[p] = self._slowly(pieces[p])
+        return out
+
+    def _odd(self, rank: int, at: np.ndarray, end: np.ndarray, first: np.ndarray, left: np.ndarray, name: np.ndarray, now: np.ndarray) -> np.ndarray:
+        """Which merges make a pair of a lower rank, that should come next; neighbours count as they are and as this bucket makes them."""
+        odd = np.zeros(len(at), bool)
+        behind = np.where(first[at], at, left[at])
+        for pairs, other, edge in ((self.after, end, first[end]), (self.before, behind, first[at])):
+            names = name[other]
+            for them in (names, np.where(now[other], rank, names)):
+                ranks = pairs.of(rank, them)
+                if ranks is not None:
+                    odd |= (ranks >= 0) & (ranks < rank) & ~edge
+        return odd
+
+    def _slowly(self, piece: bytes) -> bytes:
+        """One piece, one merge at a time; for pieces in which a merge makes a pair that should have come before it."""
+        ranks, queue, n = self.ranks, self.queue, len(piece)
+        right, left, waits = list(range(1, n + 1)), list(range(-1, n)), [-1] * n
+
+        def wait(i: int) -> int:
+            j = right[i] if i >= 0 else n
+            rank = ranks.get(piece[i : right[j]]) if i >= 0 and j < n else None
+            if i >= 0:
+                waits[i] = -1 if rank is None else rank
+            if rank is None:
+                return len(self.bytes_of)
+            queue.push(rank, np.array([i], np.int32))
+            return rank
+
+        for i in range(n):
+            wait(i)
         while entry := queue.pop():
             rank, positions = entry
-            for done, i in enumerate(positions, 1):
+            for done, i in enumerate(positions.tolist(), 1):
                 if waits[i] != rank:
-                    continue  # stale: the symbol is gone, or its pair is another now
+                    continue
                 j = right[i]
-                k = right[i] = right[j]
-                waits[j] = waits[i] = -1
-                lower = False
-                if not first[k]:
-                    left[k] = i
-                    if (new := ranks.get(blob[i : right[k]])) is not None:
-                        waits[i] = new
-                        lower = new < rank
-                        if (bucket := buckets.get(new)) is not None:
-                            bucket.append(i)
-                        else:
-                            queue.push(new, i)
-                if not first[i]:
-                    h = left[i]
-                    new = waits[h] = ranks.get(blob[h:k], -1)
-                    if new >= 0:
-                        lower = lower or new < rank
-                        if (bucket := buckets.get(new)) is not None:
-                            bucket.append(h)
-                        else:
-                            queue.push(new, h)
-                if lower:  # a pair of lower rank came up: it goes first
+                right[i] = right[j]
+                left[right[j]] = i
+                waits[j] = -1
+                if min(wait(i), wait(left[i])) < rank:  # a pair of lower rank came up: it goes first
                     if done < len(positions):
-                        queue.push(rank, *positions[done:])
+                        queue.push(rank, positions[done:])
                     break
-        out, i = [], 0
-        for piece in whole:
-            if piece in ranks:
-                out.append([ranks[piece]])
-                continue
-            end, ids = i + len(piece), []
-            while i < end:
-                ids.append(ranks[blob[i : right[i]]])
-                i = right[i]
-            out.append(ids)
-        return out
-
-    def _pieces(self, text: str) -> list[str]:
-        split = self.usual
+        ids, i = [], 0
+        while i < n:
+            ids.append(ranks[piece[i : right[i]]].to_bytes(4, "little"))
+            i = right[i]
+        return b"".join(ids)
+
+    def ids_of(self, pieces: list[bytes]) -> Iterator[bytes]:
+        """The packed ids of each piece, in order; a piece that is a token is that token, as in the tiktoken library."""
+        ranks = self.ranks
+        size, begin = 0, 0
+        for at, piece in enumerate(pieces):
+            if size and size + len(piece) > SLICE:
+                yield from self._sliced(pieces[begin:at])
+                size, begin = 0, at
+            size += 0 if piece in ranks else len(piece)
+        yield from self._sliced(pieces[begin:])
+
+    def _sliced(self, pieces: list[bytes]) -> Iterator[bytes]:
+        known = self.ranks
+        merged = iter(self.merge(rest) if (rest := [p for p in pieces if p not in known]) else ())
+        for p in pieces:
+            yield known[p].to_bytes(4, "little") if p in known else next(merged)
+
+    def _pattern(self, text: str) -> regex.Pattern:
         if self.odd is not None and not text.isascii():
             try:
                 text.encode("latin-1")  # holds none of them, and is quickly known
             except UnicodeEncodeError:
-                split = self.exact if self.odd.search(text) else split
-        return split.findall(text)
+                return self.exact if self.odd.search(text) else self.usual
+        return self.usual
+
+    def _learn(self, pieces: Iterable[str]) -> list[str]:
+        """Pieces that memory lacks are put there; those that are too long to stay are returned."""
+        memory = self.memory
+        new = sorted(p for p in set(pieces) if p not in memory)
+        memory.update(zip(new, self.ids_of([p.encode() for p in new]), strict=True))
+        return [p for p in new if len(p) > LONGEST]
+
+    def _long(self, text: str) -> bytes:
+        found, out = (m.group() for m in self._pattern(text).finditer(text)), []
+        while portion := list(islice(found, PORTION)):
+            passing = self._learn(portion)
+            out.append(b"".join(map(self.memory.__getitem__, portion)))
+            self._forget(passing)
+        return b"".join(out)
+
+    def _forget(self, passing: list[str]) -> None:
+        for piece in passing:
+            del self.memory[piece]
+        if len(self.memory) >= MEMORY:
+            self.memory.clear()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, packed as little-endian unsigned 32-bit integers."""
-        cut, memory = [self._pieces(text) for text in texts], self.memory
-        if len(memory) >= MEMORY:
-            memory.clear()
-        new = sorted({piece for pieces in cut for piece in pieces if piece not in memory})
-        packed = (b"".join([i.to_bytes(4, "little") for i in ids]) for ids in self.merge([p.encode() for p in new]))
-        here = dict(zip(new, packed, strict=True))
-        memory.update(here)
-        out = [b"".join(map(memory.__getitem__, pieces)) for pieces in cut]
-        for piece in here:
-            if len(piece) > LONGEST:
-                del memory[piece]
+        if len(texts) == 1 and len(texts[0]) > BLOCK:
+            return [self._long(texts[0])]
+        cut = [self._pattern(text).findall(text) for text in texts]
+        passing = self._learn(chain.from_iterable(cut))
+        out = [b"".join(map(self.memory.__getitem__, pieces)) for pieces in cut]
+        self._forget(passing)
         return out
 
-    def decode(self, packed: bytes) -> bytes:
-        """The bytes that packed ids stand for."""
-        return b"".join(map(self.bytes_of.__getitem__, memoryview(packed).cast("I"))) if packed else b""
 
+def _push(queue: RankQueue, positions: np.ndarray, ranks: np.ndarray) -> None:
+    """Each position into the bucket of its rank; none where that is -1."""
+    at = np.flatnonzero(ranks >= 0)
+    if not len(at):
+        return
+    at = at[np.argsort(ranks[at], kind="stable")]
+    found, positions = ranks[at], positions[at]
+    cuts = [0, *(np.flatnonzero(found[1:] != found[:-1]) + 1).tolist(), len(at)]
+    for a, b, rank in zip(cuts, cuts[1:], found[cuts[:-1]].tolist(), strict=False):
+        queue.push(rank, positions[a:b])
 
-def blocks(texts: pa.Array) -> Iterator[list[str]]:
-    """The texts in order, in lists of about BLOCK characters or one text."""
-    block, size = [], 0
-    for text in texts:
-        block.append(text.as_py())
-        size += len(block[-1])
-        if size >= BLOCK:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
 
+def _leftmost(at: np.ndarray, middle: np.ndarray) -> np.ndarray:
+    """Of positions whose pairs share symbols with the next, those that a walk from the left merges."""
+    kept, taken = [], -1
+    for i, j in zip(at.tolist(), middle.tolist(), strict=True):
+        if i != taken:
+            kept.append(i)
+            taken = j
+    return np.array(kept, np.int32)
 
-_codecs: dict[tuple, Codec] = {}
 
+def _begins(right: np.ndarray) -> np.ndarray:
+    """Where symbols begin: places that no symbol before reaches over (a swallowed one ends within its swallower)."""
+    out = np.ones(len(right), bool)
+    out[1:] = np.maximum.accumulate(right)[:-1] <= np.arange(1, len(right))
+    return out
 
-def _codec(shared, ranks_path: str, split: str) -> Codec:
-    """One codec for each Python worker, built from the broadcast ranks."""
-    key = (ranks_path, split)
+
+_codecs: dict[tuple, Decoder] = {}
+
+
+def _kept(what: str, path: str, split: str, make) -> Decoder:
+    """One codec of a kind for each Python worker, built from the broadcast tables."""
+    key = (what, path, split)
     if key not in _codecs:
         _codecs.clear()
-        _codecs[key] = Codec(shared.value, split)
+        _codecs[key] = make()
     return _codecs[key]
 
 
+def _encoder(df: DataFrame, ranks_path: str, split: str):
+    """A function that gives a Python worker its codec; tables (under 10 MB, whatever the corpus) are made on the driver and broadcast."""
+    shared = df.sparkSession.sparkContext.broadcast((read_ranks(ranks_path), splitters(split)))
+    return lambda: _kept("codec", ranks_path, split, lambda: Codec(*shared.value))
+
+
 def with_ids(docs: DataFrame, ranks_path: str, split: str, text: str = "text", out: str = "ids") -> DataFrame:
     """``docs`` and a binary column: the ids of the whole text, little-endian unsigned 32-bit, packed.
 
     Each match of ``split`` is encoded by itself, as the tiktoken library would, without
-    special tokens. A null or empty text has no ids. The rank table (under 10 MB, whatever
-    the corpus) is read on the driver from ``ranks_path`` and broadcast.
+    special tokens. A null or empty text has no ids. A column named ``out`` is replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+    codec_of = _encoder(docs, ranks_path, split)
 
     @F.arrow_udf("binary")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = _codec(shared, ranks_path, split)
+        codec = codec_of()
         for texts in batches:
-            yield pa.array([ids for block in blocks(texts) for ids in codec.encode(block)], pa.binary())
+            for block in blocks(texts, BLOCK):
+                yield pa.array(codec.encode(block), pa.binary())
 
     return docs.withColumn(out, encode(text_of(text)))
 
 
-def with_bytes(df: DataFrame, ranks_path: str, split: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
+def with_bytes(df: DataFrame, ranks_path: str, split: str = "", ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``df`` and a binary column: the bytes that the packed ids stand for; null ids give no bytes.
 
-    An id that the rank table lacks raises an error: the ids are not of this table.
+    An id that the rank table lacks raises an error: the ids are not of this table. A column
+    named ``out`` is replaced. ``split`` is not needed, as tokens are joined without it.
     """
     shared = df.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
     @F.arrow_udf("binary")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = _codec(shared, ranks_path, split)
+        decoder = _kept("decoder", ranks_path, "", lambda: Decoder(shared.value))
         for packed in batches:
-            yield pa.array([codec.decode(p.as_py()) for p in packed], pa.binary())
+            for k in range(0, len(packed), 256):
+                yield pa.array([decoder.decode(p.as_py()) for p in packed[k : k + 256]], pa.binary())
 
     return df.withColumn(out, decode(F.coalesce(ids, F.lit(b""))))
 
 
+def with_round_trip(docs: DataFrame, ranks_path: str, split: str, text: str = "text", out: str = "coded") -> DataFrame:
+    """``docs`` and a struct column: ``ids`` as of ``with_ids`` and ``decoded``, the bytes that these ids stand for.
+
+    Both are made in one pass by one Python worker a core, where ``with_ids`` and
+    ``with_bytes`` in one plan take two. A column named ``out`` is replaced.
+    """
+    codec_of = _encoder(docs, ranks_path, split)
+
+    @F.arrow_udf("struct<ids: binary, decoded: binary>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        codec = codec_of()
+        for texts in batches:
+            for block in blocks(texts, BLOCK):
+                ids = codec.encode(block)
+                yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array([codec.decode(i) for i in ids], pa.binary())], ["ids", "decoded"])
+
+    return docs.withColumn(out, both(text_of(text)))
+
+
 def unpacked(ids: str = "ids"):
     """A column of packed ids as ``array<long>``."""
     digits = F.hex(ids)

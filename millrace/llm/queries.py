@@ -14,10 +14,9 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded and decoded: ``doc_id, n_tokens, ids_sha256, decoded_sha256``."""
     ranks, split = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = bpe.with_ids(docs, ranks, split).select("doc_id", "ids")
-    decoded = bpe.with_bytes(encoded, ranks, split)
+    coded = bpe.with_round_trip(docs, ranks, split).select("doc_id", "coded.ids", "coded.decoded")
     n_tokens = (F.length("ids") / 4).cast("long")
-    return decoded.select("doc_id", n_tokens.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return coded.select("doc_id", n_tokens.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op2_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
