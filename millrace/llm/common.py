@@ -16,9 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where it is unset (tests on one machine), a new temporary one."""
+    """The folder named by ``spark.checkpoint.dir``. Where it is unset: on one machine (tests) a new temporary one, on a cluster an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -29,14 +31,27 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/millrace/{what}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: lineage ends there, and a lost executor costs no earlier stage."""
+def written(df: DataFrame, what: str, instead_of: DataFrame | None = None) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: lineage ends there, and a lost executor costs no earlier stage.
+
+    ``instead_of``: a result of this function, or made from one, that nothing needs any more;
+    the table behind it is deleted. Other tables stay as long as the folder, as results are lazy.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, what)
     df.write.parquet(path)
+    for old in instead_of.inputFiles() if instead_of is not None else ():
+        if f"/millrace/{what}-" in old:
+            delete(spark, old.rpartition("/")[0])
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder, through the file system that Spark knows for it; one that is gone is no error."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def unused(taken: Iterable[str], name: str) -> str:
     """``name``, with underscores put before it until no column of ``taken`` has it (compared without case)."""
     have = {c.lower() for c in taken}

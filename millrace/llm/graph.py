@@ -47,7 +47,7 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
     for _ in range(max_rounds):
         if not before[0]:
             break
-        now = written(_star(_star(now, True), False), "links")
+        now = written(_star(_star(now, True), False), "links", instead_of=now)
         after = mark(now)
         if after == before:
             break

@@ -3,19 +3,29 @@
 A classifier learnt from a labelled table gives each document a posterior over domains, so a
 document counts for several domains at once. Rates r >= 0, one for each document, are then
 fitted by projected gradient: with tokens n and posteriors p, the expected tokens of domain k
-are T_k = sum(r * n * p_k), and sum((T_k - t_k)^2 / m_k) is made least, where t are the targets
-and m the totals at r = 1. In the metric that weighs documents by their tokens the gradient is
-sum_k p_k (T_k - t_k) / m_k and the largest eigenvalue 1, so a step of length 1 is safe; longer
-ones take the curvature that the last step met (Barzilai and Borwein), and the best rates count.
-
-A step needs K totals from all documents and nothing else, so that is all that comes to the
-driver; the rate is a column expression over the posterior and the residuals of all steps, and
-each step is one aggregate over the numeric columns.
+are T_k = sum(r * n * p_k), and
+
+    sum_k (T_k - t_k)^2 / m_k  +  RIDGE * sum(n * (r - 1)^2)
+
+is made least, where t are the targets and m the totals at r = 1. The second, small part makes
+the best rates unique: without it a target that no rates reach (as of nothing, where every
+posterior is over 0) is approached by dropping nearly all documents. In the metric that weighs
+documents by their tokens the gradient is sum_k p_k (T_k - t_k) / m_k + RIDGE * (r - 1) and the
+largest curvature 1 + RIDGE, so each step of length 1 / (1 + RIDGE) makes the sum smaller.
+
+At the optimum r = max(0, 1 - p . price) with price_k = (T_k - t_k) / (RIDGE * m_k). Documents of
+nearly equal posteriors make a cell (at most CELLS of them, whatever the corpus); all of a cell
+at its mean posterior, the driver finds the prices by many cheap steps. From there steps over
+all documents go on until one moves no rate by more than NEAR, in the mean square over tokens.
+Such a step needs K totals from all documents and nothing else; the rate is a column expression
+over the posterior, the prices and the residuals of these steps.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
+from math import comb
 from zlib import crc32
 
 import numpy as np
@@ -29,7 +39,10 @@ MAX_FIT = 20_000  # labelled documents that the classifier learns from at most:
 BUCKETS = 1 << 15  # of hashed words
 PRIOR_WEIGHT = 20.0  # documents' worth of the overall rate in each domain's rate
 HEATS = (1, 2, 4, 8, 16, 32, 64)  # by which log-odds may be divided
-STEPS, NEAR, LONGEST_STEP = 60, 1e-3, 1000.0  # at most so many steps; done when all totals are so near, relative to the whole
+RIDGE = 1e-3  # what a rate's distance from 1 counts beside the targets
+CELLS = 20_000  # of posteriors, at most
+CELL_STEPS = 50_000  # on the cells, at most; they only give the steps over documents their start
+NEAR, MOST_STEPS = 1e-4, 200  # over documents: settled at so small a step; an error if that isn't reached
 CUT = 6  # steps after which rates are written
 
 
@@ -63,9 +76,11 @@ class Posterior:
 def learn(docs: DataFrame, labelled: DataFrame, domains: int, doc_id: str = "doc_id", text: str = "text", most: int = MAX_FIT) -> Posterior:
     """A model from ``labelled`` (``doc_id, domain`` with domains from 0), of at most ``most`` ids.
 
-    Ids that are null, have a null domain or more than one are left out. Four fifths give the
-    counts; the last fifth chooses the heat that makes its log-likelihood best. Counts (at
-    most domains x BUCKETS) and the last fifth's evidence come to the driver.
+    Ids that are null, have a null domain or more than one are left out; those are taken whose
+    hashes are the smallest. An id that several documents have counts once, by the least of
+    their sets of words. Four fifths give the counts; the last fifth chooses the heat that makes
+    its log-likelihood best. Counts (at most domains x BUCKETS) and the last fifth's words come
+    to the driver.
     """
     known = labelled.select(F.col(doc_id).alias("_id"), F.col("domain").cast("int").alias("_y")).filter("_id is not null and _y is not null")
     known = known.groupBy("_id").agg(F.min("_y").alias("_y"), F.max("_y").alias("_y2")).filter("_y = _y2").drop("_y2")
@@ -77,14 +92,15 @@ def learn(docs: DataFrame, labelled: DataFrame, domains: int, doc_id: str = "doc
             yield pa.array([buckets(t.as_py())[1].tolist() for t in texts], pa.list_(pa.int32()))
 
     rows = docs.select(F.col(doc_id).alias("_d"), text_of(text).alias("_t")).join(sample, F.col("_d") == F.col("_id"))
-    rows = written(rows.select("_id", "_y", words("_t").alias("w"), (F.pmod(F.crc32(F.col("_id").cast("string")), F.lit(5)) == 0).alias("last")), "labelled")
+    rows = rows.select("_id", "_y", words("_t").alias("w")).groupBy("_id", "_y").agg(F.min("w").alias("w"))
+    rows = written(rows.withColumn("last", (F.pmod(F.crc32(F.col("_id").cast("string")), F.lit(5)) == 0)), "labelled")
     counts, size = np.zeros((domains, BUCKETS)), np.zeros(domains)
     for r in rows.filter("not last").groupBy("_y").count().collect():
         size[r["_y"]] = r["count"]
     pairs = rows.filter("not last").select("_y", F.explode("w").alias("w")).groupBy("_y", "w").count().toArrow()
     counts[pairs["_y"].to_numpy(), pairs["w"].to_numpy()] = pairs["count"].to_numpy()
     model = Posterior(counts, size)
-    rest = rows.filter("last").orderBy("_id", "w").limit(most).toArrow()
+    rest = rows.filter("last").orderBy("_id").toArrow()  # ids are unique: at most ``most`` rows
     if len(rest):
         evidence = np.array([model.evidence(np.array(w, np.int64)) for w in rest["w"].to_pylist()])
         y = rest["_y"].to_numpy()
@@ -107,69 +123,104 @@ def with_posterior(docs: DataFrame, model: Posterior, text: str = "text", out: s
     return docs.withColumn(out, posterior(text_of(text)))
 
 
-def rate(p: list[Column], residuals: list[list[float]]) -> Column:
-    """The rate of a document with posteriors ``p`` after steps with these residuals, replayed in one expression."""
-    if not residuals:
-        return F.lit(1.0)
-    steps = F.array(*(F.array(*(F.lit(float(x)) for x in step)) for step in residuals))
-    return F.aggregate(steps, F.lit(1.0), lambda r, step: _stepped(r, p, [step[k] for k in range(len(p))]))
+@dataclass
+class Fit:
+    """Prices, the residuals of the steps after them, and what came of it."""
+
+    prices: list[float]
+    steps: list[list[float]] = field(default_factory=list)
+    wanted: list[float] = field(default_factory=list)  # tokens of each domain
+    reached: list[float] = field(default_factory=list)
+    moved: float = 0.0  # by the last step
+
+
+def rate(p: list[Column], found: Fit) -> Column:
+    """The rate of a document with posteriors ``p``: by the prices, and the steps replayed, in one expression."""
+    first = F.greatest(F.lit(0.0), 1 - _dot(p, found.prices))
+    if not found.steps:
+        return first
+    steps = F.array(*(F.array(*(F.lit(float(x)) for x in step)) for step in found.steps))
+    return F.aggregate(steps, first, lambda r, step: _stepped(r, p, [step[k] for k in range(len(p))]))
+
+
+def _dot(p: list[Column], numbers: list) -> Column:
+    out = F.lit(0.0)
+    for share, x in zip(p, numbers, strict=True):
+        out = out + share * x
+    return out
 
 
 def _stepped(r: Column, p: list[Column], residual: list) -> Column:
     """A rate after one more step."""
-    slope = F.lit(0.0)
-    for share, x in zip(p, residual, strict=True):
-        slope = slope + share * x
-    return F.greatest(F.lit(0.0), r - slope)
+    return F.greatest(F.lit(0.0), r - (_dot(p, residual) + RIDGE * (r - 1)) / (1 + RIDGE))
+
+
+def cell_prices(n: np.ndarray, p: np.ndarray, target: np.ndarray, inverse: np.ndarray) -> np.ndarray:
+    """Prices for cells of ``n`` tokens and mean posteriors ``p``, by projected gradient with momentum that restarts."""
+    r = ahead = np.ones(len(n))
+    pace = 1.0
+    for _ in range(CELL_STEPS):
+        slope = p @ (((ahead * n) @ p - target) * inverse) + RIDGE * (ahead - 1)
+        new = np.maximum(0, ahead - slope / (1 + RIDGE))
+        if ((ahead - new) * (new - r) * n).sum() > 0:
+            pace = 1.0
+        faster = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
+        ahead, gap = new + (pace - 1) / faster * (new - r), ((new - r) ** 2 * n).sum()
+        r, pace = new, faster
+        if gap <= 1e-16 * n.sum():
+            break
+    return ((r * n) @ p - target) * inverse / RIDGE
 
 
-def fit(mixed: DataFrame, weights: list[float], tokens: Column, p: list[Column], total: float | None = None) -> list[list[float]]:
-    """The residuals of the steps that bring the expected tokens of each domain to ``weights`` of the ``total``.
+def fit(mixed: DataFrame, weights: list[float], tokens: Column, p: list[Column], total: float | None = None) -> Fit:
+    """The rates that bring the expected tokens of each domain to ``weights`` of the ``total``.
 
     ``total``: by default what there is. A domain that no document belongs to is left out,
-    its weight unreached. An empty table needs no step.
+    its weight unreached. An empty table needs no step. The result says how many tokens of each
+    domain were wanted and reached. A fit that doesn't settle is an error, not a result.
     """
     if min(weights) < 0 or sum(weights) <= 0:
         raise ValueError("weights must be nonnegative, and not all zero")
-    shares = np.array(weights) / sum(weights)
-
-    names = [f"p{k}" for k in range(len(p))]
+    shares, k = np.array(weights) / sum(weights), len(p)
+    names = [f"p{i}" for i in range(k)]
     shown = [F.col(x) for x in names]
-    state = mixed.select(tokens.cast("double").alias("n"), *(x.alias(name) for x, name in zip(p, names, strict=True)), F.lit(1.0).alias("r"), F.lit(1.0).alias("was"))
-
-    def totals() -> tuple[np.ndarray, float]:
-        """The domains' tokens, and the length of the last step, squared, in the metric of tokens."""
-        gap = F.col("r") - F.col("was")
-        row = state.agg(*(F.sum(F.col("r") * F.col("n") * x) for x in shown), F.sum(F.col("n") * gap * gap)).first()
-        return np.array([v or 0.0 for v in row[:-1]]), row[-1] or 0.0
-
-    now, _ = totals()
-    mass = now
+    numbers = mixed.select(tokens.cast("double").alias("n"), *(x.alias(name) for x, name in zip(p, names, strict=True)))
+
+    levels = 1
+    while comb(levels + 1 + k, k) <= CELLS:
+        levels += 1
+    cell = [F.floor(x * levels).alias(f"c{i}") for i, x in enumerate(shown)]
+    cells = numbers.groupBy(*cell).agg(F.sum("n").alias("n"), *(F.sum(F.col("n") * x).alias(name) for x, name in zip(shown, names, strict=True))).filter("n > 0").toArrow()
+    inside = np.array([cells[name].to_numpy() for name in names]).T.reshape(-1, k)
+    mass, size = inside.sum(0), cells["n"].to_numpy()
     inverse = np.where(mass > 0, 1 / np.maximum(mass, 1e-300), 0.0)
     target = shares * (mass.sum() if total is None else total)
-    steps: list[list[float]] = []
-    best, best_at, length = np.inf, 0, 1.0
+    found = Fit([0.0] * k, wanted=target.tolist(), reached=mass.tolist())
+    if not mass.sum():
+        return found
+    found.prices = cell_prices(size, inside / size[:, None], target, inverse).tolist()
+
+    state = numbers.withColumns({"r": rate(shown, found), "was": F.lit(0.0)})
     while True:
-        off = np.where(mass > 0, now - target, 0.0)
-        if (off * off * inverse).sum() < best:
-            best, best_at = (off * off * inverse).sum(), len(steps)
-        if len(steps) == STEPS or np.abs(off).max() <= NEAR * max(target.sum(), 1e-9):
-            break
-        steps.append((length * off * inverse).tolist())
-        state = state.withColumns({"was": F.col("r"), "r": _stepped(F.col("r"), shown, steps[-1])})
-        if len(steps) % CUT == 0:  # the expression stays short
-            state = written(state, "rates")
-        before, (now, moved) = now, totals()
-        curve = ((now - before) ** 2 * inverse).sum()
-        length = float(np.clip(moved / curve, 1.0, LONGEST_STEP)) if curve > 0 else 1.0
-    return steps[:best_at]
+        gap = F.col("r") - F.col("was")
+        row = state.agg(*(F.sum(F.col("r") * F.col("n") * x) for x in shown), F.sum(F.col("n") * gap * gap)).first()
+        found.reached = [v or 0.0 for v in row[:-1]]
+        found.moved = float(np.sqrt(row[-1] / size.sum()))
+        if found.steps and found.moved <= NEAR:
+            return found
+        if len(found.steps) == MOST_STEPS:
+            raise RuntimeError(f"rates did not settle in {MOST_STEPS} steps: the last one moved them by {found.moved}")
+        found.steps.append(((np.array(found.reached) - target) * inverse).tolist())
+        state = state.withColumns({"was": F.col("r"), "r": _stepped(F.col("r"), shown, found.steps[-1])})
+        if len(found.steps) % CUT == 0:  # the expression stays short
+            state = written(state, "rates", instead_of=state)
 
 
 def rated(scored: DataFrame, weights: list[float], total: float | None = None, doc_id: str = "doc_id", column: str = "mix") -> DataFrame:
     """``scored`` (of ``with_posterior``) with ``rate`` and ``copies`` in its struct.
 
     It is written to the shared folder once, so texts are classified once; the steps read the
-    numbers alone. ``copies`` is the rate rounded down or up, by a hash of the id, so that it
+    numbers alone. A column named ``column`` of ``scored`` is replaced, others stay. ``copies`` is the rate rounded down or up, by a hash of the id, so that it
     is the rate in expectation.
     """
     held = written(scored, "mixed")

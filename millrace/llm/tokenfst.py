@@ -40,8 +40,8 @@ from millrace.llm.common import blocks, text_of
 
 STREAM = 1 << 20  # characters stepped through together
 CHUNK, RUN_UP = 512, 48  # bytes
-MOST_STATES = 250_000  # kept between streams; some 300 bytes each, with their transitions
-MOST_AGREE = 200_000  # answers kept about pairs of tokens
+MOST_STATES = 500_000  # kept between streams; some 300 bytes each, with their transitions
+MOST_AGREE = 400_000  # answers kept about pairs of tokens
 SPREAD = np.uint64(0x9E3779B97F4A7C15)  # an odd multiplier
 BEFORE, AFTER = 4, 3  # characters around a place that decide whether a piece begins there
 END, SPACE, WHITE, LETTER, NUMBER, OTHER = range(6)

@@ -1,23 +1,7 @@
-"""The query's targets, and totals of the fit against an independent one."""
+"""The query's targets."""
 
-import numpy as np
-from pyspark.sql import functions as F
-
-from millrace.llm import mixing
 from millrace.llm.queries import WEIGHTS
-from tests.llm.test_mixing import direct
 
 
 def test_the_query_has_a_target_of_nothing():
     assert WEIGHTS == [0.05, 0.9, 0.0, 0.05]
-
-
-def test_equal_weights_against_direct_fit(spark):
-    rng = np.random.default_rng(3)
-    p, n = rng.dirichlet([0.3, 0.3, 0.3], 500), rng.integers(0, 300, 500)
-    df = spark.createDataFrame([(i, int(n[i]), [float(x) for x in p[i]]) for i in range(500)], "doc_id long, n long, p array<double>").repartition(5)
-    cols = [F.col("p")[k] for k in range(3)]
-    steps = mixing.fit(df, [1, 1, 1], F.col("n"), cols)
-    r = np.array([x.r for x in df.withColumn("r", mixing.rate(cols, steps)).orderBy("doc_id").collect()])
-    best = direct(n, p, np.full(3, n.sum() / 3), 3000)
-    assert np.abs((((r - best) * n)[:, None] * p).sum(0)).max() <= 2e-3 * n.sum()
