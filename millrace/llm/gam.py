@@ -193,8 +193,9 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     """A model from at most ``most`` labelled documents that are not held out.
 
     Null labels and ids whose labels differ are left out. The sample is those ids with the
-    smallest hashes: a uniform one, and the same on every run. Only its numbers (26 a row)
-    come to the driver.
+    smallest hashes: a uniform one, and the same on every run. An id that several documents
+    have counts once, by the least of their rows of numbers. Only the sample's numbers (26 a
+    row) come to the driver.
     """
     known = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("double").alias("_y")).filter("_id is not null and _y is not null")
     known = known.filter(~held_out(F.col("_id"))).groupBy("_id").agg(F.min("_y").alias("_y"), F.max("_y").alias("_y2")).filter("_y = _y2").drop("_y2")
@@ -206,13 +207,13 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             yield pa.array(_table(texts.to_pylist()).tolist(), pa.list_(pa.float64()))
 
     joined = docs.select(F.col(doc_id).alias("_d"), text_of(text).alias("_t")).join(sample, F.col("_d") == F.col("_id"))
-    rows = joined.select("_id", "_y", numbers("_t").alias("x")).orderBy("_id", "x").limit(2 * most).toArrow()
+    rows = joined.select("_id", "_y", numbers("_t").alias("x")).groupBy("_id", "_y").agg(F.min("x").alias("x")).orderBy("_id").toArrow()
     x = np.array(rows["x"].to_pylist(), np.float64).reshape(-1, len(FEATURES))
     return fit(x, np.array(rows["_y"].to_pylist(), np.float64))
 
 
 def with_score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
-    """``docs`` and a double column from 0 to 1: the probability of label 1. Null and empty texts have one too."""
+    """``docs`` and a double column from 0 to 1: the probability of label 1. Null and empty texts have one too; a column named ``out`` is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
