@@ -23,7 +23,9 @@ def shared_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
         spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
+    where = spark._jvm.org.apache.hadoop.fs.Path(named)
+    whole = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()  # a path without a scheme means what Spark means
+    return (f"file://{whole[5:]}" if whole.startswith("file:/") and not whole.startswith("file://") else whole).rstrip("/")
 
 
 def fresh_path(spark: SparkSession, what: str) -> str:
@@ -52,6 +54,31 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+BITS_A_KEY, MOST_BITS = 32, 1 << 28  # of a filter; at most 32 MB are broadcast
+
+
+def split_by_keys(df: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``df`` in two: rows whose key may be in ``keys`` (one column), which all are whose key is, and rows whose key is not.
+
+    A Bloom filter of one hash decides, so that only the first part need go through a join.
+    About a row in 32 is there in vain; more of them if there are over 8 million keys, as the
+    filter stays within 32 MB. A null key may be in either part.
+    """
+    n = keys.count()
+    if not n:
+        return df.filter(F.lit(False)), df
+    bits = min(MOST_BITS, max(1 << 15, 1 << (BITS_A_KEY * n - 1).bit_length()))
+    bucket, bit, hit = (unused(df.columns, x) for x in ("bucket", "bits", "hit"))
+    place = F.pmod(F.xxhash64(F.col(f"`{keys.columns[0]}`")), F.lit(bits))
+    maps = keys.groupBy(F.floor(place / (1 << 15)).alias(bucket)).agg(F.bitmap_construct_agg(F.pmod(place, F.lit(1 << 15))).alias(bit))
+    own = F.pmod(F.xxhash64(key), F.lit(bits))
+    at = F.pmod(own, F.lit(1 << 15)).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col(bit), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = df.withColumn(hit, own).join(F.broadcast(maps), F.floor(F.col(hit) / (1 << 15)) == F.col(bucket), "left")
+    marked = marked.withColumn(hit, F.coalesce(F.getbit(byte, F.pmod(at, F.lit(8))) == 1, F.lit(False))).drop(bucket, bit)
+    return marked.filter(F.col(hit)).drop(hit), marked.filter(~F.col(hit)).drop(hit)
+
+
 def unused(taken: Iterable[str], name: str) -> str:
     """``name``, with underscores put before it until no column of ``taken`` has it (compared without case)."""
     have = {c.lower() for c in taken}

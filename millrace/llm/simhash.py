@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import text_of, unused, written
+from millrace.llm.common import split_by_keys, text_of, unused, written
 from millrace.llm.graph import components
 
 WORD = pattern(rb"[^\x20\x09-\x0D]+")
@@ -62,7 +62,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fingerprin
 
     A-Z are lower-cased; words are runs without the six ASCII white-space characters;
     shingles count as often as they occur; a text with fewer words is one shingle; no words
-    (null or empty text too) give 0.
+    (null or empty text too) give 0. A column named ``out`` is replaced.
     """
 
     @F.arrow_udf("long")
@@ -170,10 +170,9 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **para
     found = near_duplicates(docs, doc_id, text, **params).filter(F.col(doc_id).isNotNull())
     found = written(found.select(F.col(doc_id).alias("id"), "component_id"), "components")
     gone = found.filter("id != component_id").select(F.col("id").alias(unused(docs.columns, "id"))).distinct()
-    left = docs.join(gone, docs[doc_id] == gone[gone.columns[0]], "left_anti")
-    again = found.groupBy("id").count().filter("count > 1")
-    if again.isEmpty():
-        return left
-    again = again.select(F.col("id").alias(unused(docs.columns, "id")))
+    again = found.groupBy("id").count().filter("count > 1").select(F.col("id").alias(gone.columns[0]))
+    asked, settled = split_by_keys(docs, F.col(doc_id), gone.union(again).distinct())  # most texts need no join
+    left = asked.join(gone, asked[doc_id] == gone[gone.columns[0]], "left_anti")
     same = left[doc_id] == again[again.columns[0]]
-    return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates([doc_id]))
+    once = left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates([doc_id]))
+    return once.unionByName(settled)
