@@ -9,6 +9,7 @@ name first, so a task that runs again replaces what it wrote before.
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 import struct
 from collections.abc import Iterator
@@ -21,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import written
+from millrace.llm.common import split_by_keys, written
 
 ARCHIVE_BYTES = 24 << 20  # of records before compression
 SAMPLE_BYTES, DICTIONARY_BYTES = 3 << 20, 96 << 10
@@ -97,16 +98,17 @@ def with_references(pages: DataFrame, page_id: str, html: str) -> DataFrame:
 
     Only payloads of LEAST_SHARED bytes take part; equality is by SHA-256. A payload that
     very many pages share costs one row a task in the aggregate, and a join by its key whose
-    skew adaptive execution can split. Shorter payloads are not shuffled.
+    skew adaptive execution can split. Pages whose payload no other page has (but for a few, by
+    a Bloom filter) and shorter ones are not shuffled.
     """
     shown = pages.withColumn("_payload", F.coalesce(F.col(html), F.lit("")).cast("binary"))
-    shown = shown.withColumns({"_sha1": F.sha1("_payload"), "_key": F.sha2("_payload", 256)})
-    long = F.length("_payload") >= LEAST_SHARED
-    shared = shown.filter(long).groupBy("_key").agg(F.max(page_id).alias("_largest"), F.count("*").alias("_n")).filter("_n > 1")
-    joined = shown.filter(long).join(shared.select(F.col("_key").alias("_k"), "_largest"), F.col("_key") == F.col("_k"), "left").drop("_k")
-    short = shown.filter(~long).withColumn("_largest", F.lit(None).cast("long"))
+    shown = shown.withColumns({"_sha1": F.sha1("_payload"), "_key": F.when(F.length("_payload") >= LEAST_SHARED, F.sha2("_payload", 256))})
+    keys = shown.filter(F.col("_key").isNotNull()).groupBy("_key").agg(F.max(page_id).alias("_largest"), F.count("*").alias("_n")).filter("_n > 1")
+    keys = written(keys.select(F.col("_key").alias("_k"), "_largest"), "shared")
+    asked, alone = split_by_keys(shown, F.col("_key"), keys.select("_k"))
+    joined = asked.join(keys, F.col("_key") == F.col("_k"), "left").drop("_k")
     refers = F.when(~F.col(page_id).eqNullSafe(F.col("_largest")), F.col("_largest"))
-    return joined.unionByName(short).withColumn("_refers", refers).drop("_key", "_largest")
+    return joined.unionByName(alone.withColumn("_largest", F.lit(None).cast("long"))).withColumn("_refers", refers).drop("_key", "_largest")
 
 
 def write_archives(pages: DataFrame, target: str, page_id: str = "page_id", url: str = "url", html: str = "html", date: str = "2000-01-01T00:00:00Z") -> DataFrame:
@@ -160,8 +162,10 @@ _ID = re.compile(r"<urn:page:(-?\d+)>")
 def read_archives(spark: SparkSession, target: str, payload: bool = True) -> DataFrame:
     """The records of a folder of archives: ``page_id, url, record_type, refers_to, payload_bytes, payload_digest`` and the payload.
 
-    The digest is bare lower-case hex SHA-1 as the header has it, the payload's length that
-    of the HTTP header; both are of the full payload, for revisits too.
+    Length and SHA-1 (bare lower-case hex) are counted from the payload that is read; one that
+    differs from its record's headers is an error. A revisit has none: its figures are those of
+    the response that it refers to, and it is an error if that is missing or not the one that
+    the revisit's headers tell of.
     """
     fields = [("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())]
     fields += [("payload", pa.binary())] * payload
@@ -176,11 +180,23 @@ def read_archives(spark: SparkSession, target: str, payload: bool = True) -> Dat
             for content in batch.column("content"):
                 rows = []
                 for warc, http, body in records_of(content.as_py()):
-                    digest = base64.b32decode(warc["warc-payload-digest"].removeprefix("sha1:")).hex()
-                    row = {"page_id": number(warc["warc-record-id"]), "url": warc["warc-target-uri"], "record_type": warc["warc-type"], "refers_to": number(warc.get("warc-refers-to")), "payload_bytes": int(http["content-length"]), "payload_digest": digest}
+                    size, digest = int(http["content-length"]), base64.b32decode(warc["warc-payload-digest"].removeprefix("sha1:")).hex()
+                    if warc["warc-type"] == "response" and (size, digest) != (len(body), hashlib.sha1(body).hexdigest()):
+                        raise ValueError(f"{warc['warc-record-id']}: the payload is not what its headers tell of")
+                    row = {"page_id": number(warc["warc-record-id"]), "url": warc["warc-target-uri"], "record_type": warc["warc-type"], "refers_to": number(warc.get("warc-refers-to")), "payload_bytes": size, "payload_digest": digest}
                     rows.append(row | ({"payload": body} if payload else {}))
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{SUFFIX}").load(target).select("content")
     kinds = {"int64": "long", "string": "string", "binary": "binary"}
-    return files.mapInArrow(read, ", ".join(f"{name} {kinds[str(kind)]}" for name, kind in fields))
+    records = files.mapInArrow(read, ", ".join(f"{name} {kinds[str(kind)]}" for name, kind in fields))
+    narrow = [name for name, _ in fields if name != "payload"]
+    if not payload:
+        records = written(records, "records")  # archives are read once
+    first, again = records.filter("refers_to is null"), records.filter("refers_to is not null")
+    known = first.filter("page_id is not null").select(F.col("page_id").alias("_of"), F.col("payload_bytes").alias("_bytes"), F.col("payload_digest").alias("_digest"))
+    known = known.groupBy("_of").agg(F.min("_bytes").alias("_bytes"), F.min("_digest").alias("_digest"))  # rows that repeat a page
+    same = (F.col("_bytes") == F.col("payload_bytes")) & (F.col("_digest") == F.col("payload_digest"))
+    checked = F.when(F.coalesce(same, F.lit(False)), F.col("_digest")).otherwise(F.raise_error(F.concat(F.lit("no such response for the revisit "), F.coalesce(F.col("page_id").cast("string"), F.lit("null")))).cast("string"))
+    again = again.join(known, F.col("refers_to") == F.col("_of"), "left").withColumns({"payload_digest": checked, "payload_bytes": F.col("_bytes")})
+    return first.unionByName(again.select(*narrow, *["payload"] * payload))

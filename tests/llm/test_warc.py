@@ -4,6 +4,7 @@ import hashlib
 import struct
 from glob import glob
 
+import pytest
 import zstandard
 from pyspark.sql import functions as F
 
@@ -55,6 +56,27 @@ def test_revisits_nulls_repeats_and_clashes(spark, tmp_path, monkeypatch):
     assert warc.read_archives(spark, f"file://{tmp_path}/b").count() == 0
 
 
+def test_a_damaged_payload_is_an_error(spark, tmp_path):
+    good = b"a payload " * 200
+    digest = hashlib.sha1(good).digest()
+    fine = warc.record(1, "u", good, len(good), digest, None, "d")
+    cases = {
+        "fine": [fine, warc.record(2, "u", b"", len(good), digest, 1, "d")],
+        "byte": [fine.replace(b"payload", b"paxload", 1)],
+        "revisit": [fine, warc.record(2, "u", b"", len(good), hashlib.sha1(b"").digest(), 1, "d")],
+        "missing": [fine, warc.record(2, "u", b"", len(good), digest, 3, "d")],
+    }
+    for name, records in cases.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / f"x{warc.SUFFIX}").write_bytes(warc.archive(records))
+        read = lambda: warc.read_archives(spark, f"file://{tmp_path}/{name}", payload=False).collect()  # noqa: B023, E731
+        if name == "fine":
+            assert {r.payload_digest for r in read()} == {digest.hex()}
+        else:
+            with pytest.raises(Exception, match="headers|revisit"):
+                read()
+
+
 def test_query_over_a_whole_table(spark, sf_dir):
     pages = {r.page_id: (r.html or "").encode() for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
     largest = {}
