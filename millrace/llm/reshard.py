@@ -14,7 +14,7 @@ from collections import deque
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import salted, text_of
+from millrace.llm.common import salted, text_of, written
 
 #: Blocks of an old shard: one for so many rows of the corpus, within these bounds.
 ROWS_A_BLOCK, FEWEST_BLOCKS, MOST_BLOCKS = 20_000, 64, 65_536
@@ -85,9 +85,13 @@ def even(total: int, shards: int) -> list[int]:
     return [total // shards + (j < total % shards) for j in range(shards)]
 
 
-def reshard(docs: DataFrame, old_shard: Column, shards: int, doc_id: str = "doc_id", text: str = "text", capacities: list[int] | None = None) -> DataFrame:
+def reshard(docs: DataFrame, old_shard: Column, shards: int, doc_id: str = "doc_id", text: str = "text", capacities: list[int] | None = None, file: str | None = None, row: str | None = None) -> DataFrame:
     """``docs`` and ``size, text_crc32, old_shard, shard, slot, moved`` (columns of these names are replaced).
 
+    Blocks are by a hash of id, size and text; with ``file`` and ``row`` (columns that tell the
+    file of a row and its place there) each file is a block, in its own order, so that most
+    files stay or move whole. A block is one window group.
+
     ``old_shard``: an int column, from 0, where each row lies now (null: 0). Size: UTF-8
     bytes of the text (null: none) and 1. Shards hold near-equal bytes, or the given
     ``capacities`` (which must add up to the whole): a shard is off by at most one row at each
@@ -103,7 +107,8 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int, doc_id: str = "doc_
     )
     rows = docs.count()
     blocks = min(MOST_BLOCKS, max(FEWEST_BLOCKS, rows // ROWS_A_BLOCK))
-    named = named.withColumn("_block", salted(F.col(doc_id), F.col("size"), F.col("text_crc32"), parts=blocks))
+    named = named.withColumn("_block", F.col(file) if file else salted(F.col(doc_id), F.col("size"), F.col("text_crc32"), parts=blocks))
+    order = [row] if row else [doc_id, "size", "text_crc32"]
     per_block = named.groupBy("old_shard", "_block").agg(F.sum("size").alias("bytes"))
     totals = {r.old_shard: r.bytes for r in per_block.groupBy("old_shard").agg(F.sum("bytes").alias("bytes")).collect()}
     sizes = [totals.get(i, 0) for i in range(max(totals, default=-1) + 1)]
@@ -119,7 +124,7 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int, doc_id: str = "doc_
 
     line = Window.partitionBy("old_shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     begins = per_block.select("old_shard", "_block", F.coalesce(F.sum("bytes").over(line), F.lit(0)).alias("_begin"))
-    inside = Window.partitionBy("old_shard", "_block").orderBy(doc_id, "size", "text_crc32").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("old_shard", "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     placed = named.withColumn("_upto", F.sum("size").over(inside)).join(begins, ["old_shard", "_block"])
     middle = F.col("_begin") + F.col("_upto") - F.ceil(F.col("size") / 2)
     hit = (F.col("old_shard") == F.col("_old")) & (middle >= F.col("_from")) & (middle < F.col("_to"))
@@ -138,17 +143,28 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int, doc_id: str = "doc_
     )
 
 
-def rewrite(old: DataFrame, shards: int, target: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rewrite the files of a layout that a move touches; one row ``file, affected`` for each file of it.
+def rewrite(old: DataFrame, shards: int, target: str, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Rewrite the files of a layout that a move touches: the rows of the new layout, read from its files, and one row ``file, affected`` for each old file.
 
-    ``old`` is a table read from files partitioned by a column ``shard``. Rows of affected
-    files (those with a row that leaves) are written under ``target``, in folders by their
-    new ``shard`` and in slot order; the other files stay valid as they are, in their shard.
+    ``old`` is a table read from Parquet files partitioned by a column ``shard``. Rows of
+    affected files (those with a row that leaves) are written under ``target``, in folders by
+    their new ``shard``, with their ``slot``. The other files stay as they are, in their shard:
+    their rows' slots run on from the first one of the file. The plan (a few numbers a row) is
+    written once, so that moves and rows agree. The driver gets one line for each file.
     """
-    source = old.withColumn("_file", F.col("_metadata.file_path"))
-    moved = reshard(source, F.col("shard"), shards, doc_id, text)
-    files = moved.groupBy("_file").agg(F.max("moved").alias("affected"))
-    touched = files.filter("affected").select("_file")
-    rows = moved.join(touched, "_file", "left_semi").drop("_file", "size", "text_crc32", "old_shard", "moved")
-    rows.repartition("shard", salted(F.col("slot"), parts=16)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(target)
-    return files.withColumnRenamed("_file", "file")
+    spark = old.sparkSession
+    keep = [c for c in old.columns if c != "shard"]
+    at = old.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    plan = reshard(at.select("_file", "_row", doc_id, text, "shard"), F.col("shard"), shards, doc_id, text, file="_file", row="_row")
+    plan = written(plan.select("_file", "_row", "shard", "slot", "moved"), "plan")
+    files = written(plan.groupBy("_file").agg(F.max("moved").alias("affected"), F.min("slot").alias("_first"), F.min("shard").alias("_shard")), "files")
+
+    touched = plan.join(files.filter("affected").select("_file"), "_file", "left_semi").withColumnsRenamed({"_file": "_f", "_row": "_r", "shard": "_new"})
+    rows = at.join(touched, (F.col("_file") == F.col("_f")) & (F.col("_row") == F.col("_r"))).select(*keep, F.col("_new").alias("shard"), "slot")
+    # by shard, and within it by parts of neighbouring slots: a shard is several files, none of them one task's whole shard
+    rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(target)
+    told = files.select(F.col("_file").alias("file"), "affected")
+
+    stays = at.join(files.filter("not affected"), "_file").select(*keep, F.col("_shard").cast("int").alias("shard"), (F.col("_first") + F.col("_row")).alias("slot"))
+    new = spark.read.schema(rows.schema).parquet(target).select(*keep, F.col("shard").cast("int").alias("shard"), "slot")
+    return stays.unionByName(new), told

@@ -3,6 +3,7 @@
 import random
 import zlib
 from collections import Counter
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -64,15 +65,56 @@ def test_moves_least_bytes_nulls_repeats_and_clashes(spark):
     assert R.reshard(docs.limit(0), F.col("shard"), 5).count() == 0
 
 
-def test_rewrite_touches_affected_files_only(spark, tmp_path):
+def placed_by_hand(spark, folder, shards):
+    """Shard and slot of each (file, row), row by row: the flow's cuts along each old shard's files in order."""
+    table = spark.read.parquet(folder)
+    rows = table.select("doc_id", "text", "shard", "_metadata.file_path", "_metadata.row_index").collect()
+    rows.sort(key=lambda r: (r.shard, r.file_path, r.row_index))
+    size = [len((r.text or "").encode()) + 1 for r in rows]
+    totals = Counter()
+    for r, n in zip(rows, size, strict=True):
+        totals[r.shard] += n
+    sizes = [totals[i] for i in range(max(totals) + 1)]
+    flow = R.min_cost_flow(sizes, R.even(sum(sizes), shards))
+    place, at = {}, Counter()
+    for r, n in zip(rows, size, strict=True):
+        middle = at[r.shard] + n - (n + 1) // 2
+        at[r.shard] += n
+        begin = 0
+        for j in sorted((b for a, b in flow if a == r.shard), key=lambda b: (b != r.shard, b)):
+            begin += flow[r.shard, j]
+            if middle < begin:
+                place[r.file_path, r.row_index] = (r.doc_id, j)
+                break
+    slots, out = Counter(), Counter()
+    for r in rows:
+        doc, j = place[r.file_path, r.row_index]
+        out[doc, r.text, j, slots[j]] += 1
+        slots[j] += 1
+    return out
+
+
+def test_rewrite_row_by_row(spark, tmp_path):
+    """Affected files only are rewritten; shard and slot of every row, read from the files, are those of a plain loop."""
+    rng = random.Random(3)
     rows = [(i, "z" * 100, i % 2 if i < 400 else 2) for i in range(600)]
-    old = str(tmp_path / "old")
-    spark.createDataFrame(rows, "doc_id long, text string, shard int").repartition(6).write.partitionBy("shard").parquet(old)
-    files = R.rewrite(spark.read.parquet(old), 3, str(tmp_path / "same")).collect()
-    assert not any(r.affected for r in files)
-    files = R.rewrite(spark.read.parquet(old), 4, str(tmp_path / "new")).collect()
-    assert any(r.affected for r in files)
-    kept = [r.file for r in files if not r.affected]
-    new = spark.read.parquet(str(tmp_path / "new"))
-    ids = [r.doc_id for r in new.collect()] + ([r.doc_id for r in spark.read.parquet(*kept).collect()] if kept else [])
-    assert sorted(ids) == list(range(600))
+    odd = [(None if i % 40 == 0 else i, None if i % 30 == 0 else "w" * rng.randrange(200), min(i % 5, 3)) for i in range(500)] + [(7, "same", 3)] * 200
+    for name, data, shards, quiet in (("a", rows, 3, True), ("b", rows, 4, False), ("c", odd, 6, False), ("d", odd, 2, False)):
+        old = str(tmp_path / name)
+        spark.createDataFrame(data, "doc_id long, text string, shard int").repartition(6).write.partitionBy("shard").parquet(old)
+        new, files = R.rewrite(spark.read.parquet(old), shards, str(tmp_path / f"{name}-new"))
+        told = files.collect()
+        assert any(r.affected for r in told) != quiet
+        got = Counter((r.doc_id, r.text, r.shard, r.slot) for r in new.collect())
+        assert got == placed_by_hand(spark, old, shards)
+        written = Path(tmp_path / f"{name}-new").rglob("*.parquet")
+        rewritten = sum(spark.read.parquet(str(f)).count() for f in written)
+        kept = sum(spark.read.parquet(r.file).count() for r in told if not r.affected)
+        assert rewritten + kept == len(data)
+
+
+def test_query_is_the_plain_loop(spark, sf_dir):
+    """op7 over a whole table: size, CRC and law of each row, all of them, from rewritten files."""
+    rows = op7_reshard(spark, sf_dir).collect()
+    assert {r.shard for r in rows} == set(range(8)) and all(r.law == "bytes" for r in rows)
+    check(rows, 8)
