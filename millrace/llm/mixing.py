@@ -15,10 +15,12 @@ largest curvature 1 + RIDGE, so each step of length 1 / (1 + RIDGE) makes the su
 
 At the optimum r = max(0, 1 - p . price) with price_k = (T_k - t_k) / (RIDGE * m_k). Documents of
 nearly equal posteriors make a cell (at most CELLS of them, whatever the corpus); all of a cell
-at its mean posterior, the driver finds the prices by many cheap steps. From there steps over
-all documents go on until one moves no rate by more than NEAR, in the mean square over tokens.
-Such a step needs K totals from all documents and nothing else; the rate is a column expression
-over the posterior, the prices and the residuals of these steps.
+at its mean posterior, the driver finds the prices by many cheap steps; a few passes over all
+documents then refine them (Newton's method in the K prices, with a line search: plain steps
+are slow along prices that totals hardly tell apart). From there projected-gradient steps over
+all documents go on until one moves the rates by no more than NEAR, in the mean square over
+tokens. A pass needs K totals and K * K sums of products from all documents and nothing else; the
+rate is a column expression over the posterior, the prices and the residuals of the steps.
 """
 
 from __future__ import annotations
@@ -42,6 +44,7 @@ HEATS = (1, 2, 4, 8, 16, 32, 64)  # by which log-odds may be divided
 RIDGE = 1e-3  # what a rate's distance from 1 counts beside the targets
 CELLS = 20_000  # of posteriors, at most
 CELL_STEPS = 50_000  # on the cells, at most; they only give the steps over documents their start
+REFINING = 60  # passes that refine the prices, at most; these, too, only give a start
 NEAR, MOST_STEPS = 1e-4, 200  # over documents: settled at so small a step; an error if that isn't reached
 CUT = 6  # steps after which rates are written
 
@@ -172,6 +175,40 @@ def cell_prices(n: np.ndarray, p: np.ndarray, target: np.ndarray, inverse: np.nd
     return ((r * n) @ p - target) * inverse / RIDGE
 
 
+def refined(numbers: DataFrame, p: list[Column], prices: np.ndarray, target: np.ndarray, mass: np.ndarray) -> np.ndarray:
+    """Prices at which rates max(0, 1 - p . price) of all documents bring residuals of RIDGE * mass * price, or nearly."""
+    k, own = len(p), np.flatnonzero(mass > 0)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+
+    def measured(at: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """The convex function whose least value the best prices have, its slope and curvature."""
+        r = F.greatest(F.lit(0.0), 1 - _dot(p, at.tolist()))
+        with_r = numbers.withColumn("r", r)
+        row = with_r.agg(F.sum(F.col("n") * F.col("r") ** 2), *(F.sum(F.col("n") * F.col("r") * x) for x in p), *(F.sum(F.when(F.col("r") > 0, F.col("n") * p[i] * p[j]).otherwise(0.0)) for i, j in pairs)).first()
+        curve = np.zeros((k, k))
+        for (i, j), v in zip(pairs, row[1 + k :], strict=True):
+            curve[i, j] = curve[j, i] = v
+        value = (RIDGE * (mass * at * at).sum() + row[0]) / 2 + target @ at
+        return value, RIDGE * mass * at - np.array(row[1 : 1 + k]) + target, RIDGE * np.diag(mass) + curve
+
+    value, slope, curve = measured(prices)
+    passes = 1
+    while passes < REFINING and np.abs(slope[own] / mass[own]).max() > NEAR / 2:
+        step = np.zeros(k)
+        step[own] = np.linalg.solve(curve[np.ix_(own, own)], slope[own])
+        share, fall = 1.0, slope @ step
+        while passes < REFINING:
+            passes += 1
+            after = measured(prices - share * step)
+            if after[0] <= value - 1e-4 * share * fall or share < 1e-6:
+                break
+            share /= 2
+        if after[0] > value:
+            break
+        prices, (value, slope, curve) = prices - share * step, after
+    return prices
+
+
 def fit(mixed: DataFrame, weights: list[float], tokens: Column, p: list[Column], total: float | None = None) -> Fit:
     """The rates that bring the expected tokens of each domain to ``weights`` of the ``total``.
 
@@ -198,7 +235,7 @@ def fit(mixed: DataFrame, weights: list[float], tokens: Column, p: list[Column],
     found = Fit([0.0] * k, wanted=target.tolist(), reached=mass.tolist())
     if not mass.sum():
         return found
-    found.prices = cell_prices(size, inside / size[:, None], target, inverse).tolist()
+    found.prices = refined(numbers, shown, cell_prices(size, inside / size[:, None], target, inverse), target, mass).tolist()
 
     state = numbers.withColumns({"r": rate(shown, found), "was": F.lit(0.0)})
     while True:
