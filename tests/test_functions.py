@@ -87,27 +87,27 @@ REASONS = [
 
 @pytest.mark.parametrize("payload, empty, expected", REASONS)
 def test_reason_contract(payload, empty, expected):
-    if expected is None:
-        with pytest.raises(payloads.Broken):
-            payloads.reason(payload, empty, 3)
-    else:
-        assert payloads.reason(payload, empty, 3) == expected
+    kind, data, code = payloads.verdict(payload, "reason", empty, 3)
+    assert (kind == "error" and code) if expected is None else (kind, data, code) == (*expected, None)
 
 
 def test_other_contracts():
-    d = {"description": " x "}
-    assert payloads.bootstrap({"fact": d, "complete": d}) == ("complete", {"fact_description": "x", "complete_description": "x"})
-    assert payloads.bootstrap_conclusion({"fact": d, "complete": {}}) == ("fact", "x")
-    assert payloads.exploration({"description": " x"}) == ("fact", "x")
-    assert payloads.exploration({"accepted": True, "data": {"description": "x", "more": 1}}) == ("fact", "x")
-    for f in (payloads.bootstrap, payloads.bootstrap_conclusion, payloads.exploration):
-        assert f({"accepted": False}) == ("rejected", None)
-    for f, bad in ((payloads.bootstrap, {"fact": d}), (payloads.bootstrap, {"fact": d, "complete": {}}), (payloads.bootstrap_conclusion, {"accepted": True, "data": {"fact": d, "x": 1}}), (payloads.bootstrap_conclusion, {"fact": {"description": " "}}), (payloads.exploration, {"description": "x", "y": 1}), (payloads.exploration, {"description": 3})):
-        with pytest.raises(payloads.Broken):
-            f(bad)
+    d, verdict = {"description": " x "}, payloads.verdict
+    assert verdict({"fact": d, "complete": d}, "bootstrap") == ("complete", {"fact_description": "x", "complete_description": "x"}, None)
+    assert verdict({"fact": d, "complete": {}}, "bootstrap_conclusion") == ("fact", "x", None)
+    assert verdict({"description": " x"}, "exploration") == ("fact", "x", None)
+    assert verdict({"accepted": True, "data": {"description": "x", "more": 1}}, "exploration") == ("fact", "x", None)
+    for contract in ("bootstrap", "bootstrap_conclusion", "exploration", "reason"):
+        assert verdict({"accepted": False}, contract) == ("rejected", None, None)
+    for contract, bad, code in (
+        ("bootstrap", {"fact": d}, "accepted:missing"), ("bootstrap", {"fact": d, "complete": {}}, "complete.description:text"), ("bootstrap", {"accepted": True, "data": {"fact": d}}, "complete:object"),
+        ("bootstrap_conclusion", {"accepted": True, "data": {"fact": d, "x": 1}}, "x:unexpected"), ("bootstrap_conclusion", {"fact": {"description": " "}}, "fact.description:text"),
+        ("exploration", {"description": "x", "y": 1}, "accepted:missing"), ("exploration", {"description": 3}, "description:text"), ("exploration", None, "object:missing"),
+    ):
+        assert verdict(bad, contract) == ("error", None, code)
 
 
 def test_contract_column(spark):
     df = spark.createDataFrame([('x {"description": "found"}', False), ("none", False), (None, True), ('{"accepted": false}', None)], "t string, e boolean")
-    assert [tuple(r.v) for r in df.select(payloads.checked(F.col("t"), "exploration", F.col("e")).alias("v")).collect()] == [("fact", '"found"', None), ("error", None, "no JSON object found in output"), ("error", None, "no JSON object found in output"), ("rejected", None, None)]
+    assert [tuple(r.v) for r in df.select(payloads.checked(F.col("t"), "exploration", F.col("e")).alias("v")).collect()] == [("fact", '"found"', None), ("error", None, "object:missing"), ("error", None, "object:missing"), ("rejected", None, None)]
     assert [r.v for r in df.select(payloads.extracted(F.col("t")).alias("v")).collect()] == ['{"description": "found"}', None, None, '{"accepted": false}']
