@@ -64,6 +64,7 @@ def replay(requests: DataFrame, moves: list[tuple[str, str]], first: str, by: st
         for frame in frames:
             starts, ends, errors = [], [], []
             for k, to in zip(frame[by], frame[target], strict=True):
+                k = None if pd.isna(k) else k  # nulls are one key
                 if k != key:
                     key, now = k, first
                 starts.append(now)

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.functions import payloads, text
+from millrace.functions import text
 from millrace.operators import constraints, lifecycle, listing, relations, versions
 from millrace.plans import graph, reporting, schedule
 from millrace.sources import tables
@@ -157,28 +157,19 @@ def bridge_join(spark: SparkSession, sf: str) -> DataFrame:
     return reporting.counts_by(joined, "r_name")
 
 
-@query("""select a.event_id as child, b.event_id as parent from events a join events b on b.event_id = a.event_id // 2
-    where a.event_id % 50 = 0 and a.event_id > 0""")
+@query("select a.event_id as child, b.event_id as parent from events a join events b on b.event_id = a.event_id // 2 where a.event_id > 0")
 def self_relation(spark: SparkSession, sf: str) -> DataFrame:
     """A table that refers to itself; stand-in: an event's parent is the one with half its id."""
-    events = load(spark, sf, "events").select("event_id", F.when((F.col("event_id") % 50 == 0) & (F.col("event_id") > 0), F.floor(F.col("event_id") / 2)).alias("up"))
-    return relations.children_of(events, "event_id", "up").select("child", "parent")
-
-
-@query("select a.event_id as child, b.event_id as parent from events a join events b on b.event_id = a.event_id // 2 where a.event_id > 0")
-def self_relation_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """The links of all events, where self_relation has those of every fiftieth."""
     events = load(spark, sf, "events").select("event_id", F.when(F.col("event_id") > 0, F.floor(F.col("event_id") / 2)).alias("up"))
     return relations.children_of(events, "event_id", "up").select("child", "parent")
 
 
 @query("""select l_orderkey, l_linenumber, coalesce(o_orderstatus, 'deleted') as status
-    from lineitem left join (select * from orders where o_totalprice > 100000) on o_orderkey = l_orderkey where l_linenumber = 1""")
+    from lineitem left join (select * from orders where o_totalprice > 100000) on o_orderkey = l_orderkey""")
 def status_or_deleted(spark: SparkSession, sf: str) -> DataFrame:
     """The parent's status, or deleted."""
     projects = load(spark, sf, "orders").filter("o_totalprice > 100000").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
-    tasks = listing.filtered(load(spark, sf, "lineitem"), l_linenumber=1)
-    return relations.status_or_deleted(tasks, projects, "l_orderkey").select("l_orderkey", "l_linenumber", "status")
+    return relations.status_or_deleted(load(spark, sf, "lineitem"), projects, "l_orderkey").select("l_orderkey", "l_linenumber", "status")
 
 
 @query("select p_brand, (max(p_size) + 1)::bigint as next_version from part group by p_brand")
@@ -267,9 +258,13 @@ def lifecycle_stamps(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("user_id", "started_at", "completed_at", back.alias("current_stage"))
 
 
-@query()
+@query(f"""with recursive m(f, t) as (values {_MOVES_SQL}), e as (select user_id, event_id, event_type, row_number() over (partition by user_id order by event_id) as i from events),
+    w as (select user_id, 0::bigint as event_id, null::varchar as event_type, 0::bigint as i, null::varchar as from_status, 'view' as status, null::varchar as error_code from (select distinct user_id from events)
+      union all select e.user_id, e.event_id, e.event_type, e.i, w.status, case when m.f is null then w.status else e.event_type end, case when m.f is null then 'audit_run_invalid_transition' end
+      from w join e on e.user_id = w.user_id and e.i = w.i + 1 left join m on m.f = w.status and m.t = e.event_type)
+    select user_id, event_id, event_type, from_status, status, error_code from w where i > 0""")
 def replayed_requests(spark: SparkSession, sf: str) -> DataFrame:
-    """L1: requested moves in order, where a refused one changes nothing; a sequential fold, tested against plain Python."""
+    """L1: requested moves in order, where a refused one changes nothing; a sequential fold."""
     events = load(spark, sf, "events").select("user_id", "event_id", "event_type")
     return lifecycle.replay(events, EVENT_MOVES, "view", "user_id", "event_id", "event_type")
 
@@ -301,11 +296,13 @@ def bootstrap_choice(spark: SparkSession, sf: str) -> DataFrame:
     return graph.bootstrap_choice(orders, F.col("o_orderstatus") != "F").select("project", "id")
 
 
-@query("""select d.lang as token_of, w as token, count(*) as n from (select lang, unnest(string_split(source, 'c')) as w from documents) d group by 1, 2""")
+@query("""with t as (select l_suppkey, l_orderkey, l_linenumber, unnest([l_orderkey, l_partkey]) as fact from lineitem)
+    select l_suppkey as project, l_orderkey as intent, fact, count(*) as n from t join orders on o_custkey = l_suppkey and o_orderkey = fact group by 1, 2, 3""")
 def hyperedge_explode(spark: SparkSession, sf: str) -> DataFrame:
-    """An edge for each tail of a hyperedge; stand-in: parts of source names."""
-    docs = load(spark, sf, "documents").select(F.col("lang").alias("token_of"), F.explode(F.split("source", "c")).alias("token"))
-    return reporting.counts_by(docs, "token_of", "token")
+    """An edge for each tail of a hyperedge that exists; stand-in: lines of suppliers come from two keys, facts are orders of customers."""
+    key = [F.col("l_suppkey").alias("project"), F.col("l_orderkey").alias("id"), F.array("l_orderkey", "l_partkey").alias("from"), F.lit(None).cast("string").alias("to")]
+    facts = load(spark, sf, "orders").select(F.col("o_custkey").alias("project"), F.col("o_orderkey").alias("id"))
+    return reporting.counts_by(graph.hyperedges(load(spark, sf, "lineitem").select(*key), facts), "project", "intent", "fact")
 
 
 @query("""with d as (select user_id, date_trunc('day', ts) as day, count(*) as n from events group by 1, 2),
@@ -340,13 +337,6 @@ def worker_rank(spark: SparkSession, sf: str) -> DataFrame:
     return schedule.chosen(workers).select("s_suppkey", "rank")
 
 
-@query("""select s_suppkey, case when s_nationkey >= 20 then 'task_type' when s_suppkey % 4 >= s_nationkey % 5 then 'busy' else 'candidate' end as class from supplier""")
-def worker_classes(spark: SparkSession, sf: str) -> DataFrame:
-    """The first rule that holds classes a worker; stand-in on supplier."""
-    rows = load(spark, sf, "supplier")
-    return rows.select("s_suppkey", text.first_rule([(F.col("s_nationkey") >= 20, "task_type"), (F.col("s_suppkey") % 4 >= F.col("s_nationkey") % 5, "busy")], "candidate").alias("class"))
-
-
 @query("select s_suppkey, sum(s_nationkey + 1) over (order by s_suppkey rows unbounded preceding)::bigint as cum from supplier")
 def weighted_cdf(spark: SparkSession, sf: str) -> DataFrame:
     """V9: running weights; stand-in on supplier."""
@@ -465,19 +455,10 @@ def severity_counts(spark: SparkSession, sf: str) -> DataFrame:
     return reporting.counts_by(load(spark, sf, "customer"), "c_mktsegment", "c_nationkey")
 
 
-@query("""select * from (select o_orderdate as at, 'order' as kind, o_orderkey as id from orders where o_custkey <= 300
-    union all select l_shipdate, 'shipment', l_orderkey from lineitem where l_suppkey <= 3)""")
-def timeline(spark: SparkSession, sf: str) -> DataFrame:
-    """U5 (specified): events of several kinds in one order."""
-    orders = load(spark, sf, "orders").filter("o_custkey <= 300").select(F.col("o_orderdate").alias("at"), F.lit("order").alias("kind"), F.col("o_orderkey").alias("id"))
-    lines = load(spark, sf, "lineitem").filter("l_suppkey <= 3").select(F.col("l_shipdate").alias("at"), F.lit("shipment").alias("kind"), F.col("l_orderkey").alias("id"))
-    return reporting.timeline(orders, lines)
-
-
 @query("""select o_orderdate as at, 'order' as kind, o_orderkey as id from orders
     union all select l_shipdate, 'shipment', l_orderkey from lineitem""")
-def timeline_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """U5 (specified): all orders and all lines in one order, where timeline has those of a few ids."""
+def timeline(spark: SparkSession, sf: str) -> DataFrame:
+    """U5 (specified): events of several kinds in one order; all orders and all lines."""
     orders = load(spark, sf, "orders").select(F.col("o_orderdate").alias("at"), F.lit("order").alias("kind"), F.col("o_orderkey").alias("id"))
     lines = load(spark, sf, "lineitem").select(F.col("l_shipdate").alias("at"), F.lit("shipment").alias("kind"), F.col("l_orderkey").alias("id"))
     return reporting.timeline(orders, lines)
@@ -512,8 +493,4 @@ def json_sink(spark: SparkSession, sf: str) -> DataFrame:
     return tables.json_documents(load(spark, sf, "region"), "r_regionkey", "r_name")
 
 
-@query()
-def extracted_payloads(spark: SparkSession, sf: str) -> DataFrame:
-    """Objects in noisy text, checked by a contract; stand-in: event properties inside prose. Tested by unit tests."""
-    noisy = F.concat(F.lit("Result:\n```json\n"), F.regexp_replace("props", '"k"', '"description"'), F.lit("\n```\ndone"))
-    return load(spark, sf, "events").select("event_id", payloads.checked(noisy, "exploration").alias("r")).select("event_id", "r.kind", "r.data", "r.error")
+from millrace import audit_queries  # noqa: E402, F401  registers more queries

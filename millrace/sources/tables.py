@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,12 +78,14 @@ def write_text(df: DataFrame, column: str, target: str) -> None:
 def append_checked(new: DataFrame, old: DataFrame, key: list[str], error: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows that may be inserted, and those that may not with ``error_code``.
 
-    A row conflicts if its key is in ``old`` or an earlier row of ``new`` (by all columns) has it.
+    A row conflicts if its key is in ``old`` or an earlier row of ``new`` (by all columns) has
+    it. A key with a null conflicts with none, as in SQL.
     """
     first = F.row_number().over(_by(key, new.columns))
     known = old.select(*key).distinct().withColumn("_known", F.lit(True))
     marked = new.withColumn("_n", first).join(known, key, "left")
-    code = F.when(F.col("_known") | (F.col("_n") > 1), F.lit("conflict"))
+    whole = reduce(and_, (F.col(c).isNotNull() for c in key))
+    code = F.when(whole & (F.coalesce("_known", F.lit(False)) | (F.col("_n") > 1)), F.lit("conflict"))
     marked = marked.withColumn("error_code", F.coalesce(error, code) if error is not None else code).drop("_known", "_n").select(*new.columns, "error_code")
     return marked.filter("error_code is null").drop("error_code"), marked.filter("error_code is not null")
 
@@ -88,4 +93,4 @@ def append_checked(new: DataFrame, old: DataFrame, key: list[str], error: Column
 def _by(key: list[str], columns: list[str]):
     from pyspark.sql import Window
 
-    return Window.partitionBy(*key).orderBy(*(c for c in columns if c not in key))
+    return Window.partitionBy(*key).orderBy(*columns)

@@ -55,7 +55,10 @@ def claims(commands: DataFrame, timeout: int) -> DataFrame:
 
     Commands: claim, heartbeat, release. 200: done (a claim by the holder is one); 403: the
     key's project is not active; 409: another live worker holds it, or it is not the sender's.
-    State is the holder and its last heartbeat, dropped when a lease ends.
+    State is the holder and its last heartbeat. A lease ends by the times of the commands, not by
+    the clock of the machine: its state goes when the watermark, one timeout behind the newest
+    command, has passed the heartbeat by more than the timeout. Commands later than the
+    watermark are dropped. The commands of a key in one micro-batch are answered together.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -63,7 +66,8 @@ def claims(commands: DataFrame, timeout: int) -> DataFrame:
         if state.hasTimedOut:
             state.remove()
             return
-        for frame in frames:
+        frame = pd.concat(list(frames))
+        if len(frame):
             frame = frame.sort_values(["at", "worker", "command"], kind="stable")
             answers, holders = [], []
             for worker, at, command, active in zip(frame["worker"], frame["at"], frame["command"], frame["active"], strict=True):
@@ -84,6 +88,7 @@ def claims(commands: DataFrame, timeout: int) -> DataFrame:
             state.remove() if state.exists else None
         else:
             state.update((holder, beat))
-            state.setTimeoutDuration(timeout * 1000)
+            state.setTimeoutTimestamp(max(int((beat + timeout) * 1000), state.getCurrentWatermarkMs()) + 1)
 
-    return commands.groupBy("key").applyInPandasWithState(step, ANSWER, STATE, "append", "ProcessingTimeTimeout")
+    timed = commands.withWatermark("at", f"{timeout} seconds")
+    return timed.groupBy("key").applyInPandasWithState(step, ANSWER, STATE, "append", "EventTimeTimeout")

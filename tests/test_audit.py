@@ -63,6 +63,24 @@ def test_first_writer_wins_and_checked_append(spark):
     assert {r.error_code for r in bad.collect()} == {"conflict"} and bad.count() == 2
 
 
+def test_null_keys_conflict_with_none(spark):
+    old = spark.createDataFrame([("r1", None), ("r1", "f1")], "run string, fp string")
+    new = spark.createDataFrame([("r1", None), ("r1", None), (None, "f1"), ("r1", "f1")], "run string, fp string")
+    good, bad = tables.append_checked(new, old, ["run", "fp"])
+    assert good.count() == 3 and [tuple(r) for r in bad.collect()] == [("r1", "f1", "conflict")]
+
+
+def test_a_null_key_is_replayed_as_one(spark):
+    rows = [(None, 1, "click"), (None, 2, "purchase"), (5, 1, "click"), (5, 2, "purchase")]
+    out = lifecycle.replay(spark.createDataFrame(rows, "k long, n int, target string"), EVENT_MOVES, "view", "k", "n", "target").collect()
+    assert sorted((r.k is None, r.n, r.status) for r in out) == [(False, 1, "click"), (False, 2, "purchase"), (True, 1, "click"), (True, 2, "purchase")]
+
+
+def test_lapsed_tasks(spark):
+    rows = [{"id": "a", "status": "running", "lease_expires_at": at(1)}, {"id": "b", "status": "claimed", "lease_expires_at": at(9)}, {"id": "c", "status": "failed", "lease_expires_at": at(1)}, {"id": "d", "status": "claimed"}]
+    assert ids(leases.lapsed_tasks(tables.audit_frame(spark, "audit_tasks", rows), F.lit(at(5)))) == ["a"]
+
+
 def test_checks_let_null_pass(spark):
     df = spark.createDataFrame([(1, 5, "high"), (2, -1, "odd"), (3, None, None)], "id int, n int, severity string")
     assert ids(constraints.violations(df, F.col("n") >= 0)) == [2]
