@@ -38,6 +38,96 @@ def brute_components(texts):
     return {i: least[find(p)] for i, p in prints.items()}
 
 
+M = (1 << 64) - 1
+
+
+def brute_wide(text, n=5):
+    """The wide fingerprint, as one integer of 256 bits: SplitMix64 of each distinct shingle's hash."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    grams = {" ".join(words[i : i + n]) for i in range(len(words) - n + 1)} or ({" ".join(words)} if words else set())
+    counts = [0] * 256
+    for g in grams:
+        state = xxhash.xxh64_intdigest(g.encode(), 42)
+        for w in range(4):
+            state = z = (state + 0x9E3779B97F4A7C15) & M
+            z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 & M
+            z = (z ^ z >> 27) * 0x94D049BB133111EB & M
+            z ^= z >> 31
+            for b in range(64):
+                counts[64 * w + b] += z >> b & 1
+    return sum(1 << b for b in range(256) if 2 * counts[b] > len(grams))
+
+
+def brute_near(x, y, radius=45):
+    d = x ^ y
+    parts = [d >> 64 * w + 21 * i & (1 << 21) - 1 for w in range(4) for i in range(3)]
+    return d.bit_count() <= radius and min(p.bit_count() for p in parts) <= 1
+
+
+def brute_groups(prints):
+    """For a dict of id and fingerprint: the smallest id that each can reach."""
+    root = {i: i for i in prints}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(prints)
+    for k, i in enumerate(ids):
+        for j in ids[:k]:
+            a, b = find(i), find(j)
+            if a != b and brute_near(prints[i], prints[j]):
+                root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+def as_longs(x):
+    return [(v := x >> 64 * w & M) - (1 << 64 if v >> 63 else 0) for w in range(4)]
+
+
+def test_wide_fingerprints():
+    rng = random.Random(3)
+    texts = ["", " ", "One two", "one TWO three four five", "a b c d e " * 40] + [" ".join(rng.choice("abcdé") for _ in range(rng.randrange(60))) for _ in range(60)]
+    for t in texts:
+        assert simhash.wide_simhash(t.encode()) == as_longs(brute_wide(t))
+    assert simhash.bits_apart(0.8) == 45 and simhash.bits_apart(1.0) == 0
+
+
+def test_wide_groups_of_families_chains_and_crowded_parts(spark):
+    rng = random.Random(4)
+    flip = lambda x, n: x ^ sum(1 << b for b in rng.sample(range(256), n))
+    prints = [rng.getrandbits(256) for _ in range(40)] + [0, (1 << 256) - 1]
+    for size, bits in ((150, 20), (80, 30), (60, 60)):  # a family that all hangs together, one less so, one hardly
+        base = rng.getrandbits(256)
+        prints += [flip(base, rng.randrange(1, bits)) for _ in range(size)]
+    one = rng.getrandbits(256)
+    for _ in range(15):  # a chain
+        one = flip(one, 30)
+        prints.append(one)
+    shared = rng.getrandbits(21)  # a part that unlike families share
+    for _ in range(6):
+        base = rng.getrandbits(256) >> 21 << 21 | shared
+        prints += [flip(base >> 21, 12) << 21 & (1 << 256) - 1 | shared for _ in range(8)]
+    known = dict(enumerate(dict.fromkeys(prints)))
+    df = spark.createDataFrame([(i, as_longs(x)) for i, x in known.items()], "node long, fp array<long>")
+    got = {r.node: r.root for r in simhash.wide_roots(df, 45).collect()}
+    want = brute_groups(known)
+    assert len(set(want.values())) > 50 and {i: got.get(i, i) for i in known} == want
+
+
+def test_near_copies_of_five_word_shingles(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(4000)]
+    texts = [" ".join(rng.choices(words, k=200)) for _ in range(40)]
+    near = [t.replace(t.split()[100], "changed", 1) for t in texts[:20]]  # 191 of 201 shingles: 0.95
+    half = [" ".join(t.split()[:100] + rng.choices(words, k=100)) for t in texts[20:]]
+    docs = spark.createDataFrame(list(enumerate(texts + near + half)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
+    assert got == {i: i - 40 if 40 <= i < 60 else i for i in range(80)}
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [*range(40), *range(60, 80)]
+
+
 def test_fingerprints():
     rng = random.Random(1)
     texts = ["", " \t\n", "One", "one TWO", "ÉÄ one two Three four", "a b c d " * 50, "x\x1cy z w v", "\x0b\x0ca b"]
