@@ -221,14 +221,15 @@ def _within(pairs: DataFrame, prints: DataFrame, radius: int) -> DataFrame:
 
 
 def wide_roots(prints: DataFrame, radius: int) -> DataFrame:
-    """Columns ``node, root`` of every node that has a link; ``prints`` has ``node, fp``, distinct and written.
+    """Columns ``node, root`` of every node; ``prints`` has ``node, fp``, distinct and written.
 
     Nodes with a part in common, but for one bit, are linked if they differ in at most
     ``radius`` bits. Of two values one bit apart, the one with the bit set asks for the other.
-    All that ask for a value are first held against the smallest node that has it; the
-    components of those links leave open only values that several components share, and
-    only there do pairs of different components meet. So the groups are those of all links, but
-    the links within a family of near copies grow with its members, not with their pairs.
+    All that ask for a value are first held against the smallest node that has it, and one
+    such link a node gives first components. They leave open the other such links between
+    components, and values that several components share; only there do pairs of different
+    components meet. So the groups are those of all links, but the links within a family
+    of near copies grow with its members, not with their pairs.
     """
     keys = prints.select("node", _keys([F.col("fp")[i] for i in range(LONGS)]).alias("keys"))
     held = keys.select("node", F.explode("keys").alias("key"))
@@ -240,7 +241,7 @@ def wide_roots(prints: DataFrame, radius: int) -> DataFrame:
     met = written(asks.join(buckets, "key").filter("a != least or more"), "met")
 
     star = written(_within(met.filter("a != least").select("a", F.col("least").alias("b")).distinct(), prints, radius), "stars")
-    first = components(star, "a", "b")
+    first = components(star.groupBy("a").agg(F.min("b").alias("b")), "a", "b")  # a link a node; the others wait
     group = written(prints.join(first, "node", "left").select("node", F.coalesce("root", "node").alias("group")), "groups")
     full = met.filter("more").select("a", "key").join(group.withColumnRenamed("node", "a").withColumnRenamed("group", "g"), "a")
     shared = held.join(buckets.filter("more").select("key"), "key", "left_semi").join(group, "node")
@@ -248,7 +249,10 @@ def wide_roots(prints: DataFrame, radius: int) -> DataFrame:
     open_ = full.join(several, "key").filter("low != high or low != g").select("a", "g", "key")
     mixed = shared.join(several, "key").select("key", F.col("node").alias("b"), "group")
     pairs = open_.join(mixed, (open_["key"] == mixed["key"]) & (F.col("g") != F.col("group"))).select("a", "b").distinct()
-    return components(star.union(_within(pairs, prints, radius)), "a", "b")
+    ends = [group.select(F.col("node").alias(x), F.col("group").alias(f"g_{x}")) for x in "ab"]
+    across = star.union(_within(pairs, prints, radius)).join(ends[0], "a").join(ends[1], "b").filter("g_a != g_b")
+    last = components(across, "g_a", "g_b").withColumnRenamed("node", "group")
+    return group.join(last, "group", "left").select("node", F.coalesce("root", "group").alias("root"))
 
 
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
