@@ -56,9 +56,9 @@ def cell_best(query_ids: np.ndarray, queries: np.ndarray, row_ids: np.ndarray, r
             tile *= q.scale[a:b, None] * c.scale[None, d:e]
             error = q.norm[a:b, None] * c.residual[None, d:e] + q.residual[a:b, None] * c.near_norm[None, d:e] + 1e-12
             lower = tile - error
-            if e - d > k:  # k + 1, as the query's own row may be among them
-                kth = np.partition(lower, e - d - k - 1, axis=1)[:, e - d - k - 1]
-                floor[a:b] = np.maximum(floor[a:b], kth)
+            if e - d >= k:
+                lower[query_ids[a:b, None] == row_ids[None, d:e]] = -np.inf  # the query's own rows, however many
+                floor[a:b] = np.maximum(floor[a:b], np.partition(lower, e - d - k, axis=1)[:, e - d - k])
             at_q, at_c = np.nonzero(tile + error >= floor[a:b, None])
             other = query_ids[a + at_q] != row_ids[d + at_c]
             at_q, at_c = at_q[other] + a, at_c[other] + d

@@ -26,6 +26,15 @@ def test_cell_matches_brute_force(monkeypatch):
     assert found == sorted((q, i, s) for q, _, i, s in brute(ids, x, range(40), 6))
 
 
+def test_rows_that_repeat_the_query_hide_no_neighbour(monkeypatch):
+    monkeypatch.setattr(blockknn, "TILE_ROWS", 50)
+    rng = np.random.default_rng(3)
+    x, ids = rng.normal(size=(120, 8)), np.arange(120)
+    x[:30], ids[:30] = 9 * x[0], 0  # far over every other product, and more than k
+    found = sorted(blockknn.cell_best(ids[:1], x[:1], ids, x, 6))
+    assert found == sorted((q, i, s) for q, _, i, s in brute(ids, x, range(1), 6))
+
+
 def test_query_has_full_recall(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").orderBy("vec_id").collect()
     ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], np.float64)
