@@ -23,7 +23,7 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations, islice, repeat
 from math import acos, ceil, pi, sqrt
-from operator import and_
+from operator import add, and_
 from re import compile as pattern
 
 import numpy as np
@@ -181,7 +181,7 @@ def wide_simhash(text: bytes, words: int = 5, seed: int = 42) -> list[int]:
     stream = (m.group() for m in WORD.finditer(text.lower())) if len(text) > 1 << 20 else iter(text.lower().split())
     counts, total, kept = np.zeros(64 * LONGS, np.int64), 0, []
 
-    def add(grams) -> int:
+    def count(grams) -> int:
         nonlocal counts
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, set(grams), repeat(seed)), np.uint64)
         bits = np.unpackbits(_spread(hashes).view(np.uint8).reshape(-1, 8 * LONGS), axis=1, bitorder="little")
@@ -191,10 +191,10 @@ def wide_simhash(text: bytes, words: int = 5, seed: int = 42) -> list[int]:
     while block := list(islice(stream, BLOCK)):
         kept += block
         if len(kept) >= words:
-            total += add(map(b" ".join, zip(*(kept[i:] for i in range(words)), strict=False)))
+            total += count(map(b" ".join, zip(*(kept[i:] for i in range(words)), strict=False)))
             kept = kept[len(kept) - words + 1 :]
     if not total and kept:
-        total = add([b" ".join(kept)])
+        total = count([b" ".join(kept)])
     return np.packbits(2 * counts > total, bitorder="little").view(np.int64).tolist()
 
 
@@ -213,11 +213,9 @@ def _keys(longs: list[Column]) -> Column:
     return F.array(*(c.bitwiseOR(F.lit(n << PART)) for n, c in enumerate(cut)))
 
 
-def _within(pairs: DataFrame, prints: DataFrame, radius: int) -> DataFrame:
-    """The pairs ``a, b`` of nodes whose wide fingerprints differ in at most ``radius`` bits."""
-    one, two = (prints.select(F.col("node").alias(x), F.col("fp").alias(f"fp_{x}")) for x in "ab")
-    differ = sum((F.bit_count(F.col("fp_a")[i].bitwiseXOR(F.col("fp_b")[i])) for i in range(1, LONGS)), F.bit_count(F.col("fp_a")[0].bitwiseXOR(F.col("fp_b")[0])))
-    return pairs.join(one, "a").join(two, "b").filter(differ <= radius).select("a", "b")
+def _near(one: Column, two: Column, radius: int) -> Column:
+    """Whether two wide fingerprints differ in at most ``radius`` bits."""
+    return reduce(add, (F.bit_count(one[i].bitwiseXOR(two[i])) for i in range(LONGS))) <= radius
 
 
 def wide_roots(prints: DataFrame, radius: int) -> DataFrame:
@@ -231,26 +229,33 @@ def wide_roots(prints: DataFrame, radius: int) -> DataFrame:
     components meet. So the groups are those of all links, but the links within a family
     of near copies grow with its members, not with their pairs.
     """
-    keys = prints.select("node", _keys([F.col("fp")[i] for i in range(LONGS)]).alias("keys"))
-    held = keys.select("node", F.explode("keys").alias("key"))
-    buckets = held.groupBy("key").agg(F.min("node").alias("least"), (F.count("*") > 1).alias("more"))
+    keys = prints.select("node", "fp", _keys([F.col("fp")[i] for i in range(LONGS)]).alias("keys"))
+    held = keys.select("node", "fp", F.explode("keys").alias("key"))
+    buckets = held.groupBy("key").agg(F.min(F.struct("node", "fp")).alias("least"), (F.count("*") > 1).alias("more"))
     masks = F.array(*(F.lit(1 << i).cast("long") for i in range(PART)))
     around = F.transform("keys", lambda k: F.concat(F.array(k), F.transform(F.filter(masks, lambda m: k.bitwiseAND(m) != 0), lambda m: k.bitwiseXOR(m))))
     spread = keys.repartition(ceil((prints.count() + 1) / TASK_ROWS), "node")  # each row becomes some 140 questions
     asks = spread.select(F.col("node").alias("a"), F.explode(F.flatten(around)).alias("key"))
-    met = written(asks.join(buckets, "key").filter("a != least or more"), "met")
-
-    star = written(_within(met.filter("a != least").select("a", F.col("least").alias("b")).distinct(), prints, radius), "stars")
+    other = F.col("a") != F.col("least.node")
+    met = asks.join(buckets, "key").filter(other | F.col("more"))
+    met = written(met.select("a", "key", "more", F.when(other, F.col("least")).alias("to")), "met")
+
+    # Distances are conditions of the joins: chance matches of a part are seen there and never leave.
+    own = prints.select(F.col("node").alias("a"), "fp")
+    tried = met.filter("to is not null").withColumnRenamed("a", "from")
+    star = tried.join(own, (F.col("from") == F.col("a")) & _near(F.col("fp"), F.col("to.fp"), radius))
+    star = written(star.select("a", F.col("to.node").alias("b")).distinct(), "stars")
     first = components(star.groupBy("a").agg(F.min("b").alias("b")), "a", "b")  # a link a node; the others wait
-    group = written(prints.join(first, "node", "left").select("node", F.coalesce("root", "node").alias("group")), "groups")
-    full = met.filter("more").select("a", "key").join(group.withColumnRenamed("node", "a").withColumnRenamed("group", "g"), "a")
-    shared = held.join(buckets.filter("more").select("key"), "key", "left_semi").join(group, "node")
+    group = written(prints.join(first, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("group")), "groups")
+    full = met.filter("more").select("a", "key").join(group.select(F.col("node").alias("a"), "fp", F.col("group").alias("g")), "a")
+    shared = held.select("node", "key").join(buckets.filter("more").select("key"), "key", "left_semi").join(group, "node")
     several = shared.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"))
-    open_ = full.join(several, "key").filter("low != high or low != g").select("a", "g", "key")
-    mixed = shared.join(several, "key").select("key", F.col("node").alias("b"), "group")
-    pairs = open_.join(mixed, (open_["key"] == mixed["key"]) & (F.col("g") != F.col("group"))).select("a", "b").distinct()
+    open_ = full.join(several, "key").filter("low != high or low != g").select("a", "g", "fp", "key")
+    mixed = shared.join(several, "key").select("key", F.col("node").alias("b"), "group", F.col("fp").alias("fp_b"))
+    meet = (open_["key"] == mixed["key"]) & (F.col("g") != F.col("group")) & _near(F.col("fp"), F.col("fp_b"), radius)
+    pairs = open_.join(mixed, meet).select("a", "b").distinct()
     ends = [group.select(F.col("node").alias(x), F.col("group").alias(f"g_{x}")) for x in "ab"]
-    across = star.union(_within(pairs, prints, radius)).join(ends[0], "a").join(ends[1], "b").filter("g_a != g_b")
+    across = star.union(pairs).join(ends[0], "a").join(ends[1], "b").filter("g_a != g_b")
     last = components(across, "g_a", "g_b").withColumnRenamed("node", "group")
     return group.join(last, "group", "left").select("node", F.coalesce("root", "group").alias("root"))
 
