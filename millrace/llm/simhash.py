@@ -218,46 +218,63 @@ def _near(one: Column, two: Column, radius: int) -> Column:
     return reduce(add, (F.bit_count(one[i].bitwiseXOR(two[i])) for i in range(LONGS))) <= radius
 
 
+def _words(fp: str, key: str) -> list[Column]:
+    """Two of a wide fingerprint's words that the part of this key isn't cut from."""
+    word = F.floor(F.shiftright(key, PART) / (64 // PART)).cast("int")
+    return [F.get(F.col(fp), (word + i) % LONGS).alias(f"word_{i}") for i in (1, 2)]
+
+
+def _tied(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """``nodes`` (``node, fp, group``), the groups that links ``a, b`` of nodes join made one."""
+    ends = [nodes.select(F.col("node").alias(x), F.col("group").alias(f"g_{x}")) for x in "ab"]
+    across = links.join(ends[0], "a").join(ends[1], "b").filter("g_a != g_b")
+    joined = components(across, "g_a", "g_b").withColumnRenamed("node", "group")
+    return nodes.join(joined, "group", "left").select("node", "fp", F.coalesce("root", "group").alias("group"))
+
+
 def wide_roots(prints: DataFrame, radius: int) -> DataFrame:
     """Columns ``node, root`` of every node; ``prints`` has ``node, fp``, distinct and written.
 
     Nodes with a part in common, but for one bit, are linked if they differ in at most
-    ``radius`` bits. Of two values one bit apart, the one with the bit set asks for the other.
-    All that ask for a value are first held against the smallest node that has it, and one
-    such link a node gives first components. They leave open the other such links between
-    components, and values that several components share; only there do pairs of different
-    components meet. So the groups are those of all links, but the links within a family
-    of near copies grow with its members, not with their pairs.
+    ``radius`` bits. First each node is held against the smallest one with the same part, which
+    makes groups of most families of near copies. Then each asks for its parts and for
+    those one bit away (of two such values, the one with the bit set asks), and is answered
+    only where another group has the part: so the links made within a family grow with its
+    members, not with their pairs, and the groups at the end are those of all links.
+
+    Distances are conditions of the joins. A question brings two of four words with it: two nodes
+    of few differing bits have no more in these, and chance matches of a part nearly all have.
     """
-    keys = prints.select("node", "fp", _keys([F.col("fp")[i] for i in range(LONGS)]).alias("keys"))
-    held = keys.select("node", "fp", F.explode("keys").alias("key"))
-    buckets = held.groupBy("key").agg(F.min(F.struct("node", "fp")).alias("least"), (F.count("*") > 1).alias("more"))
-    masks = F.array(*(F.lit(1 << i).cast("long") for i in range(PART)))
-    around = F.transform("keys", lambda k: F.concat(F.array(k), F.transform(F.filter(masks, lambda m: k.bitwiseAND(m) != 0), lambda m: k.bitwiseXOR(m))))
-    spread = keys.repartition(ceil((prints.count() + 1) / TASK_ROWS), "node")  # each row becomes some 140 questions
-    asks = spread.select(F.col("node").alias("a"), F.explode(F.flatten(around)).alias("key"))
-    other = F.col("a") != F.col("least.node")
-    met = asks.join(buckets, "key").filter(other | F.col("more"))
-    met = written(met.select("a", "key", "more", F.when(other, F.col("least")).alias("to")), "met")
-
-    # Distances are conditions of the joins: chance matches of a part are seen there and never leave.
-    own = prints.select(F.col("node").alias("a"), "fp")
-    tried = met.filter("to is not null").withColumnRenamed("a", "from")
-    star = tried.join(own, (F.col("from") == F.col("a")) & _near(F.col("fp"), F.col("to.fp"), radius))
-    star = written(star.select("a", F.col("to.node").alias("b")).distinct(), "stars")
+
+    def parts(nodes: DataFrame) -> DataFrame:
+        return nodes.withColumn("key", F.explode(_keys([F.col("fp")[i] for i in range(LONGS)])))
+
+    same = parts(prints)
+    least = same.groupBy("key").agg(F.min(F.struct("node", "fp")).alias("least"))
+    star = same.join(least, "key").filter((F.col("node") != F.col("least.node")) & _near(F.col("fp"), F.col("least.fp"), radius))
+    star = written(star.select(F.col("node").alias("a"), F.col("least.node").alias("b")).distinct(), "stars")
     first = components(star.groupBy("a").agg(F.min("b").alias("b")), "a", "b")  # a link a node; the others wait
-    group = written(prints.join(first, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("group")), "groups")
-    full = met.filter("more").select("a", "key").join(group.select(F.col("node").alias("a"), "fp", F.col("group").alias("g")), "a")
-    shared = held.select("node", "key").join(buckets.filter("more").select("key"), "key", "left_semi").join(group, "node")
-    several = shared.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"))
-    open_ = full.join(several, "key").filter("low != high or low != g").select("a", "g", "fp", "key")
-    mixed = shared.join(several, "key").select("key", F.col("node").alias("b"), "group", F.col("fp").alias("fp_b"))
-    meet = (open_["key"] == mixed["key"]) & (F.col("g") != F.col("group")) & _near(F.col("fp"), F.col("fp_b"), radius)
-    pairs = open_.join(mixed, meet).select("a", "b").distinct()
-    ends = [group.select(F.col("node").alias(x), F.col("group").alias(f"g_{x}")) for x in "ab"]
-    across = star.union(pairs).join(ends[0], "a").join(ends[1], "b").filter("g_a != g_b")
-    last = components(across, "g_a", "g_b").withColumnRenamed("node", "group")
-    return group.join(last, "group", "left").select("node", F.coalesce("root", "group").alias("root"))
+    nodes = written(prints.join(first, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("group")), "groups")
+    nodes = written(_tied(nodes, star), "groups")
+
+    held = parts(nodes).select("key", F.col("node").alias("b"), "group", *(w.alias(f"b_{i}") for i, w in enumerate(_words("fp", "key"))))
+    have = held.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("n"), F.max("b").alias("b"), *(F.max(f"b_{i}").alias(f"b_{i}") for i in range(2)))
+    masks = F.array(*(F.lit(1 << i).cast("long") for i in range(PART)))
+    keys = _keys([F.col("fp")[i] for i in range(LONGS)])
+    around = F.transform(keys, lambda k: F.concat(F.array(k), F.transform(F.filter(masks, lambda m: k.bitwiseAND(m) != 0), lambda m: k.bitwiseXOR(m))))
+    spread = nodes.repartition(ceil((prints.count() + 1) / TASK_ROWS), "node")  # each row becomes some 140 questions
+    asks = spread.select(F.col("node").alias("a"), F.col("group").alias("g"), "fp", F.explode(F.flatten(around)).alias("key"))
+    asks = asks.select("a", "g", "key", *_words("fp", "key"))
+    close = F.bit_count(F.col("word_1").bitwiseXOR(F.col("b_0"))) + F.bit_count(F.col("word_2").bitwiseXOR(F.col("b_1"))) <= radius
+    met = asks.join(have, "key").filter(((F.col("g") != F.col("low")) | (F.col("g") != F.col("high"))) & ((F.col("n") > 1) | close))
+    met = written(met.select("a", "g", "key", "word_1", "word_2", F.when(F.col("n") == 1, F.col("b")).alias("b")), "met")
+    full = met.filter("b is null").drop("b")  # several nodes have the part
+    several = held.join(full.select("key").distinct(), "key", "left_semi").withColumnRenamed("key", "part")
+    pairs = full.join(several, (F.col("key") == F.col("part")) & (F.col("g") != F.col("group")) & close).select("a", "b")
+    pairs = met.filter("b is not null").select("a", "b").union(pairs).distinct()
+    one, two = (prints.select(F.col("node").alias(x), F.col("fp").alias(f"fp_{x}")) for x in "ab")
+    linked = pairs.join(one, "a").join(two, "b").filter(_near(F.col("fp_a"), F.col("fp_b"), radius)).select("a", "b")
+    return _tied(nodes, written(linked, "links")).select("node", F.col("group").alias("root"))
 
 
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
