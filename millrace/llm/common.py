@@ -57,6 +57,12 @@ def delete(spark: SparkSession, path: str) -> None:
 BITS_A_KEY, MOST_BITS = 32, 1 << 28  # of a filter; at most 32 MB are broadcast
 
 
+def bit_at(bits: Column, at: Column) -> Column:
+    """Whether bit ``at`` of a bitmap made by ``bitmap_construct_agg`` is set."""
+    byte = F.conv(F.hex(F.substring(bits, F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.getbit(byte, F.pmod(at, F.lit(8))) == 1
+
+
 def split_by_keys(df: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``df`` in two: rows whose key may be in ``keys`` (one column), which all are whose key is, and rows whose key is not.
 
@@ -73,9 +79,8 @@ def split_by_keys(df: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFram
     maps = keys.groupBy(F.floor(place / (1 << 15)).alias(bucket)).agg(F.bitmap_construct_agg(F.pmod(place, F.lit(1 << 15))).alias(bit))
     own = F.pmod(F.xxhash64(key), F.lit(bits))
     at = F.pmod(own, F.lit(1 << 15)).cast("int")
-    byte = F.conv(F.hex(F.substring(F.col(bit), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     marked = df.withColumn(hit, own).join(F.broadcast(maps), F.floor(F.col(hit) / (1 << 15)) == F.col(bucket), "left")
-    marked = marked.withColumn(hit, F.coalesce(F.getbit(byte, F.pmod(at, F.lit(8))) == 1, F.lit(False))).drop(bucket, bit)
+    marked = marked.withColumn(hit, F.coalesce(bit_at(F.col(bit), at), F.lit(False))).drop(bucket, bit)
     return marked.filter(F.col(hit)).drop(hit), marked.filter(~F.col(hit)).drop(hit)
 
 

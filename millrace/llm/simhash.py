@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import split_by_keys, text_of, unused, written
+from millrace.llm.common import bit_at, split_by_keys, text_of, unused, written
 from millrace.llm.graph import components
 
 WORD = pattern(rb"[^\x20\x09-\x0D]+")
@@ -257,24 +257,41 @@ def wide_roots(prints: DataFrame, radius: int) -> DataFrame:
     nodes = written(prints.join(first, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("group")), "groups")
     nodes = written(_tied(nodes, star), "groups")
 
-    held = parts(nodes).select("key", F.col("node").alias("b"), "group", *(w.alias(f"b_{i}") for i, w in enumerate(_words("fp", "key"))))
-    have = held.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("n"), F.max("b").alias("b"), *(F.max(f"b_{i}").alias(f"b_{i}") for i in range(2)))
+    def held(nodes: DataFrame) -> DataFrame:
+        return parts(nodes).select("key", F.col("node").alias("b"), "group", *(w.alias(f"b_{i}") for i, w in enumerate(_words("fp", "key"))))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        one, two = (prints.select(F.col("node").alias(x), F.col("fp").alias(f"fp_{x}")) for x in "ab")
+        near = pairs.distinct().join(one, "a").join(two, "b").filter(_near(F.col("fp_a"), F.col("fp_b"), radius))
+        return written(near.select("a", "b"), "links")
+
+    # One node of the lowest group that has a part and one of the highest: each question meets one of another group.
+    low, high = F.min_by("b", "group").alias("b_low"), F.max_by("b", "group").alias("b_high")
+    words = (F.max(f"b_{i}").alias(f"b_{i}") for i in range(2))  # used only where one node has the part
+    have = held(nodes).groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("n"), low, high, *words)
     masks = F.array(*(F.lit(1 << i).cast("long") for i in range(PART)))
     keys = _keys([F.col("fp")[i] for i in range(LONGS)])
     around = F.transform(keys, lambda k: F.concat(F.array(k), F.transform(F.filter(masks, lambda m: k.bitwiseAND(m) != 0), lambda m: k.bitwiseXOR(m))))
     spread = nodes.repartition(ceil((prints.count() + 1) / TASK_ROWS), "node")  # each row becomes some 140 questions
     asks = spread.select(F.col("node").alias("a"), F.col("group").alias("g"), "fp", F.explode(F.flatten(around)).alias("key"))
+    # Which values are taken is a bitmap of 12 times 2^21 bits, 3 MB for any table: questions for the others end here.
+    page, bit = F.shiftright("key", 15), F.col("key").bitwiseAND(F.lit((1 << 15) - 1))
+    taken = parts(nodes).groupBy(page.alias("page")).agg(F.bitmap_construct_agg(bit).alias("bits"))
+    asks = asks.join(F.broadcast(taken), page == F.col("page")).filter(bit_at(F.col("bits"), bit.cast("int")))
     asks = asks.select("a", "g", "key", *_words("fp", "key"))
     close = F.bit_count(F.col("word_1").bitwiseXOR(F.col("b_0"))) + F.bit_count(F.col("word_2").bitwiseXOR(F.col("b_1"))) <= radius
     met = asks.join(have, "key").filter(((F.col("g") != F.col("low")) | (F.col("g") != F.col("high"))) & ((F.col("n") > 1) | close))
-    met = written(met.select("a", "g", "key", "word_1", "word_2", F.when(F.col("n") == 1, F.col("b")).alias("b")), "met")
-    full = met.filter("b is null").drop("b")  # several nodes have the part
-    several = held.join(full.select("key").distinct(), "key", "left_semi").withColumnRenamed("key", "part")
+    other = F.when(F.col("g") != F.col("low"), F.col("b_low")).otherwise(F.col("b_high"))
+    met = written(met.select("a", "key", "word_1", "word_2", (F.col("n") > 1).alias("more"), other.alias("b")), "met")
+    nodes = written(_tied(nodes, linked(met.select("a", "b"))), "groups")
+
+    # Of the parts that several nodes have, those still in several groups: there every pair of two groups meets.
+    full = met.filter("more").drop("b").join(nodes.select(F.col("node").alias("a"), F.col("group").alias("g")), "a")
+    several = held(nodes).join(full.select("key").distinct(), "key", "left_semi").withColumnRenamed("key", "part")
+    groups = several.groupBy("part").agg(F.min("group").alias("low"), F.max("group").alias("high"))
+    full = full.join(groups, F.col("key") == F.col("part")).filter("g != low or g != high").drop("part")
     pairs = full.join(several, (F.col("key") == F.col("part")) & (F.col("g") != F.col("group")) & close).select("a", "b")
-    pairs = met.filter("b is not null").select("a", "b").union(pairs).distinct()
-    one, two = (prints.select(F.col("node").alias(x), F.col("fp").alias(f"fp_{x}")) for x in "ab")
-    linked = pairs.join(one, "a").join(two, "b").filter(_near(F.col("fp_a"), F.col("fp_b"), radius)).select("a", "b")
-    return _tied(nodes, written(linked, "links")).select("node", F.col("group").alias("root"))
+    return _tied(nodes, linked(pairs)).select("node", F.col("group").alias("root"))
 
 
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
