@@ -266,9 +266,8 @@ def wide_roots(prints: DataFrame, radius: int) -> DataFrame:
         return written(near.select("a", "b"), "links")
 
     # One node of the lowest group that has a part and one of the highest: each question meets one of another group.
-    low, high = F.min_by("b", "group").alias("b_low"), F.max_by("b", "group").alias("b_high")
-    words = (F.max(f"b_{i}").alias(f"b_{i}") for i in range(2))  # used only where one node has the part
-    have = held(nodes).groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("n"), low, high, *words)
+    row = F.struct("group", "b", "b_0", "b_1")
+    have = held(nodes).groupBy("key").agg(F.min(row).alias("low"), F.max(row).alias("high"), F.count("*").alias("n"))
     masks = F.array(*(F.lit(1 << i).cast("long") for i in range(PART)))
     keys = _keys([F.col("fp")[i] for i in range(LONGS)])
     around = F.transform(keys, lambda k: F.concat(F.array(k), F.transform(F.filter(masks, lambda m: k.bitwiseAND(m) != 0), lambda m: k.bitwiseXOR(m))))
@@ -279,18 +278,22 @@ def wide_roots(prints: DataFrame, radius: int) -> DataFrame:
     taken = parts(nodes).groupBy(page.alias("page")).agg(F.bitmap_construct_agg(bit).alias("bits"))
     asks = asks.join(F.broadcast(taken), page == F.col("page")).filter(bit_at(F.col("bits"), bit.cast("int")))
     asks = asks.select("a", "g", "key", *_words("fp", "key"))
-    close = F.bit_count(F.col("word_1").bitwiseXOR(F.col("b_0"))) + F.bit_count(F.col("word_2").bitwiseXOR(F.col("b_1"))) <= radius
-    met = asks.join(have, "key").filter(((F.col("g") != F.col("low")) | (F.col("g") != F.col("high"))) & ((F.col("n") > 1) | close))
-    other = F.when(F.col("g") != F.col("low"), F.col("b_low")).otherwise(F.col("b_high"))
-    met = written(met.select("a", "key", "word_1", "word_2", (F.col("n") > 1).alias("more"), other.alias("b")), "met")
-    nodes = written(_tied(nodes, linked(met.select("a", "b"))), "groups")
+
+    def close(one: Column, two: Column) -> Column:
+        return F.bit_count(F.col("word_1").bitwiseXOR(one)) + F.bit_count(F.col("word_2").bitwiseXOR(two)) <= radius
+
+    other = F.when(F.col("g") != F.col("low.group"), F.col("low")).otherwise(F.col("high"))
+    near = close(other["b_0"], other["b_1"])
+    met = asks.join(have, "key").filter(((F.col("g") != F.col("low.group")) | (F.col("g") != F.col("high.group"))) & ((F.col("n") > 1) | near))
+    met = written(met.select("a", "key", "word_1", "word_2", (F.col("n") > 1).alias("more"), F.when(near, other["b"]).alias("b")), "met")
+    nodes = written(_tied(nodes, linked(met.filter("b is not null").select("a", "b"))), "groups")
 
     # Of the parts that several nodes have, those still in several groups: there every pair of two groups meets.
     full = met.filter("more").drop("b").join(nodes.select(F.col("node").alias("a"), F.col("group").alias("g")), "a")
     several = held(nodes).join(full.select("key").distinct(), "key", "left_semi").withColumnRenamed("key", "part")
     groups = several.groupBy("part").agg(F.min("group").alias("low"), F.max("group").alias("high"))
     full = full.join(groups, F.col("key") == F.col("part")).filter("g != low or g != high").drop("part")
-    pairs = full.join(several, (F.col("key") == F.col("part")) & (F.col("g") != F.col("group")) & close).select("a", "b")
+    pairs = full.join(several, (F.col("key") == F.col("part")) & (F.col("g") != F.col("group")) & close(F.col("b_0"), F.col("b_1"))).select("a", "b")
     return _tied(nodes, linked(pairs)).select("node", F.col("group").alias("root"))
 
 
