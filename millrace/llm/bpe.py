@@ -31,11 +31,11 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import blocks, text_of
 
-MEMORY = 200_000  # pieces that a task remembers from earlier blocks
+MEMORY = 100_000  # pieces that a task remembers from earlier blocks
 LONGEST = 48  # characters of a piece that is remembered
 BLOCK = 3 << 20  # characters encoded together
 PORTION = 200_000  # pieces of a longer text encoded together
-SLICE = 1 << 20  # bytes that share a queue, or one piece
+SLICE = 1 << 19  # bytes that share a queue, or one piece
 WORD = 6  # bits that index a bitmap word of 64
 
 
