@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.ordered import in_order
+
 
 def next_version(df: DataFrame, name: str, version: str) -> DataFrame:
     """``name, next_version``: one more than the highest."""
@@ -36,13 +38,9 @@ def insert_policy(policies: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def rotated(df: DataFrame, key: str, cursor: int) -> DataFrame:
-    """Rows with ``turn``: their place when the keys' order begins at the cursor (round robin).
-
-    Ranks over the whole order need one task; use it on dimension-sized tables (projects, workers).
-    """
-    n = F.count("*").over(Window.partitionBy())
-    rank = F.row_number().over(Window.orderBy(key))
-    return df.withColumn("turn", F.pmod(rank - 1 - F.lit(cursor), n).cast("long"))
+    """Rows with ``turn``: their place when the keys' order begins at the cursor (round robin)."""
+    ranked = in_order(df, [key], rank="_rank", total="_n")
+    return ranked.withColumn("turn", F.pmod(F.col("_rank") - 1 - F.lit(cursor), F.col("_n")).cast("long")).drop("_rank", "_n")
 
 
 def changed(df: DataFrame, by: str, order: list[str], column: str) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.ordered import in_order
+
 COOLDOWN = 5  # seconds
 
 
@@ -47,9 +49,16 @@ def classified(workers: DataFrame, tasks: DataFrame, outcomes: DataFrame, projec
 
 
 def chosen(candidates: DataFrame, by: list[str] | None = None, tie: Column | None = None) -> DataFrame:
-    """Candidates ranked by priority, then load, then the tie-break (the name, or a seeded random column)."""
-    order = Window.partitionBy(*(by or [])).orderBy("priority", "running", F.col("name") if tie is None else tie)
-    return candidates.withColumn("rank", F.row_number().over(order).cast("long"))
+    """Candidates ranked by priority, then load, then the tie-break (the name, or a seeded random column).
+
+    ``by``: keys within each of which candidates are ranked; without them, all are, over ranges of the order.
+    """
+    if by:
+        order = Window.partitionBy(*by).orderBy("priority", "running", F.col("name") if tie is None else tie)
+        return candidates.withColumn("rank", F.row_number().over(order).cast("long"))
+    if tie is None:
+        return in_order(candidates, ["priority", "running", "name"], rank="rank")
+    return in_order(candidates.withColumn("_tie", tie), ["priority", "running", "_tie", "name"], rank="rank").drop("_tie")
 
 
 def admitted(projects: DataFrame, cap: int) -> DataFrame:
@@ -63,10 +72,14 @@ def admitted(projects: DataFrame, cap: int) -> DataFrame:
     return ranked.filter(F.col("running") | (F.col("_rank") <= F.greatest(F.col("_active"), F.lit(cap)))).drop("_rank", "_active")
 
 
-def weighted_pick(options: DataFrame, weight: str, pick: float, *order: str) -> DataFrame:
-    """The first option whose running sum of weights reaches the pick."""
-    upto = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return options.withColumn("cum", F.sum(weight).over(upto)).filter(F.col("cum") >= F.lit(pick)).orderBy("cum", *order).limit(1)
+def running_weights(options: DataFrame, weight: str, *order: str) -> DataFrame:
+    """Options with ``cum``: the sum of the weights up to each in the order."""
+    return in_order(options, list(order), sums={"cum": F.col(weight)})
+
+
+def weighted_pick(options: DataFrame, weight: str, pick: float | Column, *order: str) -> DataFrame:
+    """The first option whose running sum of weights reaches the pick; none where the sum of all doesn't."""
+    return running_weights(options, weight, *order).filter(F.col("cum") >= (pick if isinstance(pick, Column) else F.lit(pick))).orderBy("cum", *order).limit(1)
 
 
 def shares_add_up(options: DataFrame, weight: str) -> DataFrame:

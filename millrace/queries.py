@@ -340,8 +340,17 @@ def worker_rank(spark: SparkSession, sf: str) -> DataFrame:
 @query("select s_suppkey, sum(s_nationkey + 1) over (order by s_suppkey rows unbounded preceding)::bigint as cum from supplier")
 def weighted_cdf(spark: SparkSession, sf: str) -> DataFrame:
     """V9: running weights; stand-in on supplier."""
-    upto = Window.orderBy("s_suppkey").rowsBetween(Window.unboundedPreceding, 0)
-    return load(spark, sf, "supplier").select("s_suppkey", F.sum(F.col("s_nationkey") + 1).over(upto).cast("long").alias("cum"))
+    options = load(spark, sf, "supplier").select("s_suppkey", (F.col("s_nationkey") + 1).cast("long").alias("weight"))
+    return schedule.running_weights(options, "weight", "s_suppkey").select("s_suppkey", "cum")
+
+
+@query("""with c as (select o_orderkey, sum(o_custkey) over (order by o_orderdate, o_orderkey rows unbounded preceding)::bigint as cum from orders)
+    select o_orderkey, cum from c where cum >= (select sum(o_custkey) * 0.75 from orders) order by cum, o_orderkey limit 1""")
+def weighted_choice(spark: SparkSession, sf: str) -> DataFrame:
+    """V9: the option that a number between 0 and 1 picks, by running weights; stand-in: orders weighted by customer number, 0.75 drawn."""
+    orders = load(spark, sf, "orders").select("o_orderkey", "o_orderdate", F.col("o_custkey").cast("long").alias("weight"))
+    drawn = orders.agg((F.sum("weight") * F.lit(0.75)).alias("drawn"))
+    return schedule.weighted_pick(orders.join(F.broadcast(drawn)), "weight", F.col("drawn"), "o_orderdate", "o_orderkey").select("o_orderkey", "cum")
 
 
 @query("select o_custkey as project, string_agg(label, ',' order by label) as labels from (select o_custkey, o_orderpriority || ':' || o_orderstatus as label from orders) group by 1")
