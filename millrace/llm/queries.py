@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import blockknn, bpe, chat, gam, mixing, mtree, reshard, simhash, tokenfst, warc
+from millrace.llm import blockknn, bpe, chat, gam, mixing, mtree, reshard, simhash, tokenfst, warc, whitening
 from millrace.llm.common import fresh_path, table, text_of
 
 
@@ -98,7 +98,14 @@ def op10_tokenfst(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", n_bytes, "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
-QUERIES = {"op6_mixing": op6_mixing, "op4_warc": op4_warc, "op3_chat": op3_chat, "op2_mtree": op2_mtree, "op9_blockknn": op9_blockknn, "op5_gam": op5_gam, "op7_reshard": op7_reshard, "op10_tokenfst": op10_tokenfst, "op1_bpe": op1_bpe, "op8_simhash": op8_simhash}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All usable embeddings on their 16 largest components: ``vec_id, component, n, deviation, whitened, explained, identity_error``."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(vectors)
+    return whitening.by_component(whitening.with_whitened(vectors, model), model)
+
+
+QUERIES = {"op6_mixing": op6_mixing, "op4_warc": op4_warc, "op3_chat": op3_chat, "op2_mtree": op2_mtree, "op9_blockknn": op9_blockknn, "op5_gam": op5_gam, "op7_reshard": op7_reshard, "op10_tokenfst": op10_tokenfst, "op1_bpe": op1_bpe, "op8_simhash": op8_simhash, "op11_whitening": op11_whitening}
 ORACLES: dict[str, str] = {
     "op4_warc": """
         with p as (
