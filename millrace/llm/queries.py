@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import blockknn, bpe, chat, gam, mixing, mtree, reshard, simhash, tokenfst, warc, whitening
+from millrace.llm import blockknn, bpe, chat, gam, mixing, mtree, reshard, simhash, tokenfiles, tokenfst, warc, whitening
 from millrace.llm.common import fresh_path, table, text_of
 
 
@@ -105,7 +105,14 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.by_component(whitening.with_whitened(vectors, model), model)
 
 
-QUERIES = {"op6_mixing": op6_mixing, "op4_warc": op4_warc, "op3_chat": op3_chat, "op2_mtree": op2_mtree, "op9_blockknn": op9_blockknn, "op5_gam": op5_gam, "op7_reshard": op7_reshard, "op10_tokenfst": op10_tokenfst, "op1_bpe": op1_bpe, "op8_simhash": op8_simhash, "op11_whitening": op11_whitening}
+def op12_tokenfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids written as flat files in the order of doc_id, and read back: ``doc_id, start, n_tokens, ids_crc32``."""
+    target = fresh_path(spark, "tokens")
+    tokenfiles.write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), target, 2)
+    return tokenfiles.read_ids(spark, target).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+QUERIES = {"op6_mixing": op6_mixing, "op4_warc": op4_warc, "op3_chat": op3_chat, "op2_mtree": op2_mtree, "op9_blockknn": op9_blockknn, "op5_gam": op5_gam, "op7_reshard": op7_reshard, "op10_tokenfst": op10_tokenfst, "op1_bpe": op1_bpe, "op8_simhash": op8_simhash, "op11_whitening": op11_whitening, "op12_tokenfiles": op12_tokenfiles}
 ORACLES: dict[str, str] = {
     "op4_warc": """
         with p as (
