@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import blockknn, bpe, chat, gam, mixing, mtree, reshard, simhash, tokenfiles, tokenfst, warc, whitening
+from millrace.llm import blockknn, bpe, chat, collocations, gam, mixing, mtree, reshard, simhash, tokenfiles, tokenfst, warc, whitening
 from millrace.llm.common import fresh_path, table, text_of
 
 
@@ -112,7 +112,12 @@ def op12_tokenfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read_ids(spark, target).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {"op6_mixing": op6_mixing, "op4_warc": op4_warc, "op3_chat": op3_chat, "op2_mtree": op2_mtree, "op9_blockknn": op9_blockknn, "op5_gam": op5_gam, "op7_reshard": op7_reshard, "op10_tokenfst": op10_tokenfst, "op1_bpe": op1_bpe, "op8_simhash": op8_simhash, "op11_whitening": op11_whitening, "op12_tokenfiles": op12_tokenfiles}
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 phrases of each language whose words go together most: ``lang, rank, phrase, a, l, r, n, score``."""
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op6_mixing": op6_mixing, "op4_warc": op4_warc, "op3_chat": op3_chat, "op2_mtree": op2_mtree, "op9_blockknn": op9_blockknn, "op5_gam": op5_gam, "op7_reshard": op7_reshard, "op10_tokenfst": op10_tokenfst, "op1_bpe": op1_bpe, "op8_simhash": op8_simhash, "op11_whitening": op11_whitening, "op12_tokenfiles": op12_tokenfiles, "op13_collocations": op13_collocations}
 ORACLES: dict[str, str] = {
     "op4_warc": """
         with p as (
@@ -138,4 +143,30 @@ ORACLES: dict[str, str] = {
         )
         select * from ranked where rank <= 10
     """,
+    "op13_collocations": r"""
+        with pieces as (
+            select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents
+        ), lines as (
+            select lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x != '') as w from pieces
+        ), sizes as (
+            select lang, sum(len(w))::bigint as n from lines group by lang
+        ), spans as (
+            select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) as phrase from lines, range(1, 5) as t(k) where len(w) >= k
+        ), f as (
+            select lang, k, phrase, count(*) as f from spans group by all having count(*) >= 30
+        ), kept as (
+            select c.* from f c where c.k > 1 and not exists (
+                select 1 from f q where q.lang = c.lang and q.k > c.k and 100 * q.f >= 80 * c.f and contains(' ' || q.phrase || ' ', ' ' || c.phrase || ' '))
+        ), cuts as (
+            select lang, phrase, f as a, unnest(range(1, k)) as cut, string_split(phrase, ' ') as w from kept
+        ), scored as (
+            select c.lang, c.phrase, c.a, c.cut, p.f as l, q.f as r, (2000000::hugeint * c.a // (p.f + q.f))::bigint as score
+            from cuts c join f p on p.lang = c.lang and p.phrase = array_to_string(w[1:cut], ' ') join f q on q.lang = c.lang and q.phrase = array_to_string(w[cut + 1:], ' ')
+        ), lowest as (
+            select * from scored qualify row_number() over (partition by lang, phrase order by score, cut) = 1
+        ), ranked as (
+            select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, score from lowest
+        )
+        select lang, rank, phrase, a, l, r, n, score from ranked join sizes using (lang) where rank <= 2000
+    """,
 }
