@@ -19,12 +19,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import BITS_A_KEY, MOST_BITS, text_of, written
 
-SHARD_BYTES = 8 << 20  # of texts
+SHARD_BYTES = 6 << 20  # of texts
 DEPTH = 4
 PAGE_BITS = 1 << 15
 #: What parts words, and what ends a piece.
@@ -65,8 +66,8 @@ def _cut(data: bytes, most: int) -> Iterator[bytes]:
 
 
 def shards(docs: DataFrame, lang: str, text: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """``lang, words, counts, ids`` (packed): the texts of a task by language (null: und), in shards of bounded size."""
-    schema = pa.schema([("lang", pa.string()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("ids", pa.binary())])
+    """``lang, words, counts, h, ids`` (packed): the texts of a task by language (null: und), in shards of bounded size. ``h``: xxhash64(lang, word)."""
+    schema = pa.schema([("lang", pa.string()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("h", pa.list_(pa.int64())), ("ids", pa.binary())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[bytes]] = {}
@@ -76,8 +77,11 @@ def shards(docs: DataFrame, lang: str, text: str, shard_bytes: int = SHARD_BYTES
             for own, texts in held.items():
                 words, ids = shard_of(b"\n".join(texts))
                 if len(words):
-                    counts = np.bincount(ids, minlength=len(words) + 1)[1:].tolist()
-                    yield pa.RecordBatch.from_pylist([{"lang": own, "words": words.to_pylist(), "counts": counts, "ids": ids.tobytes()}], schema)
+                    seed = xxhash.xxh64_intdigest(own.encode(), 42)  # as Spark's function chains its columns
+                    hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words.to_pylist()), np.uint64, len(words)).view(np.int64)
+                    one = [0, len(words)]
+                    lists = [pa.ListArray.from_arrays(one, c) for c in (words, pa.array(np.bincount(ids, minlength=len(words) + 1)[1:], pa.int64()), pa.array(hashes))]
+                    yield pa.RecordBatch.from_arrays([pa.array([own]), *lists, pa.array([memoryview(ids).cast("B")], pa.binary())], schema=schema)
 
         for batch in batches:
             for own, said in zip(batch.column("lang"), batch.column("text"), strict=True):
@@ -90,7 +94,7 @@ def shards(docs: DataFrame, lang: str, text: str, shard_bytes: int = SHARD_BYTES
         yield from full()
 
     rows = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"), text_of(text).alias("text"))
-    return rows.mapInArrow(cut, "lang string, words array<string>, counts array<long>, ids binary")
+    return rows.mapInArrow(cut, "lang string, words array<string>, counts array<long>, h array<long>, ids binary")
 
 
 def _bitmap(keys: DataFrame) -> np.ndarray:
@@ -118,11 +122,6 @@ def _pair(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     return (z ^ z >> np.uint64(31)).view(np.int64)
 
 
-def _hashed(rows: DataFrame) -> DataFrame:
-    """Shards with the hash of each of their words, as ``h`` of the word table has it."""
-    return rows.select("words", F.transform("words", lambda w: F.xxhash64("lang", w)).alias("h"), "ids", "lang")
-
-
 def _joined(ids: np.ndarray, hashes: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     """Whether each word and the next are in one piece and may both be frequent."""
     fine = np.concatenate([[False], _set(frequent, hashes)])[ids]
@@ -181,7 +180,7 @@ def _pairs(rows: DataFrame, frequent) -> DataFrame:
                 for i in range(0, len(key), 1 << 16):
                     yield pa.RecordBatch.from_arrays([pa.array(key[i : i + (1 << 16)]), pa.array(n[i : i + (1 << 16)])], ["h", "n"])
 
-    return _hashed(rows).select("h", "ids").mapInArrow(pairs, "h long, n long")
+    return rows.select("h", "ids").mapInArrow(pairs, "h long, n long")
 
 
 def _phrases(rows: DataFrame, frequent, linked, depth: int) -> DataFrame:
@@ -204,7 +203,7 @@ def _phrases(rows: DataFrame, frequent, linked, depth: int) -> DataFrame:
                         n = min(len(ends) - i, 1 << 15)
                         yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()] * n, pa.string()), phrases.slice(i, n), pa.array([k] * n, pa.int32()), pa.array(ends[i : i + n], pa.int64())], ["lang", "phrase", "k", "n"])
 
-    return _hashed(rows).mapInArrow(listed, "lang string, phrase string, k int, n long")
+    return rows.select("lang", "words", "h", "ids").mapInArrow(listed, "lang string, phrase string, k int, n long")
 
 
 def _around(phrases: DataFrame, depth: int) -> DataFrame:
@@ -242,7 +241,7 @@ def mine(docs: DataFrame, least: int = 30, most: int = 2000, lang: str = "lang",
     often = F.col("a") >= least
     frequent = context.broadcast(_bitmap(one.filter(often).select(F.xxhash64("lang", "phrase").alias("h"))))
     pairs = _pairs(rows, frequent).groupBy("h").agg(F.sum("n").alias("a")).filter(often)
-    linked = context.broadcast(_bitmap(pairs.select("h")))
+    linked = context.broadcast(_bitmap(written(pairs.select("h"), "pairs")))
     counted = _phrases(rows, frequent, linked, depth).groupBy("lang", "phrase", "k").agg(F.sum("n").alias("a")).filter(often)
     phrases = written(counted, "phrases")
     around = _around(phrases, depth)

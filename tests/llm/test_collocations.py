@@ -57,6 +57,12 @@ def test_against_brute_force(spark, seed, least, shard_bytes):
     assert got == brute(rows, least, 50) and got
 
 
+def test_hashes_are_spark_s(spark):
+    df = spark.createDataFrame([("en", "alpha beta É. " * 3), (None, "a much longer word-of-over-thirty-two-bytes-in-all x")], "lang string, text string")
+    same = collocations.shards(df, "lang", "text").selectExpr("inline(transform(arrays_zip(words, h), x -> struct(xxhash64(lang, x.words) = x.h as same)))")
+    assert same.count() == 8 and same.filter("not same").count() == 0
+
+
 def test_empty_and_rare(spark):
     empty = spark.createDataFrame([], "lang string, text string")
     assert collocations.mine(empty).count() == 0
