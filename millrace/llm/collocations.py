@@ -92,6 +92,7 @@ def shards(docs: DataFrame, lang: str, text: str, shard_bytes: int = SHARD_BYTES
                         yield from full()
                         held, size = {}, 0
         yield from full()
+        pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"), text_of(text).alias("text"))
     return rows.mapInArrow(cut, "lang string, words array<string>, counts array<long>, h array<long>, ids binary")
@@ -179,6 +180,7 @@ def _pairs(rows: DataFrame, frequent) -> DataFrame:
                 key = _pair(hashes[both // (len(hashes) + 1) - 1], hashes[both % (len(hashes) + 1) - 1])
                 for i in range(0, len(key), 1 << 16):
                     yield pa.RecordBatch.from_arrays([pa.array(key[i : i + (1 << 16)]), pa.array(n[i : i + (1 << 16)])], ["h", "n"])
+        pa.default_memory_pool().release_unused()
 
     return rows.select("h", "ids").mapInArrow(pairs, "h long, n long")
 
@@ -240,7 +242,8 @@ def mine(docs: DataFrame, least: int = 30, most: int = 2000, lang: str = "lang",
     one = written(one, "words")
     often = F.col("a") >= least
     frequent = context.broadcast(_bitmap(one.filter(often).select(F.xxhash64("lang", "phrase").alias("h"))))
-    pairs = _pairs(rows, frequent).groupBy("h").agg(F.sum("n").alias("a")).filter(often)
+    # a shard's rows are summed already: they are dealt by hash at once, without a second sum before it
+    pairs = _pairs(rows, frequent).repartition("h").groupBy("h").agg(F.sum("n").alias("a")).filter(often)
     linked = context.broadcast(_bitmap(written(pairs.select("h"), "pairs")))
     counted = _phrases(rows, frequent, linked, depth).groupBy("lang", "phrase", "k").agg(F.sum("n").alias("a")).filter(often)
     phrases = written(counted, "phrases")
