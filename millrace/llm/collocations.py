@@ -23,9 +23,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import BITS_A_KEY, MOST_BITS, text_of, written
+from millrace.llm.common import BITS_A_KEY, MOST_BITS, fresh_path, text_of, written
 
 SHARD_BYTES = 6 << 20  # of texts
+FILE_SHARDS = 4  # of a file: rows of megabytes, which a task gets at once
 DEPTH = 4
 PAGE_BITS = 1 << 15
 #: What parts words, and what ends a piece.
@@ -237,7 +238,10 @@ def mine(docs: DataFrame, least: int = 30, most: int = 2000, lang: str = "lang",
     empty table, or one without such phrases, gives an empty result. Order: score and ``a`` falling, phrase rising by its bytes.
     """
     context = docs.sparkSession.sparkContext
-    rows = written(shards(docs, lang, text, shard_bytes), "shards")
+    path = fresh_path(docs.sparkSession, "shards")
+    made = shards(docs, lang, text, shard_bytes)
+    made.write.option("maxRecordsPerFile", FILE_SHARDS).parquet(path)
+    rows = docs.sparkSession.read.schema(made.schema).parquet(path)
     one = rows.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).groupBy("lang", F.col("w.words").alias("phrase")).agg(F.sum("w.counts").alias("a"))
     one = written(one, "words")
     often = F.col("a") >= least
