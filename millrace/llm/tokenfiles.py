@@ -2,17 +2,19 @@
 
 A folder holds, for each part of the order of documents, a file of ids (unsigned 16 or 32-bit,
 little-endian, as the vocabulary needs) and an index: document ids, and the offset of each document
-in the ids of all parts. Texts are encoded once and written; the narrow rows of ids are dealt by
-ranges of the order, so a part is one task's stream of bounded memory whatever is in it. Each part first
-tells its own total; running sums of these totals are the parts' bases, and indexes are written with them.
+in the ids of all parts. Texts are dealt by ranges of the order and encoded where they are written, so a
+part is one task's stream of bounded memory whatever is in it. Each part first tells its own
+total; running sums of these totals are the parts' bases, and indexes are written with them.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from math import ceil
-from struct import calcsize, pack, unpack
+from re import compile as pattern
+from struct import Struct, calcsize, pack, unpack
 
 import numpy as np
 import pyarrow as pa
@@ -24,20 +26,31 @@ from pyspark.sql import functions as F
 from millrace.llm.common import blocks, text_of, written
 from millrace.operators.ordered import in_order
 
-PART_BYTES = 192 << 20  # of ids in a file, about
+PART_BYTES = 384 << 20  # of texts whose ids are in a file, about
 BLOCK = 1 << 20  # characters encoded at once
-MOST_WORDS, LONGEST = 150_000, 64  # words remembered by a task, and characters of one
+MOST_WORDS, LONGEST = 300_000, 64  # words remembered by a task, and characters of one
 READ_DOCS, READ_IDS = 20_000, 8 << 20  # documents of a reading task, and ids of one of its batches
 #: An index begins with: mark, bytes of an id, documents, those of them without an id (they come first).
 HEAD, MARK = "<8sQQQ", b"TOKENS01"
 HEAD_BYTES = calcsize(HEAD)
+#: The rules of a file whose words can be encoded one by one; characters whose case and kind are the same everywhere, and how the rules split them.
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "post_processor": None, "truncation": None, "padding": None,
+}
+PLAIN = pattern("[!-~À-ÖØ-öø-įı-ž]+")
+PARTS = pattern("'s|'t|'re|'ve|'m|'ll|'d|[a-zÀ-ÖØ-öø-įı-ž]+|[0-9]|[^a-z0-9À-ÖØ-öø-įı-ž]+")
 
 
 class Words:
-    """Ids of texts by the library: each word once while it is remembered, as no token and no rule of the file reaches over white space.
+    """Ids of texts by the library, each word once while it is remembered.
 
-    Its normaliser composes characters, which never joins a space to others; its splitter drops white
-    space; so a text's ids are those of its words, one after the other.
+    That holds for files with the RULES above: they compose characters, which never joins a
+    space to others, drop white space, and merge within words alone; so a text's ids are those of its
+    words, one after the other. Words of PLAIN characters are lower-cased and split here and merged
+    by the library's model; others go through the whole library. With any other rules, whole texts do.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -45,41 +58,56 @@ class Words:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        size = max(self.library.get_vocab_size(with_added_tokens=True), end_id + 1, 1 + max(self.library.get_vocab(with_added_tokens=True).values(), default=0))
+        size = max(end_id, *self.library.get_vocab(with_added_tokens=True).values()) + 1
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
-        self.end = np.array([end_id], self.kind).tobytes()
+        self.pack = Struct("<H" if size <= 1 << 16 else "<I").pack
+        self.end = self.pack(end_id)
+        told = json.loads(self.library.to_str())
+        added = all(t["content"].startswith("<|") and " " not in t["content"] and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in told["added_tokens"])
+        self.by_words = added and {k: told[k] for k in RULES} == RULES
         self.known: dict[str, bytes] = {}
+        self.merged: dict[str, bytes] = {}
+        # each byte's character in the vocabulary: itself where it is printable, else one from 256 on
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.characters = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in shown)}
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+
+    def _plain(self, word: str) -> bytes:
+        """Ids of a word of PLAIN characters."""
+        out = []
+        for part in PARTS.findall(word.lower()):
+            ids = self.merged.get(part)
+            if ids is None:
+                shown = part if part.isascii() else part.encode().decode("latin1").translate(self.characters)
+                ids = b"".join([self.pack(t.id) for t in self.library.model.tokenize(shown)])
+                if len(part) <= LONGEST:
+                    self.merged[part] = ids
+            out.append(ids)
+        return b"".join(out)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text, the end id last."""
+        if not self.by_words:
+            return [ids + self.end for ids in self._whole(texts)]
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         if len(self.known) > MOST_WORDS:
             self.known = {}
+        if len(self.merged) > MOST_WORDS:
+            self.merged = {}
         own = self.known
-        new = list(set().union(*split) - own.keys())
-        coded = (np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch(new, add_special_tokens=False))
-        long = {}
-        for word, ids in zip(new, coded, strict=True):
-            (own if len(word) <= LONGEST else long)[word] = ids
+        new = set().union(*split) - own.keys()
+        odd = [w for w in new if not PLAIN.fullmatch(w) or "<|" in w]
+        coded = dict(zip(odd, self._whole(odd), strict=True))
+        coded |= {w: self._plain(w) for w in new.difference(odd)}
+        long = {w: coded.pop(w) for w in new if len(w) > LONGEST}
+        own.update(coded)
         if long:
             own = own | long
         return [b"".join(map(own.__getitem__, words)) + self.end for words in split]
 
 
-def with_ids(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, ids``: a row for each row of ``docs``, its ids packed as the files hold them, the end id last. Null texts count as empty."""
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(tokenizer, end_id)
-        for batch in batches:
-            at = 0
-            for texts in blocks(batch.column("text"), BLOCK):
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(texts)), pa.array(words.encode(texts), pa.binary())], ["doc_id", "ids"])
-                at += len(texts)
-
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text")).mapInArrow(encode, "doc_id long, ids binary")
-
-
 def _put(place: fs.FileSystem, path: str, chunks: Iterator[bytes]) -> None:
     """Write a file under another name first: an attempt that is repeated replaces it whole."""
     attempt = f"{path}.{TaskContext.get().taskAttemptId()}"
@@ -93,28 +121,32 @@ def write_ids(docs: DataFrame, tokenizer: str, target: str, end_id: int, doc_id:
     """Write the documents' ids in ascending order of ``doc_id`` into the folder ``target`` (a URI); rows ``part, docs, nulls, tokens, base``.
 
     Null ids come first; rows that repeat an id are documents of their own, ordered by a checksum of
-    their ids and the ids themselves, so one id that very many rows have is dealt over parts too. Null and
-    empty texts are the end id alone. Other columns take no part. No rows: no files.
+    their texts, so one id that very many rows have is dealt over parts too. Null and
+    empty texts are the end id alone. Other columns take no part. No rows: no files. The rows are read
+    three times (sizes, bounds of the ranges, texts), and must be the same each time.
     """
     where, folder = fs.FileSystem.from_uri(target)
     where.create_dir(folder, recursive=True)
-    coded = written(with_ids(docs, tokenizer, end_id, doc_id, text).withColumn("crc", F.crc32("ids")), "ids")
-    total = coded.agg(F.sum(F.length("ids"))).first()[0] or 0
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(ceil(total / part_bytes), min(docs.sparkSession.sparkContext.defaultParallelism, ceil(total / (1 << 20))), 1)
-    dealt = coded.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "crc", F.length("ids")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "crc", F.length("ids"), "ids").select("doc_id", "ids")
+    rows = rows.withColumns({"crc": F.crc32("text"), "size": F.octet_length("text")})
+    order = [F.col("doc_id").asc_nulls_first(), F.col("crc"), F.col("size")]
+    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order, "text").select("doc_id", "text")
     kind = Words(tokenizer, end_id).kind
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, (place, top) = TaskContext.get().partitionId(), fs.FileSystem.from_uri(target)
+        words = Words(tokenizer, end_id)
         names, sizes = [], []
 
         def ids() -> Iterator[bytes]:
             for batch in batches:
                 names.append(batch.column("doc_id"))
-                column = batch.column("ids")
-                sizes.append(np.diff(np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4)) // kind.itemsize)
-                start, end = (np.frombuffer(column.buffers()[1], np.int32)[column.offset + i] for i in (0, len(column)))
-                yield memoryview(column.buffers()[2])[start:end]
+                for texts in blocks(batch.column("text"), BLOCK):
+                    coded = words.encode(texts)
+                    sizes.append(np.fromiter(map(len, coded), np.int64, len(coded)) // kind.itemsize)
+                    yield b"".join(coded)
 
         first = next(batches, None)
         if first is None or not len(first):
@@ -185,7 +217,6 @@ def read_ids(spark: SparkSession, target: str) -> DataFrame:
     A task reads a run of READ_DOCS documents of one part, READ_IDS of their ids at a time (or one document).
     A part whose ids end before or after its last offset is an error.
     """
-    where, folder = fs.FileSystem.from_uri(target)
     names = spark.read.format("binaryFile").option("pathGlobFilter", "*.index").load(target).select("path", "length")
     docs = F.floor((F.col("length") - HEAD_BYTES - 8) / 16)
     runs = names.select(F.regexp_extract("path", r"([^/]+)\.index$", 1).alias("name"), docs.alias("docs"))

@@ -36,6 +36,22 @@ def test_words_are_whole_texts(library, text):
     assert np.frombuffer(words.encode([text])[0], words.kind).tolist() == ids_of(library, text)
 
 
+def test_plain_characters(library):
+    """Every plain character alone, in capitals and among others, against the library."""
+    plain = [chr(c) for c in range(0x180) if tokenfiles.PLAIN.fullmatch(chr(c))]
+    assert len(plain) == 94 + 23 + 31 + 56 + 78
+    texts = [t for c in plain for t in (c, f"a{c}b", f"'{c}{c}", f"9{c}!", f"{c}'LL{c}'s")] + ["".join(plain), "".join(reversed(plain)), " ".join(plain)]
+    words = tokenfiles.Words(PATH, 2)
+    assert words.by_words and words._whole(texts) == [ids[:-2] for ids in words.encode(texts)]
+
+
+def test_other_rules_take_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    words, other = tokenfiles.Words(path, 7), Tokenizer.from_file(path)
+    assert not words.by_words
+    assert [np.frombuffer(i, words.kind).tolist() for i in words.encode(["a b  c", ""])] == [[*other.encode(t, add_special_tokens=False).ids, 7] for t in ("a b  c", "")]
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from(" \n\t\r'́̇ΣsStTİ<|>")), max_size=40))
 def test_words_are_whole_texts_of_any_characters(text):
