@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.ordered import RANGE_ROWS
+from millrace.operators.scans import replayed
+
 #: The pipeline of a run, in order; every status of it may also go to cancelling or failed.
 PIPELINE = "created ingesting preprocessing static_scanning semantic_auditing dynamic_verifying machine_review human_review reporting".split()
 TERMINAL = "completed completed_with_warnings cancelled failed".split()
@@ -50,34 +50,26 @@ def cancelled(status: Column) -> tuple[Column, Column]:
     return F.when(done | ended, status).otherwise(F.lit("cancelling")), F.when(ended, F.lit("audit_run_not_cancellable"))
 
 
-def replay(requests: DataFrame, moves: list[tuple[str, str]], first: str, by: str, order: str, target: str) -> DataFrame:
+def replay(requests: DataFrame, moves: list[tuple[str, str]], first: str, by: str, order: str, target: str, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Requested moves in order, each with ``from_status, status`` and ``error_code``; a refused one changes nothing.
 
-    A refusal decides what the next request starts from, so each key is folded in sequence.
-    Rows stream through sorted by key: a key's state is one status, whatever its length.
+    A refusal decides what the next request starts from: a scan of composed moves over short runs
+    of requests, so one key that has very many is split over tasks. Statuses are those of the moves.
+    Targets that no move has, and null ones, are refused. Requests of a key that tie in ``order`` go by their other columns.
     """
+    statuses = sorted({first, *(s for move in moves for s in move)})
+    at = {s: i + 1 for i, s in enumerate(statuses)}
     ok = set(moves)
-    columns = requests.columns
-
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, now = object(), first
-        for frame in frames:
-            starts, ends, errors = [], [], []
-            for k, to in zip(frame[by], frame[target], strict=True):
-                k = None if pd.isna(k) else k  # nulls are one key
-                if k != key:
-                    key, now = k, first
-                starts.append(now)
-                fine = (now, to) in ok
-                now = to if fine else now
-                ends.append(now)
-                errors.append(None if fine else "audit_run_invalid_transition")
-            yield frame.assign(from_status=starts, status=ends, error_code=errors)
-
-    rest = [c for c in columns if c not in (by, order)]
-    ordered = requests.repartition(by).sortWithinPartitions(by, order, *rest)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema)
-    return ordered.mapInPandas(fold, f"{schema}, from_status string, status string, error_code string")
+    same = F.array(*(F.lit(i) for i in at.values()))
+    steps = F.create_map(*(x for t in statuses for x in (F.lit(t), F.array(*(F.lit(at[t] if (s, t) in ok else at[s]) for s in statuses)))))
+    froms = F.create_map(*(x for t in statuses for x in (F.lit(t), F.array(*(F.lit(s) for s in statuses if (s, t) in ok)).cast("array<string>"))))
+    wanted = F.coalesce(F.col(target).cast("string"), F.lit(""))
+    rest = [c for c in requests.columns if c not in (by, order)]
+    told = replayed(requests, by, [order, *rest], F.coalesce(F.try_element_at(steps, wanted), same), len(statuses), at[first], "_before", range_rows)
+    names = F.array(*map(F.lit, statuses))
+    fine = F.coalesce(F.array_contains(F.try_element_at(froms, wanted), F.col("from_status")), F.lit(False))
+    told = told.withColumn("from_status", F.element_at(names, F.col("_before"))).withColumn("error_code", F.when(~fine, "audit_run_invalid_transition"))
+    return told.select(*requests.columns, "from_status", F.when(fine, F.col(target)).otherwise(F.col("from_status")).alias("status"), "error_code")
 
 
 def stamped(history: DataFrame, by: str, order: str, status: str) -> DataFrame:
