@@ -184,8 +184,8 @@ def worker_classes(spark: SparkSession, sf: str) -> DataFrame:
     events = load(spark, sf, "events")
     kind = F.when(F.col("event_type") == "error", "unhealthy").when(F.col("event_type") == "purchase", "rejected").when(F.col("event_type") == "signup", "crashed").otherwise("success")
     outcomes = events.select(F.when(F.col("event_id") % 2 == 0, "p").otherwise("q").alias("project"), F.lit("explore").alias("task_type"), F.col("user_id").alias("worker"), kind.alias("outcome"), F.col("ts").alias("at"))
-    end = F.lit(events.agg(F.max("ts")).first()[0])
-    out = schedule.classified(workers, tasks, outcomes, "p", "explore", end)
+    end = events.agg(F.max("ts").alias("_end"))
+    out = schedule.classified(workers.join(F.broadcast(end)), tasks, outcomes, "p", "explore", F.col("_end"))
     return out.select(F.col("name").alias("s_suppkey"), "running", "class")
 
 
@@ -311,11 +311,13 @@ def filled_templates(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "nation").select("n_nationkey", done.alias("filled"), text.missing_placeholders(template, ["who", "place"]).alias("missing"))
 
 
-@query(r"""select page_id, regexp_full_match('CWE-' || page_id || case page_id % 3 when 0 then chr(10) else '' end, 'CWE-[0-9]+') as cwe, true as hash, regexp_full_match(url, '.*[^/]') as path from pages""")
+@query(r"""select page_id, regexp_full_match('CWE-' || page_id || case page_id % 3 when 0 then chr(10) else '' end, 'CWE-[0-9]+') as cwe, page_id % 4 = 0 as hash, regexp_full_match(url, '.*[^/]') as path from pages""")
 def patterns(spark: SparkSession, sf: str) -> DataFrame:
     """Weakness ids (a line end is none), hashes, absolute paths; stand-in on pages."""
     cwe = F.concat(F.lit("CWE-"), F.col("page_id"), F.when(F.col("page_id") % 3 == 0, "\n").otherwise(""))
-    return load(spark, sf, "pages").select("page_id", text.is_cwe(cwe).alias("cwe"), text.is_sha256(F.sha2("url", 256)).alias("hash"), text.is_absolute_path(F.concat(F.lit("/"), F.col("url"))).alias("path"))
+    good = F.sha2("url", 256)  # of four pages one has it; the others have capitals, a line end, or one digit less
+    said = F.element_at(F.array(good, F.concat(F.lit("A"), F.substring(F.upper(good), 2, 63)), F.concat(good, F.lit("\n")), F.substring(good, 1, 63)), (F.col("page_id") % 4 + 1).cast("int"))
+    return load(spark, sf, "pages").select("page_id", text.is_cwe(cwe).alias("cwe"), text.is_sha256(said).alias("hash"), text.is_absolute_path(F.concat(F.lit("/"), F.col("url"))).alias("path"))
 
 
 @query("""select c_custkey, case when c_custkey % 2 = 0 then case when c_nationkey = 3 then null when c_nationkey < 3 then 'remote_url required' else 'remote_url must use HTTPS or SSH' end

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.asof import as_of
+from millrace.operators.scans import replayed
 from millrace.operators.versions import first_of
 
 
@@ -143,3 +145,55 @@ def stopped(projects: DataFrame, intents: DataFrame) -> tuple[DataFrame, DataFra
     cleared = cleared.withColumn("worker", F.when(F.col("_stopped") & F.col("to").isNull(), F.lit(None)).otherwise(F.col("worker"))).drop("_p", "_stopped")
     lease = F.when(F.col("status") != "stopped", F.col("reason_worker"))
     return projects.withColumn("reason_worker", lease), cleared
+
+
+def checkpoints(tasks: DataFrame) -> DataFrame:
+    """Per project the counts of its last reasoning task that succeeded, as they stood when that task was dispatched.
+
+    Columns of a task: ``project, id, task_type, outcome, completed_at`` and the three counts at dispatch (see ``asof.counted_at``).
+    Of tasks that end at one time the one with the largest id counts.
+    """
+    done = tasks.filter((F.col("task_type") == "reason") & (F.col("outcome") == "success"))
+    counts = ("fact_count", "hint_count", "open_intent_count")
+    last = done.groupBy("project").agg(F.max_by(F.struct(*counts), F.struct("completed_at", "id")).alias("last"))
+    return last.select("project", *(F.col("last")[c].alias(c) for c in counts))
+
+
+#: States of a project, and what requests make of them in that order.
+PROJECT_STATES = ["active", "completed", "stopped"]
+PROJECT_MOVES = {"complete": ("active", "completed"), "reopen": ("completed", "active"), "stop": ("active", "stopped"), "resume": ("stopped", "active")}
+
+
+def project_log(requests: DataFrame) -> DataFrame:
+    """Requests ``project, at, id, kind`` in their order, with ``from_status`` and ``error_code`` (forbidden where the status doesn't allow it, unknown for another kind).
+
+    A refused request changes nothing, and every project begins active: a scan of composed moves. Requests at one time go by their ids.
+    """
+    at = {s: i + 1 for i, s in enumerate(PROJECT_STATES)}
+
+    def step(kind: str) -> Column:
+        a, b = PROJECT_MOVES[kind]
+        return F.array(*(F.lit(at[b if s == a else s]) for s in PROJECT_STATES))
+
+    steps = F.create_map(*(x for kind in PROJECT_MOVES for x in (F.lit(kind), step(kind))))
+    needs = F.create_map(*(F.lit(x) for kind, (a, _) in PROJECT_MOVES.items() for x in (kind, a)))
+    kind = F.coalesce("kind", F.lit(""))
+    told = replayed(requests, "project", ["at", "id"], F.coalesce(F.try_element_at(steps, kind), F.array(F.lit(1), F.lit(2), F.lit(3))), 3, 1, "_state")
+    told = told.withColumn("from_status", F.element_at(F.array(*map(F.lit, PROJECT_STATES)), F.col("_state"))).drop("_state")
+    need = F.try_element_at(needs, kind)
+    return told.withColumn("error_code", F.when(need.isNull(), "unknown").when(need != F.col("from_status"), "forbidden"))
+
+
+def goal_edges(requests: DataFrame) -> DataFrame:
+    """What completing and reopening leaves in the graph: ``project, id, to, description, from, creator``.
+
+    ``requests`` has also ``from`` (the facts of a completion), ``description`` and ``worker``. A completion that no reopening undid is an edge
+    to the goal. A reopening undoes the one that stands, and leaves an edge ``external_feedback`` from that one's facts to a new fact of its own.
+    """
+    fine = project_log(requests).filter("error_code is null")
+    done = fine.filter("kind = 'complete'")
+    undone = as_of(fine.filter("kind = 'reopen'").drop("from"), done.select("project", "at", "id", "from"), "project", "at", ["from"], tie="id", own_tie="id")
+    feedback = undone.select("project", "id", F.concat(F.lit("f"), F.col("id").cast("string")).alias("to"), F.lit("external_feedback").alias("description"), "from", F.col("worker").alias("creator"))
+    last = fine.filter("kind in ('complete', 'reopen')").groupBy("project").agg(F.max_by(F.struct("kind", "id", "description", "from", "worker"), F.struct("at", "id")).alias("last"))
+    standing = last.filter("last.kind = 'complete'").select("project", "last.id", F.lit("goal").alias("to"), "last.description", "last.from", F.col("last.worker").alias("creator"))
+    return standing.unionByName(feedback)

@@ -82,9 +82,9 @@ def weighted_pick(options: DataFrame, weight: str, pick: float | Column, *order:
     return running_weights(options, weight, *order).filter(F.col("cum") >= (pick if isinstance(pick, Column) else F.lit(pick))).orderBy("cum", *order).limit(1)
 
 
-def shares_add_up(options: DataFrame, weight: str) -> DataFrame:
-    """Whether the weights are exactly 1 in decimals."""
-    return options.agg((F.sum(F.col(weight).cast("decimal(38,18)")) == 1).alias("exact"))
+def shares_add_up(options: DataFrame, weight: str, *by: str) -> DataFrame:
+    """Whether the weights of each key (of all rows, without keys) are exactly 1 in decimals; a null weight counts as none."""
+    return options.groupBy(*by).agg(F.coalesce(F.sum(F.col(weight).cast("decimal(38,18)")) == 1, F.lit(False)).alias("exact"))
 
 
 def settings_verdict(timeout: Column, interval: Column) -> Column:

@@ -7,13 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text
 from millrace.operators import constraints, lifecycle, listing, relations, versions
 from millrace.plans import graph, reporting, schedule
-from millrace.sources import tables
+from millrace.sources import rewrites, tables
+from millrace.sources.scratch import fresh_path
 from millrace.sources.tables import load
 from millrace.streaming import leases
 
@@ -116,30 +117,55 @@ def orphan_refs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""with gone as (select c_custkey from customer where c_nationkey = 3),
     o as (select o_orderkey from orders where o_custkey in (select c_custkey from gone))
-    select 'orders' as kind, count(*) as n from o union all
-    select 'lineitem', count(*) from lineitem where l_orderkey in (select o_orderkey from o)""")
+    select 'customer' as kind, c_custkey as id, null::integer as line from customer where c_nationkey != 3 union all
+    select 'orders', o_orderkey, null from orders where o_orderkey not in (select o_orderkey from o) union all
+    select 'lineitem', l_orderkey, l_linenumber from lineitem where l_orderkey not in (select o_orderkey from o)""")
 def cascade_delete(spark: SparkSession, sf: str) -> DataFrame:
-    """What deleting parents takes along."""
-    gone = listing.filtered(load(spark, sf, "customer"), c_nationkey=3)
-    orders, lines = relations.cascade(gone, "c_custkey", [(load(spark, sf, "orders"), "o_custkey", "o_orderkey"), (load(spark, sf, "lineitem"), "l_orderkey", "l_orderkey")])
-    count = F.count("*").alias("n")
-    return orders.agg(count).select(F.lit("orders").alias("kind"), "n").union(lines.agg(count).select(F.lit("lineitem"), "n"))
-
-
-@query("""select n.n_nationkey, n.n_name, coalesce(c.customers, 0)::bigint as customers, coalesce(c.first_customer, -1)::bigint as first_customer,
-      coalesce(s.suppliers, 0)::bigint as suppliers
-    from nation n
-    left join (select c_nationkey, count(*) as customers, min(c_custkey) as first_customer from customer group by 1) c on c_nationkey = n_nationkey
-    left join (select s_nationkey, count(*) as suppliers from supplier group by 1) s on s_nationkey = n_nationkey""")
+    """Deleting parents and what refers to them, by copy on write; what is left, read from the files of the new layout."""
+    gone = listing.filtered(load(spark, sf, "customer"), c_nationkey=3).select("c_custkey")
+    chain = [(load(spark, sf, "orders"), "o_custkey", "o_orderkey"), (load(spark, sf, "lineitem"), "l_orderkey", "l_orderkey")]
+    customers, orders, lines = (x.rows for x in rewrites.cascaded(load(spark, sf, "customer"), gone, "c_custkey", chain, fresh_path(spark, "cascade")))
+    none = F.lit(None).cast("int").alias("line")
+    left = customers.select(F.lit("customer").alias("kind"), F.col("c_custkey").alias("id"), none)
+    left = left.unionByName(orders.select(F.lit("orders").alias("kind"), F.col("o_orderkey").alias("id"), none))
+    return left.unionByName(lines.select(F.lit("lineitem").alias("kind"), F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line")))
+
+
+@query("""select c_custkey, c_name from customer where c_nationkey >= 5 or exists (select 1 from orders where o_custkey = c_custkey and o_orderpriority = '1-URGENT')""")
+def repositories_left(spark: SparkSession, sf: str) -> DataFrame:
+    """Repositories after deleting those of a list that nothing refers to; stand-in: customers of five nations, urgent orders refer to them."""
+    asked = load(spark, sf, "customer").filter("c_nationkey < 5").select("c_custkey")
+    used = listing.filtered(load(spark, sf, "orders"), o_orderpriority="1-URGENT")
+    left, _ = rewrites.deleted_unreferenced(load(spark, sf, "customer"), asked, "c_custkey", used, "o_custkey", fresh_path(spark, "repositories"))
+    return left.rows.select("c_custkey", "c_name")
+
+
+@query("""select o_orderkey, case when o_orderstatus != 'F' and o_custkey in (select c_custkey from customer where c_nationkey = 7) then 'cancelling' else o_orderstatus end as status from orders""")
+def cancelled_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs after requests to cancel, their files written again; stand-in: unfinished orders of one nation's customers."""
+    asked = load(spark, sf, "customer").filter("c_nationkey = 7").select("c_custkey")
+    orders = load(spark, sf, "orders")
+    runs = orders.filter("o_orderstatus != 'F'").join(asked, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select(F.col("o_orderkey").alias("run"), F.lit("reporting").alias("now"))
+    to, error = lifecycle.cancelled(F.col("now"))
+    changes = runs.select("run", to.alias("to"), error.alias("error")).filter("error is null").drop("error")
+    return rewrites.updated(orders, changes, "o_orderkey", fresh_path(spark, "runs"), o_orderstatus=F.col("to")).rows.select("o_orderkey", F.col("o_orderstatus").alias("status"))
+
+
+@query("""with c as (select c_nationkey, string_agg(c_custkey || ':' || c_name, ',' order by c_custkey) as customers from customer group by 1),
+      s as (select s_nationkey, string_agg(s_suppkey || ':' || s_name, ',' order by s_suppkey) as suppliers from supplier where s_suppkey % 3 = 0 group by 1)
+    select n_nationkey, n_name, coalesce(customers, '') as customers, coalesce(suppliers, '') as suppliers from nation left join c on c_nationkey = n_nationkey left join s on s_nationkey = n_nationkey""")
 def nested_detail(spark: SparkSession, sf: str) -> DataFrame:
-    """Parents with two ordered child collections, gathered before the join; read here by size and first item."""
+    """Parents with two ordered child collections, gathered before the join; all their contents in order."""
     nested = relations.nested(
         load(spark, sf, "nation"), "n_nationkey",
         customers=(load(spark, sf, "customer"), "c_nationkey", ["c_custkey", "c_name"]),
-        suppliers=(load(spark, sf, "supplier"), "s_nationkey", ["s_suppkey", "s_name"]),
+        suppliers=(load(spark, sf, "supplier").filter("s_suppkey % 3 = 0"), "s_nationkey", ["s_suppkey", "s_name"]),
     )
-    first = F.coalesce(F.try_element_at("customers", F.lit(1))["c_custkey"], F.lit(-1)).cast("long")
-    return nested.select("n_nationkey", "n_name", F.size("customers").cast("long").alias("customers"), first.alias("first_customer"), F.size("suppliers").cast("long").alias("suppliers"))
+
+    def told(name: str, *columns: str) -> Column:
+        return F.array_join(F.transform(name, lambda x: F.concat_ws(":", *(x[c] for c in columns))), ",").alias(name)
+
+    return nested.select("n_nationkey", "n_name", told("customers", "c_custkey", "c_name"), told("suppliers", "s_suppkey", "s_name"))
 
 
 @query("select conv_id, string_agg(role, '>' order by turn) as path from conversations group by conv_id")
@@ -270,14 +296,16 @@ def replayed_requests(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""select o_custkey as id, count(*) as fact_count, count(*) filter (where o_orderstatus != 'F') as open_intent_count,
-    count(*) filter (where o_orderstatus = 'P') as working_intent_count, count(*) filter (where o_orderstatus = 'O') as unclaimed_intent_count from orders group by 1""")
+    count(*) filter (where o_orderstatus = 'P') as working_intent_count, count(*) filter (where o_orderstatus = 'O') as unclaimed_intent_count,
+    count(*) filter (where o_orderpriority in ('1-URGENT', '2-HIGH')) as hint_count from orders group by 1""")
 def project_summary(spark: SparkSession, sf: str) -> DataFrame:
     """A3, A4, A5: counts of a project; stand-in: orders of customers as facts and intents."""
     orders = load(spark, sf, "orders")
     intents = orders.select(F.col("o_custkey").alias("project"), F.when(F.col("o_orderstatus") == "F", "x").alias("to"), F.when(F.col("o_orderstatus") == "P", "w").alias("worker"))
     projects = orders.select(F.col("o_custkey").alias("id")).distinct()
     facts = orders.select(F.col("o_custkey").alias("project"))
-    return graph.summaries(projects, facts, intents, facts.limit(0)).select("id", "fact_count", "open_intent_count", "working_intent_count", "unclaimed_intent_count")
+    hints = orders.filter("o_orderpriority in ('1-URGENT', '2-HIGH')").select(F.col("o_custkey").alias("project"))
+    return graph.summaries(projects, facts, intents, hints).select("id", "fact_count", "open_intent_count", "working_intent_count", "unclaimed_intent_count", "hint_count")
 
 
 @query("""select o_custkey as project, o_orderkey as id from orders where o_orderstatus = 'O'
@@ -305,16 +333,18 @@ def hyperedge_explode(spark: SparkSession, sf: str) -> DataFrame:
     return reporting.counts_by(graph.hyperedges(load(spark, sf, "lineitem").select(*key), facts), "project", "intent", "fact")
 
 
-@query("""with d as (select user_id, date_trunc('day', ts) as day, count(*) as n from events group by 1, 2),
-    p as (select *, lag(n) over (partition by user_id order by day) as was from d)
-    select user_id, day, case when was is null then 'initial' when n > was then 'facts:' || was || '->' || n end as why from p where was is null or n > was""")
+@query("""with h as (select user_id, date_trunc('hour', ts) as hour, count(*) filter (where event_type = 'view') as facts, count(*) filter (where event_type = 'click') as hints, count(*) filter (where event_type = 'error') as opened from events group by 1, 2),
+    p as (select *, lag(facts) over w as f, lag(hints) over w as g, lag(opened) over w as o from h window w as (partition by user_id order by hour))
+    select user_id, hour, case when f is null then 'initial' else array_to_string(list_filter([case when facts > f then 'facts:' || f || '->' || facts end, case when hints > g then 'hints:' || g || '->' || hints end,
+      case when o > 0 and opened = 0 then 'open_intents:' || o || '->0' end], lambda x: x is not null), ',') end as why from p where f is null or facts > f or hints > g or o > 0 and opened = 0""")
 def change_trigger(spark: SparkSession, sf: str) -> DataFrame:
-    """What grew since the checkpoint before; stand-in: daily events of users."""
-    days = load(spark, sf, "events").groupBy("user_id", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day")).agg(F.count("*").alias("n"))
-    was = F.lag("n").over(Window.partitionBy("user_id").orderBy("day"))
-    zero = F.lit(0)
-    why = graph.trigger(F.col("n"), zero, zero, F.col("was"), zero, zero, F.col("was").isNotNull())
-    return days.withColumn("was", was).select("user_id", "day", why.alias("why")).filter("why is not null")
+    """What grew since the checkpoint before, and intents that ran out; stand-in: hourly events of users as facts, hints and open intents."""
+    kinds = {"facts": "view", "hints": "click", "opened": "error"}
+    hours = load(spark, sf, "events").groupBy("user_id", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(*(F.count_if(F.col("event_type") == kind).alias(name) for name, kind in kinds.items()))
+    order = Window.partitionBy("user_id").orderBy("hour")
+    hours = hours.withColumns({f"was_{name}": F.lag(name).over(order) for name in kinds})
+    why = graph.trigger(*map(F.col, kinds), *(F.col(f"was_{name}") for name in kinds), F.col("was_facts").isNotNull())
+    return hours.select("user_id", "hour", why.alias("why")).filter("why is not null")
 
 
 @query("""with p as (select user_id, event_id, event_type, lag(event_type) over (partition by user_id order by ts, event_id) as was, row_number() over (partition by user_id order by ts, event_id) as i from events)
@@ -353,10 +383,10 @@ def weighted_choice(spark: SparkSession, sf: str) -> DataFrame:
     return schedule.weighted_pick(orders.join(F.broadcast(drawn)), "weight", F.col("drawn"), "o_orderdate", "o_orderkey").select("o_orderkey", "cum")
 
 
-@query("select o_custkey as project, string_agg(label, ',' order by label) as labels from (select o_custkey, o_orderpriority || ':' || o_orderstatus as label from orders) group by 1")
+@query("select o_custkey as project, string_agg(label, ',' order by label) as labels from (select o_custkey, o_orderpriority || ':' || o_orderstatus || case when o_orderstatus = 'P' then ':' || o_orderkey else '' end as label from orders) group by 1")
 def task_labels(spark: SparkSession, sf: str) -> DataFrame:
-    """Sorted labels of a project's tasks; the null intent is skipped."""
-    tasks = load(spark, sf, "orders").select(F.col("o_custkey").alias("project"), F.col("o_orderpriority").alias("task_type"), F.col("o_orderstatus").alias("worker"), F.lit(None).cast("string").alias("intent"))
+    """Sorted labels of a project's tasks; a null intent is skipped."""
+    tasks = load(spark, sf, "orders").select(F.col("o_custkey").alias("project"), F.col("o_orderpriority").alias("task_type"), F.col("o_orderstatus").alias("worker"), F.when(F.col("o_orderstatus") == "P", F.col("o_orderkey")).cast("string").alias("intent"))
     return schedule.labels(tasks).select("project", F.array_join("labels", ",").alias("labels"))
 
 
@@ -379,10 +409,20 @@ def health_summary(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "supplier").agg(F.count("*").alias("total"), F.count_if(good).alias("healthy"), F.count_if(~good).alias("unhealthy"))
 
 
-@query("select true as exact from region having count(*) > 0")
+@query("""with c as (select c_nationkey, count(*) as n, sum(c_custkey % 3) as odd from customer where c_custkey % 4 != 1 group by 1)
+    select c_nationkey, sum(case when c_custkey % 4 = 1 then 0 else (case when c_custkey = (select min(b.c_custkey) from customer b where b.c_custkey % 4 != 1 and b.c_nationkey = a.c_nationkey) then 1 - (n - 1) * 0.001::decimal(38,18) else 0.001::decimal(38,18) end) end
+      + case when a.c_nationkey % 2 = 1 and c_custkey = (select min(b.c_custkey) from customer b where b.c_nationkey = a.c_nationkey) then 0.000000000000000001::decimal(38,18) else 0 end) = 1 as exact
+    from customer a join c using (c_nationkey) group by 1""")
 def exact_shares(spark: SparkSession, sf: str) -> DataFrame:
-    """Shares that must be exactly 1 in decimals; stand-in: equal shares of the five regions."""
-    return schedule.shares_add_up(load(spark, sf, "region").withColumn("share", F.lit("0.2")), "share")
+    """Shares that must be exactly 1 in decimals; stand-in: customers of a nation share it, and odd nations miss by 1e-18."""
+    rows = load(spark, sf, "customer").select("c_nationkey", "c_custkey")
+    shared = rows.filter("c_custkey % 4 != 1").groupBy("c_nationkey").agg(F.count("*").alias("n"), F.min("c_custkey").alias("first")).withColumnRenamed("c_nationkey", "of")
+    least = rows.groupBy(F.col("c_nationkey").alias("at")).agg(F.min("c_custkey").alias("least"))
+    wide = "decimal(24,18)"  # sums of two keep the scale
+    part = F.when(F.col("c_custkey") % 4 == 1, F.lit(0)).when(F.col("c_custkey") == F.col("first"), F.lit(1).cast(wide) - (F.col("n") - 1) * F.lit("0.001").cast("decimal(9,3)")).otherwise(F.lit("0.001").cast(wide))
+    off = F.when((F.col("c_nationkey") % 2 == 1) & (F.col("c_custkey") == F.col("least")), F.lit("0.000000000000000001").cast(wide)).otherwise(F.lit(0).cast(wide))
+    joined = rows.join(shared, F.col("c_nationkey") == F.col("of")).join(least, F.col("c_nationkey") == F.col("at"))
+    return schedule.shares_add_up(joined.select("c_nationkey", (part.cast(wide) + off).cast("string").alias("share")), "share", "c_nationkey")
 
 
 @query("select conv_id, arg_max(text, turn) as text from conversations where role = 'assistant' group by 1")
@@ -502,4 +542,4 @@ def json_sink(spark: SparkSession, sf: str) -> DataFrame:
     return tables.json_documents(load(spark, sf, "region"), "r_regionkey", "r_name")
 
 
-from millrace import audit_queries  # noqa: E402, F401  registers more queries
+from millrace import audit_queries, history_queries  # noqa: E402, F401  register more queries
