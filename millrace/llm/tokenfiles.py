@@ -76,8 +76,12 @@ class Words:
 
     def _plain(self, word: str) -> bytes:
         """Ids of a word of PLAIN characters."""
+        low = word.lower()
+        ids = self.merged.get(low)
+        if ids is not None:
+            return ids
         out = []
-        for part in PARTS.findall(word.lower()):
+        for part in [low] if low.isalpha() else PARTS.findall(low):
             ids = self.merged.get(part)
             if ids is None:
                 shown = part if part.isascii() else part.encode().decode("latin1").translate(self.characters)
