@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import BITS_A_KEY, MOST_BITS, fresh_path, text_of, written
 
-SHARD_BYTES = 6 << 20  # of texts
-FILE_SHARDS = 4  # of a file: rows of megabytes, which a task gets at once
+SHARD_BYTES = 5 << 20  # of texts
+FILE_SHARDS = 3  # of a file: rows of megabytes, which a task gets at once
 DEPTH = 4
 PAGE_BITS = 1 << 15
 #: What parts words, and what ends a piece.
@@ -71,6 +71,7 @@ def shards(docs: DataFrame, lang: str, text: str, shard_bytes: int = SHARD_BYTES
     schema = pa.schema([("lang", pa.string()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("h", pa.list_(pa.int64())), ("ids", pa.binary())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())  # gives large blocks back at once
         held: dict[str, list[bytes]] = {}
         size = 0
 
@@ -93,7 +94,6 @@ def shards(docs: DataFrame, lang: str, text: str, shard_bytes: int = SHARD_BYTES
                         yield from full()
                         held, size = {}, 0
         yield from full()
-        pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"), text_of(text).alias("text"))
     return rows.mapInArrow(cut, "lang string, words array<string>, counts array<long>, h array<long>, ids binary")
@@ -173,6 +173,7 @@ def _pairs(rows: DataFrame, frequent) -> DataFrame:
     """Counts ``h, n`` of pairs of words that may be frequent, by the pair's hash, of each shard."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())  # gives large blocks back at once
         for batch in batches:
             for h, packed in zip(batch.column("h"), batch.column("ids"), strict=True):
                 hashes, ids = h.values.to_numpy(), np.frombuffer(packed.as_py(), np.int32)
@@ -181,7 +182,6 @@ def _pairs(rows: DataFrame, frequent) -> DataFrame:
                 key = _pair(hashes[both // (len(hashes) + 1) - 1], hashes[both % (len(hashes) + 1) - 1])
                 for i in range(0, len(key), 1 << 16):
                     yield pa.RecordBatch.from_arrays([pa.array(key[i : i + (1 << 16)]), pa.array(n[i : i + (1 << 16)])], ["h", "n"])
-        pa.default_memory_pool().release_unused()
 
     return rows.select("h", "ids").mapInArrow(pairs, "h long, n long")
 
@@ -190,6 +190,7 @@ def _phrases(rows: DataFrame, frequent, linked, depth: int) -> DataFrame:
     """Counts ``lang, phrase, k, n`` of the phrases of 2 to ``depth`` words in each shard's automaton."""
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())  # gives large blocks back at once
         for batch in batches:
             for lang, words, h, packed in zip(*(batch.column(c) for c in ("lang", "words", "h", "ids")), strict=True):
                 hashes, ids = h.values.to_numpy(), np.frombuffer(packed.as_py(), np.int32)
