@@ -15,18 +15,20 @@ at a time, so the largest count of any phrase around it arrives by two small joi
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import BITS_A_KEY, MOST_BITS, fresh_path, text_of, written
 
 SHARD_BYTES = 5 << 20  # of texts
-FILE_SHARDS = 3  # of a file: rows of megabytes, which a task gets at once
+FILE_SHARDS = 3  # of a file: rows of megabytes, which a reader of files holds together
+BATCH_TEXTS = 500  # that go to Python at once
 DEPTH = 4
 PAGE_BITS = 1 << 15
 #: What parts words, and what ends a piece.
@@ -99,6 +101,18 @@ def shards(docs: DataFrame, lang: str, text: str, shard_bytes: int = SHARD_BYTES
     return rows.mapInArrow(cut, "lang string, words array<string>, counts array<long>, h array<long>, ids binary")
 
 
+@contextmanager
+def _batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """So many rows at once go to Python in what runs meanwhile: texts may be long, and shards always are."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _bitmap(keys: DataFrame) -> np.ndarray:
     """Bits that the hashes in column ``h`` set, of a bitmap of at most 32 MB: all that the driver gets of them."""
     n = keys.count()
@@ -238,20 +252,24 @@ def mine(docs: DataFrame, least: int = 30, most: int = 2000, lang: str = "lang",
     count as ``und``, null texts as empty; repeated rows count as often as they are there; other columns take no part. An
     empty table, or one without such phrases, gives an empty result. Order: score and ``a`` falling, phrase rising by its bytes.
     """
-    context = docs.sparkSession.sparkContext
-    path = fresh_path(docs.sparkSession, "shards")
+    spark = docs.sparkSession
+    context = spark.sparkContext
+    path = fresh_path(spark, "shards")
     made = shards(docs, lang, text, shard_bytes)
-    made.write.option("maxRecordsPerFile", FILE_SHARDS).parquet(path)
-    rows = docs.sparkSession.read.schema(made.schema).parquet(path)
+    with _batches(spark, BATCH_TEXTS):
+        made.write.option("maxRecordsPerFile", FILE_SHARDS).parquet(path)
+    rows = spark.read.schema(made.schema).parquet(path)
     one = rows.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).groupBy("lang", F.col("w.words").alias("phrase")).agg(F.sum("w.counts").alias("a"))
     one = written(one, "words")
     often = F.col("a") >= least
     frequent = context.broadcast(_bitmap(one.filter(often).select(F.xxhash64("lang", "phrase").alias("h"))))
     # a shard's rows are summed already: they are dealt by hash at once, without a second sum before it
     pairs = _pairs(rows, frequent).repartition("h").groupBy("h").agg(F.sum("n").alias("a")).filter(often)
-    linked = context.broadcast(_bitmap(written(pairs.select("h"), "pairs")))
+    with _batches(spark, 1):
+        linked = context.broadcast(_bitmap(written(pairs.select("h"), "pairs")))
     counted = _phrases(rows, frequent, linked, depth).groupBy("lang", "phrase", "k").agg(F.sum("n").alias("a")).filter(often)
-    phrases = written(counted, "phrases")
+    with _batches(spark, 1):
+        phrases = written(counted, "phrases")
     around = _around(phrases, depth)
     kept = around.filter(F.col("around").isNull() | (F.col("around") * F.lit(5).cast("decimal(9,0)") < F.col("a") * F.lit(4).cast("decimal(9,0)")))
 
