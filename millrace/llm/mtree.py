@@ -37,7 +37,7 @@ SLACK = 1e-7  # relative, for rounding of distances
 
 @dataclass
 class Page:
-    """Entries side by side. A leaf has ``ids`` (of each entry, the smallest of its equal rows) and no ``pages``."""
+    """Entries side by side. A leaf has ``ids`` (of each entry, the smallest of its equal rows, repeats too) and no ``pages``."""
 
     points: np.ndarray
     to_parent: np.ndarray
@@ -47,16 +47,22 @@ class Page:
 
 
 class Tree:
-    """An M-tree over integer rows; equal rows share an entry, which keeps their ``most`` smallest ids."""
+    """An M-tree over integer rows; equal rows share an entry, which keeps enough of their smallest ids for ``most`` to be left whichever id is a query's own."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray, top: float, most: int):
         self.top, self.pages = top, []
         order = np.argsort(ids, kind="stable")
         points, group = np.unique(rows[order], axis=0, return_inverse=True)
         self.ids: list[list[int]] = [[] for _ in points]
+        commonest = [0] * len(points)  # how often an entry keeps the id that it keeps most often
+        run: dict[int, tuple[int, int]] = {}  # of each entry, the last id and its repeats: ids come in order
         for i, g in zip(ids[order].tolist(), group.reshape(-1).tolist(), strict=True):
-            if len(self.ids[g]) < most:
+            last, n = run.get(g, (i, 0))
+            n = n + 1 if last == i else 1
+            run[g] = i, n
+            if n <= most and len(self.ids[g]) - commonest[g] < most:
                 self.ids[g].append(i)
+                commonest[g] = max(commonest[g], n)
         self.points = points
         self.square = (points * points).sum(axis=1)
         self.height = np.sqrt(np.maximum(0.0, top - self.square))
@@ -177,10 +183,10 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, vec_id: str = "vec_id", v
     trees = max(ceil(total / TREE_ROWS), ceil(2 * tasks / across))
 
     def build(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        tree = Tree(group["id"].to_numpy(), _matrix(group["v"], width), top, k + 1)
+        tree = Tree(group["id"].to_numpy(), _matrix(group["v"], width), top, k)
         return pd.DataFrame({"tree": [key[0]], "pages": [pickle.dumps(tree)]})
 
-    placed = held.withColumn("tree", salted(F.col("id"), parts=trees))
+    placed = held.withColumn("tree", salted(F.col("id"), F.col("v"), parts=trees))
     forest = written(placed.groupBy("tree").applyInPandas(build, "tree int, pages binary"), "forest")
 
     def each(n: int):

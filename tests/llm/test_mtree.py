@@ -64,3 +64,13 @@ def test_odd_vectors(spark):
     assert [(r.vec_id, r.score) for r in got] == [(7, 1024 * 1024), (1, 512 * 1024), (1, 512 * 1024), (8, 512 * 1024), (5, 0), (9, 0)]
     assert mtree.top_k(df.limit(0), df, 3).count() == 0
     assert mtree.top_k(df, df.limit(0), 3).count() == 0
+
+
+def test_own_id_repeated_beside_equal_rows(spark):
+    """A query's own id 12 times and 60 rows equal to it: its 10 best are the smallest other ids."""
+    rows = [(100, [1.0, 2.0])] * 12 + [(101 + i, [1.0, 2.0]) for i in range(60)] + [(7, [0.5, 0.5])] * 3
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = mtree.top_k(df.filter("vec_id = 100"), df, 10).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == list(range(101, 111))
+    other = mtree.top_k(df.filter("vec_id = 105"), df, 14).orderBy("rank").collect()
+    assert [r.vec_id for r in other] == [100] * 12 + [101, 102]
