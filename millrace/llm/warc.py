@@ -116,7 +116,8 @@ def write_archives(pages: DataFrame, target: str, page_id: str = "page_id", url:
 
     Payload: the html in UTF-8 (null: empty). A null url is empty. Repeated rows are records
     of their own: of equal payloads all rows with the largest id are responses; rows with
-    null ids refer to it; where all ids are null, all are responses. No rows: no files.
+    null ids refer to it; where all ids are null, all are responses. An id with several payloads
+    is a record for each. No rows: no files.
     """
     where, folder = fs.FileSystem.from_uri(target)
     where.create_dir(folder, recursive=True)
@@ -164,8 +165,7 @@ def read_archives(spark: SparkSession, target: str, payload: bool = True) -> Dat
 
     Length and SHA-1 (bare lower-case hex) are counted from the payload that is read; one that
     differs from its record's headers is an error. A revisit has none: its figures are those of
-    the response that it refers to, and it is an error if that is missing or not the one that
-    the revisit's headers tell of.
+    the response that it refers to, by id, length and digest, and it is an error if there is none.
     """
     fields = [("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())]
     fields += [("payload", pa.binary())] * payload
@@ -195,8 +195,9 @@ def read_archives(spark: SparkSession, target: str, payload: bool = True) -> Dat
         records = written(records, "records")  # archives are read once
     first, again = records.filter("refers_to is null"), records.filter("refers_to is not null")
     known = first.filter("page_id is not null").select(F.col("page_id").alias("_of"), F.col("payload_bytes").alias("_bytes"), F.col("payload_digest").alias("_digest"))
-    known = known.groupBy("_of").agg(F.min("_bytes").alias("_bytes"), F.min("_digest").alias("_digest"))  # rows that repeat a page
-    same = (F.col("_bytes") == F.col("payload_bytes")) & (F.col("_digest") == F.col("payload_digest"))
-    checked = F.when(F.coalesce(same, F.lit(False)), F.col("_digest")).otherwise(F.raise_error(F.concat(F.lit("no such response for the revisit "), F.coalesce(F.col("page_id").cast("string"), F.lit("null")))).cast("string"))
-    again = again.join(known, F.col("refers_to") == F.col("_of"), "left").withColumns({"payload_digest": checked, "payload_bytes": F.col("_bytes")})
+    # a page id that several payloads have is several responses: a revisit is held against the one of its own digest and length
+    same = (F.col("refers_to") == F.col("_of")) & (F.col("payload_bytes") == F.col("_bytes")) & (F.col("payload_digest") == F.col("_digest"))
+    again = again.join(known.distinct(), same, "left")
+    missing = F.raise_error(F.concat(F.lit("no such response for the revisit "), F.coalesce(F.col("page_id").cast("string"), F.lit("null")))).cast("string")
+    again = again.withColumn("payload_digest", F.when(F.col("_of").isNotNull(), F.col("_digest")).otherwise(missing))
     return first.unionByName(again.select(*narrow, *["payload"] * payload))

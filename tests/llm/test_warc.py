@@ -88,3 +88,13 @@ def test_query_over_a_whole_table(spark, sf_dir):
         p = pages[r.page_id]
         to = largest[p] if len(p) >= 1000 and largest[p] != r.page_id else None
         assert (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) == (len(p), hashlib.sha1(p).hexdigest(), "revisit" if to is not None else "response", to)
+
+
+def test_an_id_with_two_payloads(spark, tmp_path):
+    long = {x: x * 3000 for x in "AB"}
+    rows = [(5, long["A"]), (5, long["B"]), (3, long["A"]), (2, long["B"])]
+    pages = spark.createDataFrame([(i, f"http://x/{i}", h) for i, h in rows], "page_id long, url string, html string")
+    warc.write_archives(pages, f"file://{tmp_path}/w")
+    got = {(r.page_id, r.record_type, r.refers_to, r.payload_digest) for r in warc.read_archives(spark, f"file://{tmp_path}/w").collect()}
+    sha = {x: hashlib.sha1(long[x].encode()).hexdigest() for x in "AB"}
+    assert got == {(5, "response", None, sha["A"]), (5, "response", None, sha["B"]), (3, "revisit", 5, sha["A"]), (2, "revisit", 5, sha["B"])}
