@@ -14,12 +14,26 @@ from collections import deque
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import salted, text_of, written
+from millrace.llm.common import salted, text_of, unused, written
 
 #: Blocks of an old shard: one for so many rows of the corpus, within these bounds.
 ROWS_A_BLOCK, FEWEST_BLOCKS, MOST_BLOCKS = 20_000, 64, 65_536
 
 
+#: Names of columns on the way; columns of a table that have them are called otherwise meanwhile.
+INNER = "_block _upto _rank _begin _from _to _old _ahead _f _r _new _first _shard affected".split()
+
+
+def _hidden(columns: list[str]) -> dict[str, str]:
+    """Other names for the columns whose names are needed here."""
+    taken, out = list(columns), {}
+    for c in columns:
+        if c.lower() in INNER:
+            out[c] = unused(taken, f"own {c}")
+            taken.append(out[c])
+    return out
+
+
 def min_cost_flow(sizes: list[int], capacities: list[int]) -> dict[tuple[int, int], int]:
     """Units from each old shard i to each new shard j, at the least total over i != j.
 
@@ -99,16 +113,15 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int, doc_id: str = "doc_
     and empty texts are rows like others; an empty table gives an empty result. The driver
     gets one total for each old shard.
     """
-    spark = docs.sparkSession
-    named = (
-        docs.withColumn("size", (F.octet_length(text_of(text)) + 1).cast("long"))
-        .withColumn("text_crc32", F.crc32(text_of(text)))
-        .withColumn("old_shard", F.coalesce(old_shard.cast("int"), F.lit(0)))
-    )
+    spark, columns = docs.sparkSession, docs.columns
+    hidden = _hidden(columns)
+    named = docs.withColumn("old_shard", F.coalesce(old_shard.cast("int"), F.lit(0))).withColumnsRenamed(hidden)
+    doc_id, text, file, row = (hidden.get(c, c) for c in (doc_id, text, file, row))
+    named = named.withColumn("size", (F.octet_length(text_of(text)) + 1).cast("long")).withColumn("text_crc32", F.crc32(text_of(text)))
     rows = docs.count()
     blocks = min(MOST_BLOCKS, max(FEWEST_BLOCKS, rows // ROWS_A_BLOCK))
-    named = named.withColumn("_block", F.col(file) if file else salted(F.col(doc_id), F.col("size"), F.col("text_crc32"), parts=blocks))
-    order = [row] if row else [doc_id, "size", "text_crc32"]
+    named = named.withColumn("_block", F.col(f"`{file}`") if file else salted(F.col(f"`{doc_id}`"), F.col("size"), F.col("text_crc32"), parts=blocks))
+    order = [F.col(f"`{c}`") for c in ([row] if row else [doc_id, "size", "text_crc32"])]
     per_block = named.groupBy("old_shard", "_block").agg(F.sum("size").alias("bytes"))
     totals = {r.old_shard: r.bytes for r in per_block.groupBy("old_shard").agg(F.sum("bytes").alias("bytes")).collect()}
     sizes = [totals.get(i, 0) for i in range(max(totals, default=-1) + 1)]
@@ -135,9 +148,9 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int, doc_id: str = "doc_
     ahead = held.select("shard", "old_shard", "_block", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("_ahead"))
     rank = F.row_number().over(Window.partitionBy("old_shard", "_block", "shard").orderBy("_upto"))
     out = placed.withColumn("_rank", rank).join(ahead, ["shard", "old_shard", "_block"])
-    keep = [c for c in docs.columns if c not in ("size", "text_crc32", "old_shard", "shard", "slot", "moved")]
+    keep = [c for c in columns if c.lower() not in ("size", "text_crc32", "old_shard", "shard", "slot", "moved")]
     return out.select(
-        *(F.col(f"`{c}`") for c in keep), "size", "text_crc32", "old_shard", "shard",
+        *(F.col(f"`{hidden.get(c, c)}`").alias(c) for c in keep), "size", "text_crc32", "old_shard", "shard",
         (F.col("_ahead") + F.col("_rank") - 1).cast("long").alias("slot"),
         (F.col("shard") != F.col("old_shard")).alias("moved"),
     )
@@ -153,18 +166,22 @@ def rewrite(old: DataFrame, shards: int, target: str, doc_id: str = "doc_id", te
     written once, so that moves and rows agree. The driver gets one line for each file.
     """
     spark = old.sparkSession
-    keep = [c for c in old.columns if c != "shard"]
-    at = old.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    plan = reshard(at.select("_file", "_row", doc_id, text, "shard"), F.col("shard"), shards, doc_id, text, file="_file", row="_row")
-    plan = written(plan.select("_file", "_row", "shard", "slot", "moved"), "plan")
-    files = written(plan.groupBy("_file").agg(F.max("moved").alias("affected"), F.min("slot").alias("_first"), F.min("shard").alias("_shard")), "files")
-
-    touched = plan.join(files.filter("affected").select("_file"), "_file", "left_semi").withColumnsRenamed({"_file": "_f", "_row": "_r", "shard": "_new"})
-    rows = at.join(touched, (F.col("_file") == F.col("_f")) & (F.col("_row") == F.col("_r"))).select(*keep, F.col("_new").alias("shard"), "slot")
+    hidden = _hidden(old.columns)
+    file, row = (unused([*old.columns, *hidden.values()], x) for x in ("_file", "_row"))
+    doc_id, text = (hidden.get(c, c) for c in (doc_id, text))
+    at = old.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row)).withColumnsRenamed(hidden)
+    keep = [F.col(f"`{hidden.get(c, c)}`") for c in old.columns if c.lower() not in ("shard", "slot")]
+    plan = reshard(at.select(file, row, doc_id, text, "shard"), F.col("shard"), shards, doc_id, text, file=file, row=row)
+    plan = written(plan.select(file, row, "shard", "slot", "moved"), "plan")
+    files = written(plan.groupBy(file).agg(F.max("moved").alias("affected"), F.min("slot").alias("_first"), F.min("shard").alias("_shard")), "files")
+
+    touched = plan.join(files.filter("affected").select(file), file, "left_semi").select(F.col(file).alias("_f"), F.col(row).alias("_r"), F.col("shard").alias("_new"), F.col("slot").alias("_upto"))
+    rows = at.join(touched, (F.col(file) == F.col("_f")) & (F.col(row) == F.col("_r"))).select(*keep, F.col("_new").alias("shard"), F.col("_upto").alias("slot"))
     # by shard, and within it by parts of neighbouring slots: a shard is several files, none of them one task's whole shard
     rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(target)
-    told = files.select(F.col("_file").alias("file"), "affected")
+    told = files.select(F.col(file).alias("file"), "affected")
 
-    stays = at.join(files.filter("not affected"), "_file").select(*keep, F.col("_shard").cast("int").alias("shard"), (F.col("_first") + F.col("_row")).alias("slot"))
+    stays = at.join(files.filter("not affected"), file).select(*keep, F.col("_shard").cast("int").alias("shard"), (F.col("_first") + F.col(row)).alias("slot"))
     new = spark.read.schema(rows.schema).parquet(target).select(*keep, F.col("shard").cast("int").alias("shard"), "slot")
-    return stays.unionByName(new), told
+    back = {v: k for k, v in hidden.items()}
+    return stays.unionByName(new).withColumnsRenamed(back), told

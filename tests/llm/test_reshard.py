@@ -118,3 +118,18 @@ def test_query_is_the_plain_loop(spark, sf_dir):
     rows = op7_reshard(spark, sf_dir).collect()
     assert {r.shard for r in rows} == set(range(8)) and all(r.law == "bytes" for r in rows)
     check(rows, 8)
+
+
+def test_clashing_names_stay(spark, tmp_path):
+    rows = [(i, f"text {i} " * (i % 5), i % 3) for i in range(60)]
+    extra = {c: F.concat(F.lit(f"{c} of "), F.col("doc_id")) for c in [*R.INNER, "_file", "_row"]}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard int").withColumns(extra)
+    out = R.reshard(docs, F.col("shard"), 4)
+    assert set(extra) <= set(out.columns) and out.count() == 60
+    assert all(r[c] == f"{c} of {r.doc_id}" for r in out.collect() for c in extra)
+    docs.write.partitionBy("shard").parquet(f"{tmp_path}/old")
+    new, _ = R.rewrite(spark.read.parquet(f"{tmp_path}/old"), 4, f"file://{tmp_path}/new")
+    told = new.collect()
+    assert len(told) == 60 and all(r[c] == f"{c} of {r.doc_id}" for r in told for c in extra)
+    for s in range(4):
+        assert sorted(r.slot for r in told if r["shard"] == s) == list(range(sum(r["shard"] == s for r in told)))
