@@ -37,6 +37,6 @@ def lookup(df: DataFrame, key: str, value: object) -> DataFrame:
     return df.filter(F.col(key) == F.lit(value))
 
 
-def same_name(df: DataFrame, column: str, value: str) -> DataFrame:
-    """Rows whose name is the value but for case (plain lower case: sharp s stays what it is)."""
-    return df.filter(F.lower(column) == value.lower())
+def same_name(df: DataFrame, column: str, value: str | Column) -> DataFrame:
+    """Rows whose name is the value (or another column's) but for case (plain lower case: sharp s stays what it is)."""
+    return df.filter(F.lower(column) == (F.lower(value) if isinstance(value, Column) else value.lower()))

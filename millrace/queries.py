@@ -77,7 +77,7 @@ def same_name(spark: SparkSession, sf: str) -> DataFrame:
     """Equality but for case; stand-in on part."""
     part = load(spark, sf, "part")
     least = part.agg(F.min(F.lower("p_name")).alias("_least"))
-    return part.join(F.broadcast(least), F.lower("p_name") == F.col("_least")).select("p_partkey", "p_brand")
+    return listing.same_name(part.join(F.broadcast(least)), "p_name", F.col("_least")).select("p_partkey", "p_brand")
 
 
 @query("select * from nation where n_nationkey = 7")
