@@ -13,13 +13,14 @@ value gathers all pairs of a family.
 
 ``near_duplicates`` works that way on 64 bits and a few bits' distance. Texts whose shingle
 sets are only 0.8 alike differ in about 10 of 64 bits, too many for few and long parts, so
-``near_copies`` and ``keep_one`` take 256 bits in 12 parts of 21, and balls of one bit: the
-whole distance tells a similarity of 0.8 from 0.7 far better than 64 bits do, and one of 12
-parts is nearly always close.
+``near_copies`` and ``keep_one`` take 256 bits in 12 parts of 21, and balls of one bit: one of
+12 parts is nearly always close, and the whole distance leaves few candidates. The texts of
+these are then held against each other shingle by shingle, so no link is below the similarity.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from itertools import combinations, islice, repeat
 from math import acos, ceil, pi, sqrt
@@ -176,35 +177,49 @@ def _spread(hashes: np.ndarray) -> np.ndarray:
     return z ^ z >> np.uint64(31)
 
 
-def wide_simhash(text: bytes, words: int = 5, seed: int = 42) -> list[int]:
-    """A fingerprint of LONGS signed longs of a UTF-8 text, over its distinct shingles a block; no words give zeros."""
+def shingle_hashes(text: bytes, words: int = 5, seed: int = 42) -> np.ndarray:
+    """The distinct XXH64 hashes, ascending, of a UTF-8 text's shingles; a text with fewer words is one shingle."""
     stream = (m.group() for m in WORD.finditer(text.lower())) if len(text) > 1 << 20 else iter(text.lower().split())
-    counts, total, kept = np.zeros(64 * LONGS, np.int64), 0, []
+    found, kept = [], []
 
-    def count(grams) -> int:
-        nonlocal counts
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, set(grams), repeat(seed)), np.uint64)
-        bits = np.unpackbits(_spread(hashes).view(np.uint8).reshape(-1, 8 * LONGS), axis=1, bitorder="little")
-        counts = counts + bits.sum(axis=0, dtype=np.int32)
-        return len(hashes)
+    def add_all(grams) -> None:
+        found.append(np.fromiter(map(xxhash.xxh64_intdigest, set(grams), repeat(seed)), np.uint64))
 
     while block := list(islice(stream, BLOCK)):
         kept += block
         if len(kept) >= words:
-            total += count(map(b" ".join, zip(*(kept[i:] for i in range(words)), strict=False)))
+            add_all(map(b" ".join, zip(*(kept[i:] for i in range(words)), strict=False)))
             kept = kept[len(kept) - words + 1 :]
-    if not total and kept:
-        total = count([b" ".join(kept)])
-    return np.packbits(2 * counts > total, bitorder="little").view(np.int64).tolist()
+    if not found and kept:
+        add_all([b" ".join(kept)])
+    return np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
+
+
+def wide_simhash(text: bytes, words: int = 5, seed: int = 42) -> list[int]:
+    """A fingerprint of LONGS signed longs of a UTF-8 text, over its distinct shingles; no words give zeros."""
+    hashes = shingle_hashes(text, words, seed)
+    counts = np.zeros(64 * LONGS, np.int64)
+    for at in range(0, len(hashes), BLOCK):
+        spread = _spread(hashes[at : at + BLOCK]).view(np.uint8).reshape(-1, 8 * LONGS)
+        counts += np.unpackbits(spread, axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return np.packbits(2 * counts > len(hashes), bitorder="little").view(np.int64).tolist()
+
+
+def as_alike(one: np.ndarray, two: np.ndarray, similarity: float) -> bool:
+    """Whether two sets of hashes have at least this Jaccard similarity; two empty ones have."""
+    if min(len(one), len(two)) < similarity * max(len(one), len(two)) - 1e-9:
+        return False
+    both = np.intersect1d(one, two, assume_unique=True).size
+    return both >= similarity * (len(one) + len(two) - both) - 1e-9
 
 
-def bits_apart(similarity: float) -> int:
-    """How many bits of a wide fingerprint may differ for two sets of one size and this Jaccard similarity.
+def bits_apart(similarity: float, bits: int = 64 * LONGS) -> int:
+    """How many of so many bits of a wide fingerprint may differ for two sets of one size and this Jaccard similarity.
 
-    One standard deviation above the mean, so that five of six such pairs are within.
+    Two and a half standard deviations above the mean, so that 99 of 100 such pairs are within.
     """
     share = acos(2 * similarity / (1 + similarity)) / pi
-    return round(64 * LONGS * share + sqrt(64 * LONGS * share * (1 - share)))
+    return round(bits * share + 2.5 * sqrt(bits * share * (1 - share)))
 
 
 def _keys(longs: list[Column]) -> Column:
@@ -213,9 +228,13 @@ def _keys(longs: list[Column]) -> Column:
     return F.array(*(c.bitwiseOR(F.lit(n << PART)) for n, c in enumerate(cut)))
 
 
-def _near(one: Column, two: Column, radius: int) -> Column:
-    """Whether two wide fingerprints differ in at most ``radius`` bits."""
-    return reduce(add, (F.bit_count(one[i].bitwiseXOR(two[i])) for i in range(LONGS))) <= radius
+def _apart(one: list[Column], two: list[Column]) -> Column:
+    """The bits in which two lists of words differ."""
+    return reduce(add, (F.bit_count(a.bitwiseXOR(b)) for a, b in zip(one, two, strict=True)))
+
+
+def _longs(fp: str) -> list[Column]:
+    return [F.col(fp)[i] for i in range(LONGS)]
 
 
 def _words(fp: str, key: str) -> list[Column]:
@@ -224,53 +243,67 @@ def _words(fp: str, key: str) -> list[Column]:
     return [F.get(F.col(fp), (word + i) % LONGS).alias(f"word_{i}") for i in (1, 2)]
 
 
+def _across(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The links ``a, b`` between nodes of two groups, with ``g_a, g_b``."""
+    ends = [nodes.select(F.col("node").alias(x), F.col("group").alias(f"g_{x}")) for x in "ab"]
+    return links.join(ends[0], "a").join(ends[1], "b").filter("g_a != g_b")
+
+
 def _tied(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """``nodes`` (``node, fp, group``), the groups that links ``a, b`` of nodes join made one."""
-    ends = [nodes.select(F.col("node").alias(x), F.col("group").alias(f"g_{x}")) for x in "ab"]
-    across = links.join(ends[0], "a").join(ends[1], "b").filter("g_a != g_b")
-    joined = components(across, "g_a", "g_b").withColumnRenamed("node", "group")
+    joined = components(_across(links, nodes), "g_a", "g_b").withColumnRenamed("node", "group")
     return nodes.join(joined, "group", "left").select("node", "fp", F.coalesce("root", "group").alias("group"))
 
 
-def wide_roots(prints: DataFrame, radius: int) -> DataFrame:
+def wide_roots(prints: DataFrame, radius: int, half: int | None = None, alike: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Columns ``node, root`` of every node; ``prints`` has ``node, fp``, distinct and written.
 
     Nodes with a part in common, but for one bit, are linked if they differ in at most
-    ``radius`` bits. First each node is held against the smallest one with the same part, which
-    makes groups of most families of near copies. Then each asks for its parts and for
-    those one bit away (of two such values, the one with the bit set asks), and is answered
-    only where another group has the part: so the links made within a family grow with its
-    members, not with their pairs, and the groups at the end are those of all links.
-
-    Distances are conditions of the joins. A question brings two of four words with it: two nodes
-    of few differing bits have no more in these, and chance matches of a part nearly all have.
+    ``radius`` bits, and in at most ``half`` (``radius`` where not given) in the two words after
+    the part's, and if ``alike`` keeps the pair: it gets pairs ``a, b`` (a > b), each once, and
+    returns some of them.
+
+    First each node is held against the smallest one with the same part, which makes groups of
+    most families of near copies. Then each asks for its parts and for those one bit away (of
+    two such values, the one with the bit set asks), and is answered only where another group
+    has the part: so the links made within a family grow with its members, not with their
+    pairs, and the groups at the end are those of all links. No pair is shown to ``alike`` twice.
+
+    Distances are conditions of the joins. A question brings two of four words with it, and chance
+    matches of a part nearly all differ in too many of their bits.
     """
+    half = radius if half is None else half
 
     def parts(nodes: DataFrame) -> DataFrame:
-        return nodes.withColumn("key", F.explode(_keys([F.col("fp")[i] for i in range(LONGS)])))
+        return nodes.withColumn("key", F.explode(_keys(_longs("fp"))))
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        return pairs if alike is None else written(alike(pairs), "alike")
 
     same = parts(prints)
     least = same.groupBy("key").agg(F.min(F.struct("node", "fp")).alias("least"))
-    star = same.join(least, "key").filter((F.col("node") != F.col("least.node")) & _near(F.col("fp"), F.col("least.fp"), radius))
-    star = written(star.select(F.col("node").alias("a"), F.col("least.node").alias("b")).distinct(), "stars")
-    first = components(star.groupBy("a").agg(F.min("b").alias("b")), "a", "b")  # a link a node; the others wait
-    nodes = written(prints.join(first, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("group")), "groups")
-    nodes = written(_tied(nodes, star), "groups")
+    apart = _apart(_longs("fp"), _longs("least.fp"))
+    near = (F.col("node") != F.col("least.node")) & (apart <= radius) & (_apart(_words("fp", "key"), _words("least.fp", "key")) <= half)
+    star = same.join(least, "key").filter(near).select(F.col("node").alias("a"), F.col("least.node").alias("b"), apart.alias("apart")).distinct()
+    star = written(star, "stars")
+    first = written(star.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b")), "firsts")  # a link a node; the others wait
+    roots = components(checked(first), "a", "b")
+    nodes = written(prints.join(roots, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("group")), "groups")
 
     def held(nodes: DataFrame) -> DataFrame:
         return parts(nodes).select("key", F.col("node").alias("b"), "group", *(w.alias(f"b_{i}") for i, w in enumerate(_words("fp", "key"))))
 
-    def linked(pairs: DataFrame) -> DataFrame:
+    def linked(pairs: DataFrame, known: DataFrame) -> DataFrame:
+        """Of the pairs that aren't known, those within the radius."""
         one, two = (prints.select(F.col("node").alias(x), F.col("fp").alias(f"fp_{x}")) for x in "ab")
-        near = pairs.distinct().join(one, "a").join(two, "b").filter(_near(F.col("fp_a"), F.col("fp_b"), radius))
-        return written(near.select("a", "b"), "links")
+        fresh = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(known, ["a", "b"], "left_anti")
+        return written(fresh.join(one, "a").join(two, "b").filter(_apart(_longs("fp_a"), _longs("fp_b")) <= radius).select("a", "b"), "links")
 
     # One node of the lowest group that has a part and one of the highest: each question meets one of another group.
     row = F.struct("group", "b", "b_0", "b_1")
     have = held(nodes).groupBy("key").agg(F.min(row).alias("low"), F.max(row).alias("high"), F.count("*").alias("n"))
     masks = F.array(*(F.lit(1 << i).cast("long") for i in range(PART)))
-    keys = _keys([F.col("fp")[i] for i in range(LONGS)])
-    around = F.transform(keys, lambda k: F.concat(F.array(k), F.transform(F.filter(masks, lambda m: k.bitwiseAND(m) != 0), lambda m: k.bitwiseXOR(m))))
+    around = F.transform(_keys(_longs("fp")), lambda k: F.concat(F.array(k), F.transform(F.filter(masks, lambda m: k.bitwiseAND(m) != 0), lambda m: k.bitwiseXOR(m))))
     spread = nodes.repartition(ceil((prints.count() + 1) / TASK_ROWS), "node")  # each row becomes some 140 questions
     asks = spread.select(F.col("node").alias("a"), F.col("group").alias("g"), "fp", F.explode(F.flatten(around)).alias("key"))
     # Which values are taken is a bitmap of 12 times 2^21 bits, 3 MB for any table: questions for the others end here.
@@ -280,13 +313,15 @@ def wide_roots(prints: DataFrame, radius: int) -> DataFrame:
     asks = asks.select("a", "g", "key", *_words("fp", "key"))
 
     def close(one: Column, two: Column) -> Column:
-        return F.bit_count(F.col("word_1").bitwiseXOR(one)) + F.bit_count(F.col("word_2").bitwiseXOR(two)) <= radius
+        return _apart([F.col("word_1"), F.col("word_2")], [one, two]) <= half
 
     other = F.when(F.col("g") != F.col("low.group"), F.col("low")).otherwise(F.col("high"))
     near = close(other["b_0"], other["b_1"])
     met = asks.join(have, "key").filter(((F.col("g") != F.col("low.group")) | (F.col("g") != F.col("high.group"))) & ((F.col("n") > 1) | near))
     met = written(met.select("a", "key", "word_1", "word_2", (F.col("n") > 1).alias("more"), F.when(near, other["b"]).alias("b")), "met")
-    nodes = written(_tied(nodes, linked(met.filter("b is not null").select("a", "b"))), "groups")
+    wait = _across(star.select("a", "b"), nodes).select("a", "b")
+    second = linked(met.filter("b is not null").select("a", "b").union(wait), first)
+    nodes = written(_tied(nodes, checked(second)), "groups")
 
     # Of the parts that several nodes have, those still in several groups: there every pair of two groups meets.
     full = met.filter("more").drop("b").join(nodes.select(F.col("node").alias("a"), F.col("group").alias("g")), "a")
@@ -294,16 +329,18 @@ def wide_roots(prints: DataFrame, radius: int) -> DataFrame:
     groups = several.groupBy("part").agg(F.min("group").alias("low"), F.max("group").alias("high"))
     full = full.join(groups, F.col("key") == F.col("part")).filter("g != low or g != high").drop("part")
     pairs = full.join(several, (F.col("key") == F.col("part")) & (F.col("g") != F.col("group")) & close(F.col("b_0"), F.col("b_1"))).select("a", "b")
-    return _tied(nodes, linked(pairs)).select("node", F.col("group").alias("root"))
+    third = linked(pairs, first.union(second))
+    return _tied(nodes, checked(third)).select("node", F.col("group").alias("root"))
 
 
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
     """Columns ``<doc_id>, component_id``: a row for each row of ``docs``; texts as alike as ``similarity`` are linked.
 
-    Alike: the wide fingerprints of their shingles (words as in ``with_fingerprint``, a shingle
-    counted once a block of 50,000 words) differ in at most ``bits_apart(similarity)`` bits, and
-    one of 12 parts in at most one. That is an estimate: near the threshold some pairs above it
-    are missed and some below it are taken. Ids, nulls, repeats and empty tables are as in
+    Alike: the Jaccard similarity of the sets of their shingles (words as in
+    ``with_fingerprint``; sets of 64-bit hashes) is at least ``similarity``. Candidates are by
+    their wide fingerprints: one of 12 parts differs in at most one bit, and the whole in at
+    most ``bits_apart(similarity)``. So no link is false, and some pairs near the threshold
+    are missed. Equal fingerprints are one text. Ids, nulls, repeats and empty tables are as in
     ``near_duplicates``; texts without words are copies of one another.
     """
 
@@ -311,10 +348,32 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     def fingerprint(texts: pa.Array) -> pa.Array:
         return pa.array([wide_simhash(t.as_py(), words, seed) for t in texts.cast(pa.binary())], pa.list_(pa.int64()))
 
-    marked = written(docs.select(F.col(doc_id).alias("id"), fingerprint(text_of(text)).alias("fp")), "marked")
-    classes = marked.groupBy("fp").agg(F.min("id").alias("least"))
+    @F.arrow_udf("boolean")
+    def enough(ones: pa.Array, twos: pa.Array) -> pa.Array:
+        out, text_two, two = [], None, None
+        for a, b in zip(ones.cast(pa.binary()), twos.cast(pa.binary()), strict=True):
+            if (b := b.as_py()) != text_two:  # rows of one b mostly lie together
+                text_two, two = b, shingle_hashes(b, words, seed)
+            out.append(as_alike(shingle_hashes(a.as_py(), words, seed), two, similarity))
+        return pa.array(out, pa.bool_())
+
+    rows = docs.select(F.col(doc_id).alias("id"), text_of(text).alias("text")).withColumn("mark", F.xxhash64("text"))
+    marked = written(rows.select("id", "mark", fingerprint("text").alias("fp")), "marked")
+    classes = marked.groupBy("fp").agg(F.min("id").alias("least"), F.min(F.struct("id", "mark")).alias("row"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # fixed once written
-    roots = wide_roots(classes.select("node", "fp"), bits_apart(similarity))
+    repeated = not marked.groupBy("id", "mark").count().filter("count > 1").isEmpty()
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        """The pairs whose texts have enough shingles in common. Only texts of these pairs are fetched."""
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        wanted = written(classes.join(ends, "node").select("node", F.col("row.id").alias("own"), F.col("row.mark").alias("of")), "wanted")
+        asked, _ = split_by_keys(rows, F.xxhash64("id", "mark"), wanted.select(F.xxhash64("own", "of").alias("k")))
+        found = asked.join(wanted, F.col("id").eqNullSafe(F.col("own")) & (F.col("mark") == F.col("of"))).select("node", "text")
+        found = written(found.dropDuplicates(["node"]) if repeated else found, "texts")
+        one, two = (found.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
+        return pairs.select("a", "b").join(one, "a").join(two, "b").filter(enough("text_a", "text_b")).select("a", "b")
+
+    roots = wide_roots(classes.select("node", "fp"), bits_apart(similarity), bits_apart(similarity, 32 * LONGS), alike)
     rooted = classes.join(roots, "node", "left").select("fp", "least", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return marked.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select(F.col("id").alias(doc_id), "component_id")

@@ -15,7 +15,7 @@ import corpus_pipeline
 
 from millrace.llm import bpe, gam, mixing
 from millrace.llm.queries import WEIGHTS, label_domains
-from tests.llm.test_simhash import brute_groups, brute_wide
+from tests.llm.test_simhash import brute_copies
 
 
 def test_stages_and_run(spark, sf_dir):
@@ -29,7 +29,7 @@ def test_stages_and_run(spark, sf_dir):
     assert good.columns == columns and {r.doc_id for r in good.collect()} == expected
 
     kept = corpus_pipeline.near_duplicates(spark, good, sf_dir)
-    roots = brute_groups({i: brute_wide(texts[i] or "") for i in expected})
+    roots = brute_copies({i: texts[i] or "" for i in expected})
     ids = [r.doc_id for r in kept.collect()]
     assert kept.columns == columns and sorted(ids) == sorted(set(roots.values()))
 

@@ -58,13 +58,32 @@ def brute_wide(text, n=5):
     return sum(1 << b for b in range(256) if 2 * counts[b] > len(grams))
 
 
-def brute_near(x, y, radius=45):
+def brute_near(x, y, radius=45, half=45):
     d = x ^ y
-    parts = [d >> 64 * w + 21 * i & (1 << 21) - 1 for w in range(4) for i in range(3)]
-    return d.bit_count() <= radius and min(p.bit_count() for p in parts) <= 1
+    words = [d >> 64 * w & M for w in range(4)]
+    met = any(
+        (words[w] >> 21 * i & (1 << 21) - 1).bit_count() <= 1 and sum(words[(w + k) % 4].bit_count() for k in (1, 2)) <= half
+        for w in range(4) for i in range(3)
+    )
+    return met and d.bit_count() <= radius
 
 
-def brute_groups(prints):
+def shingles(text, n=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} or {tuple(words)} - {()}
+
+
+def jaccard(one, two):
+    return len(one & two) / len(one | two) if one or two else 1.0
+
+
+def brute_copies(texts):
+    """For a dict of id and text: the smallest id that each can reach over candidates of at least 0.8."""
+    sets = {i: shingles(t) for i, t in texts.items()}
+    return brute_groups({i: brute_wide(t) for i, t in texts.items()}, lambda i, j, x, y: brute_near(x, y, 53, 30) and jaccard(sets[i], sets[j]) >= 0.8)
+
+
+def brute_groups(prints, near=lambda i, j, x, y: brute_near(x, y)):
     """For a dict of id and fingerprint: the smallest id that each can reach."""
     root = {i: i for i in prints}
 
@@ -77,7 +96,7 @@ def brute_groups(prints):
     for k, i in enumerate(ids):
         for j in ids[:k]:
             a, b = find(i), find(j)
-            if a != b and brute_near(prints[i], prints[j]):
+            if a != b and near(i, j, prints[i], prints[j]):
                 root[max(a, b)] = min(a, b)
     return {i: find(i) for i in ids}
 
@@ -91,7 +110,7 @@ def test_wide_fingerprints():
     texts = ["", " ", "One two", "one TWO three four five", "a b c d e " * 40] + [" ".join(rng.choice("abcdé") for _ in range(rng.randrange(60))) for _ in range(60)]
     for t in texts:
         assert simhash.wide_simhash(t.encode()) == as_longs(brute_wide(t))
-    assert simhash.bits_apart(0.8) == 45 and simhash.bits_apart(1.0) == 0
+    assert simhash.bits_apart(0.8) == 53 and simhash.bits_apart(0.8, 128) == 30 and simhash.bits_apart(1.0) == 0
 
 
 def test_wide_groups_of_families_chains_and_crowded_parts(spark):
@@ -115,6 +134,41 @@ def test_wide_groups_of_families_chains_and_crowded_parts(spark):
     want = brute_groups(known)
     assert len(set(want.values())) > 50 and {i: got.get(i, i) for i in known} == want
 
+    shown = []
+
+    def alike(pairs):
+        shown.extend(map(tuple, pairs.collect()))
+        return pairs.filter("(a + b) % 3 = 0")
+
+    got = {r.node: r.root for r in simhash.wide_roots(df, 45, 20, alike).collect()}
+    assert {i: got.get(i, i) for i in known} == brute_groups(known, lambda i, j, x, y: (i + j) % 3 == 0 and brute_near(x, y, 45, 20))
+    assert len(shown) == len(set(shown)) and all(a > b and brute_near(known[a], known[b], 45, 20) for a, b in shown)
+
+
+def test_wide_fingerprints_of_long_texts_have_no_blocks(monkeypatch):
+    text = " ".join(random.Random(6).choices("abcde", k=3000))
+    whole = simhash.wide_simhash(text.encode())
+    assert whole == as_longs(brute_wide(text))
+    monkeypatch.setattr(simhash, "BLOCK", 100)
+    assert simhash.wide_simhash(text.encode()) == whole
+
+
+def test_near_copies_hold_to_the_similarity(spark):
+    rng = random.Random(7)
+    texts = []
+    for size in (12, 40, 300):  # around the threshold, in families
+        for _ in range(6):
+            base = [f"w{rng.randrange(900)}" for _ in range(size)]
+            texts.append(" ".join(base))
+            for share in (0.01, 0.02, 0.03, 0.04, 0.06):
+                texts.append(" ".join(w if rng.random() > share else f"x{rng.randrange(900)}" for w in base))
+    texts += ["a b c d e", "A b c D e", "a b c d e f", "", " \t", "one"]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(0, texts[0]), (None, texts[1])], "doc_id long, text string")
+    rows = simhash.near_copies(docs).collect()
+    want = brute_copies(dict(enumerate(texts)))
+    assert {r.doc_id: r.component_id for r in rows if r.doc_id is not None} == want and len(rows) == len(texts) + 2
+    assert 20 < len(set(want.values())) < len(texts) - 20
+
 
 def test_near_copies_of_five_word_shingles(spark):
     rng = random.Random(5)
