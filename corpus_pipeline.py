@@ -22,25 +22,42 @@ LEAST_QUALITY = 0.3
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the additive model, learnt from the labels, doesn't reject."""
+    """Documents that the additive model, learnt from the labels, doesn't reject.
+
+    Rows are judged by their text alone: a null text counts as empty, rows that repeat stay or
+    go together, null ids are ids like others (their labels are none). Without rows, or labels
+    to learn from, the model is a constant. All columns stay, also one named ``score``.
+    """
     model = gam.learn(docs, table(spark, sf_dir, "labels"))
     score = unused(docs.columns, "score")
     return gam.with_score(docs, model, out=score).filter(F.col(score) >= LEAST_QUALITY).drop(score)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each SimHash group."""
+    """One document, that of the smallest id, of each group of near copies.
+
+    Candidates are by SimHash; only texts of five-word shingles that are at least 0.8 alike are
+    linked. Texts without words, null ones too, are one group. Rows with a null id all stay; of
+    rows that repeat a kept id, one stays. All columns stay; an empty table stays empty.
+    """
     return simhash.keep_one(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the rates say that bring the domains of the labels to their weights."""
+    """Documents as often as the rates say that bring the domains of the labels to their weights.
+
+    Each row has a rate by its text (null: empty, of no tokens) and goes or comes that often; rows
+    that repeat have equal rates. All columns stay, also one named ``mix``; an empty table stays empty.
+    """
     model = mixing.learn(docs, label_domains(spark, sf_dir), len(WEIGHTS))
     return mixing.mix(docs, model, WEIGHTS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, n_tokens, ids`` (packed) and whether decoding gives the text back, for each document."""
+    """``doc_id, n_tokens, ids`` (packed) and whether decoding gives the text back, for each document.
+
+    A row for each row: a null text has no tokens, null and repeated ids stay; other columns go.
+    """
     ranks, split = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     name = unused(docs.columns, "coded")
     coded = bpe.with_round_trip(docs.select("doc_id", "text"), ranks, split, out=name)

@@ -143,6 +143,19 @@ ORACLES: dict[str, str] = {
         )
         select * from ranked where rank <= 10
     """,
+    "op9_blockknn": """
+        with v as (
+            select vec_id, list_transform(embedding, lambda x: x::double) as e
+            from embeddings
+            where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x != 0)) > 0
+        ), scored as (
+            select q.vec_id as query_id, c.vec_id as vec_id, list_inner_product(q.e, c.e) as score
+            from v q join v c on q.vec_id % 20 = 0 and q.vec_id != c.vec_id
+        ), ranked as (
+            select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::integer as rank, vec_id, score from scored
+        )
+        select * from ranked where rank <= 20
+    """,
     "op13_collocations": r"""
         with pieces as (
             select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents

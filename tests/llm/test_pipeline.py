@@ -50,7 +50,22 @@ def test_odd_rows(spark, tmp_path):
     rows = [(1, None, "x"), (2, "", "x"), (3, "same words here and there again", "x"), (4, "same words here and there again", "x"), (None, "lost", "x"), (4, "same words here and there again", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, score string").withColumn("mix", F.lit(1))
     spark.createDataFrame([(1, 0, 0), (3, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    where, ids = str(tmp_path), lambda rows: Counter(r.doc_id for r in rows)
     for _, stage in corpus_pipeline.STAGES:
-        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
-        assert stage(spark, docs, str(tmp_path)).count() >= 0
+        assert stage(spark, docs.limit(0), where).count() == 0
+
+    scores = gam.learn(docs, spark.read.parquet(f"{where}/labels.parquet")).score(gam._table([t or "" for _, t, _ in rows]))
+    good = corpus_pipeline.quality(spark, docs, where)
+    assert good.columns == docs.columns and {(r.score, r.mix) for r in good.collect()} <= {("x", 1)}
+    assert ids(good.collect()) == Counter(i for (i, _, _), s in zip(rows, scores, strict=True) if s >= 0.3)
+
+    model = mixing.learn(docs, label_domains(spark, where), len(WEIGHTS))
+    want = Counter()
+    for r in mixing.rated(mixing.with_posterior(docs.drop("mix"), model), WEIGHTS).collect():
+        want[r.doc_id] += r["mix"]["copies"]
+    out = corpus_pipeline.mixed(spark, docs, where)
+    assert out.columns == docs.columns and ids(out.collect()) == +want and {r.mix for r in out.collect()} <= {1}
+
+    told = corpus_pipeline.tokens(spark, docs, where).collect()
+    assert ids(told) == Counter(i for i, _, _ in rows) and all(r.exact and (r.n_tokens == 0) == (r.doc_id in (1, 2)) for r in told)
     assert sorted((r.doc_id is None, r.doc_id) for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()) == [(False, 1), (False, 3), (True, None)]
