@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache, reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -160,3 +162,19 @@ def assistant_text(content: Column, stdout: Column) -> Column:
     texts = F.transform(F.filter(content, lambda p: (p["type"] == "text") & (p["text"] != "")), lambda p: p["text"])
     joined = trimmed(F.array_join(texts, "\n"))
     return F.when(joined != "", joined).otherwise(stdout)
+
+
+@cache
+def _foldings() -> tuple[str, str, dict[str, str]]:
+    """Characters that fold to one other, what they fold to, and those that fold to several, by Python's Unicode tables."""
+    folded = {c: c.casefold() for c in map(chr, range(0x20000)) if not "\ud800" <= c <= "\udfff"}
+    one = {c: f for c, f in folded.items() if f != c and len(f) == 1}
+    return "".join(one), "".join(one.values()), {c: f for c, f in folded.items() if len(f) > 1}
+
+
+def case_folded(c: Column) -> Column:
+    """Full case folding as ``str.casefold`` has it: sharp s is ss, a final sigma a sigma, dotted I an i and a dot. Null stays null."""
+    one, to, several = _foldings()
+    single = F.translate(c, one, to)
+    spread = reduce(lambda x, m: F.replace(x, F.lit(m[0]), F.lit(m[1])), several.items(), single)
+    return F.when(single.rlike(f"[{''.join(several)}]"), spread).otherwise(single)

@@ -8,6 +8,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.text import case_folded
+
 MOST, USUAL = 100, 50  # rows of a page
 
 
@@ -38,5 +40,5 @@ def lookup(df: DataFrame, key: str, value: object) -> DataFrame:
 
 
 def same_name(df: DataFrame, column: str, value: str | Column) -> DataFrame:
-    """Rows whose name is the value (or another column's) but for case (plain lower case: sharp s stays what it is)."""
-    return df.filter(F.lower(column) == (F.lower(value) if isinstance(value, Column) else value.lower()))
+    """Rows whose name is the value (or another column's) but for case, by full case folding."""
+    return df.filter(case_folded(F.col(column)) == (case_folded(value) if isinstance(value, Column) else F.lit(value.casefold())))

@@ -481,8 +481,9 @@ def expired_leases(spark: SparkSession, sf: str) -> DataFrame:
     """ST3: leases whose last heartbeat is over two hours before the data's end."""
     events = load(spark, sf, "events")
     end = events.agg(F.max("ts").alias("_end"))
-    seen = leases.last_seen(events, "user_id", "ts").join(F.broadcast(end))
-    return seen.filter(F.col("last_seen") < F.col("_end") - F.expr("interval 2 hours")).select("user_id", "last_seen")
+    seen = leases.last_seen(events, "user_id", "ts").withColumn("worker", F.col("user_id")).join(F.broadcast(end))
+    read = leases.expired_cleared(seen, F.col("_end"), 2 * 3600, beat="last_seen")
+    return read.filter("worker is null and user_id is not null").select("user_id", "last_seen")
 
 
 @query("select user_id, arg_min(event_type, ts) as reason, min(ts) as at from events group by 1")

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import payloads, text
+from millrace.operators import listing
 from millrace.sources.tables import json_lines
 
 
@@ -111,3 +112,13 @@ def test_contract_column(spark):
     df = spark.createDataFrame([('x {"description": "found"}', False), ("none", False), (None, True), ('{"accepted": false}', None)], "t string, e boolean")
     assert [tuple(r.v) for r in df.select(payloads.checked(F.col("t"), "exploration", F.col("e")).alias("v")).collect()] == [("fact", '"found"', None), ("error", None, "object:missing"), ("error", None, "object:missing"), ("rejected", None, None)]
     assert [r.v for r in df.select(payloads.extracted(F.col("t")).alias("v")).collect()] == ['{"description": "found"}', None, None, '{"accepted": false}']
+
+
+def test_case_folding_of_every_character(spark):
+    names = [chr(c) for c in range(1, 0x20000) if not 0xD800 <= c <= 0xDFFF]
+    names += ["Straße", "STRASSE", "ΛΌΓΟΣ", "λόγος", "İstanbul", "ǰ\ufb03ŉ", "", None]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    wrong = [r.name for r in df.withColumn("folded", text.case_folded(F.col("name"))).collect() if r.folded != (None if r.name is None else r.name.casefold())]
+    assert wrong == []
+    assert {r.name for r in listing.same_name(df, "name", "strasse").collect()} == {"Straße", "STRASSE"}
+    assert {r.name for r in listing.same_name(df, "name", F.lit("λόγοΣ")).collect()} == {"ΛΌΓΟΣ", "λόγος"}
