@@ -11,23 +11,21 @@ is made least, where t are the targets and m the totals at r = 1. The second, sm
 the best rates unique: without it a target that no rates reach (as of nothing, where every
 posterior is over 0) is approached by dropping nearly all documents. In the metric that weighs
 documents by their tokens the gradient is sum_k p_k (T_k - t_k) / m_k + RIDGE * (r - 1) and the
-largest curvature 1 + RIDGE, so each step of length 1 / (1 + RIDGE) makes the sum smaller.
-
-At the optimum r = max(0, 1 - p . price) with price_k = (T_k - t_k) / (RIDGE * m_k). Documents of
-nearly equal posteriors make a cell (at most CELLS of them, whatever the corpus); all of a cell
-at its mean posterior, the driver finds the prices by many cheap steps; a few passes over all
-documents then refine them (Newton's method in the K prices, with a line search: plain steps
-are slow along prices that totals hardly tell apart). From there projected-gradient steps over
-all documents go on until one moves the rates by no more than NEAR, in the mean square over
-tokens. A pass needs K totals and K * K sums of products from all documents and nothing else; the
-rate is a column expression over the posterior, the prices and the residuals of the steps.
+largest curvature 1 + RIDGE, which sets the length of a step.
+
+All rates start from 1. Plain steps are slow along directions that totals hardly tell apart, so
+each step sets out from a point ahead, in the direction of the last one (Nesterov's momentum),
+and the momentum starts again whenever it points uphill. Steps go on until one moves the rates by
+no more than NEAR, in the mean square over tokens. A step is one pass over all documents, which
+brings K totals and two sums to the driver and nothing else: totals are linear in the rates, so
+those of the point ahead follow from the last two. The steps' K residuals and paces are all that
+is needed to give any document its rate.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from math import comb
 from zlib import crc32
 
 import numpy as np
@@ -42,11 +40,8 @@ BUCKETS = 1 << 15  # of hashed words
 PRIOR_WEIGHT = 20.0  # documents' worth of the overall rate in each domain's rate
 HEATS = (1, 2, 4, 8, 16, 32, 64)  # by which log-odds may be divided
 RIDGE = 1e-3  # what a rate's distance from 1 counts beside the targets
-CELLS = 20_000  # of posteriors, at most
-CELL_STEPS = 50_000  # on the cells, at most; they only give the steps over documents their start
-REFINING = 60  # passes that refine the prices, at most; these, too, only give a start
-NEAR, MOST_STEPS = 1e-4, 200  # over documents: settled at so small a step; an error if that isn't reached
-CUT = 6  # steps after which rates are written
+NEAR, MOST_STEPS = 2e-5, 2000  # settled at so small a step; an error if that isn't reached
+CUT = 10  # steps after which rates are written
 
 
 def buckets(text: str) -> tuple[int, np.ndarray]:
@@ -128,129 +123,76 @@ def with_posterior(docs: DataFrame, model: Posterior, text: str = "text", out: s
 
 @dataclass
 class Fit:
-    """Prices, the residuals of the steps after them, and what came of it."""
+    """The steps, each of them residuals and a pace of momentum, and what came of them."""
 
-    prices: list[float]
-    steps: list[list[float]] = field(default_factory=list)
+    steps: list[tuple[np.ndarray, float]] = field(default_factory=list)
     wanted: list[float] = field(default_factory=list)  # tokens of each domain
     reached: list[float] = field(default_factory=list)
     moved: float = 0.0  # by the last step
 
-
-def rate(p: list[Column], found: Fit) -> Column:
-    """The rate of a document with posteriors ``p``: by the prices, and the steps replayed, in one expression."""
-    first = F.greatest(F.lit(0.0), 1 - _dot(p, found.prices))
-    if not found.steps:
-        return first
-    steps = F.array(*(F.array(*(F.lit(float(x)) for x in step)) for step in found.steps))
-    return F.aggregate(steps, first, lambda r, step: _stepped(r, p, [step[k] for k in range(len(p))]))
+    def rates(self, p: np.ndarray) -> np.ndarray:
+        """The rates of rows of posteriors: the steps, taken again."""
+        r = ahead = np.ones(len(p))
+        for residual, pace in self.steps:
+            new = np.maximum(0.0, ahead - (p @ residual + RIDGE * (ahead - 1)) / (1 + RIDGE))
+            ahead, r = new + pace * (new - r), new
+        return r
 
 
-def _dot(p: list[Column], numbers: list) -> Column:
-    out = F.lit(0.0)
-    for share, x in zip(p, numbers, strict=True):
-        out = out + share * x
-    return out
+def rate(p: list[Column], found: Fit) -> Column:
+    """The rate of a document with posteriors ``p``."""
 
+    @F.arrow_udf("double")
+    def rates(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for rows in batches:
+            yield pa.array(found.rates(rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)), pa.float64())
 
-def _stepped(r: Column, p: list[Column], residual: list) -> Column:
-    """A rate after one more step."""
-    return F.greatest(F.lit(0.0), r - (_dot(p, residual) + RIDGE * (r - 1)) / (1 + RIDGE))
-
-
-def cell_prices(n: np.ndarray, p: np.ndarray, target: np.ndarray, inverse: np.ndarray) -> np.ndarray:
-    """Prices for cells of ``n`` tokens and mean posteriors ``p``, by projected gradient with momentum that restarts."""
-    r = ahead = np.ones(len(n))
-    pace = 1.0
-    for _ in range(CELL_STEPS):
-        slope = p @ (((ahead * n) @ p - target) * inverse) + RIDGE * (ahead - 1)
-        new = np.maximum(0, ahead - slope / (1 + RIDGE))
-        if ((ahead - new) * (new - r) * n).sum() > 0:
-            pace = 1.0
-        faster = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
-        ahead, gap = new + (pace - 1) / faster * (new - r), ((new - r) ** 2 * n).sum()
-        r, pace = new, faster
-        if gap <= 1e-16 * n.sum():
-            break
-    return ((r * n) @ p - target) * inverse / RIDGE
-
-
-def refined(numbers: DataFrame, p: list[Column], prices: np.ndarray, target: np.ndarray, mass: np.ndarray) -> np.ndarray:
-    """Prices at which rates max(0, 1 - p . price) of all documents bring residuals of RIDGE * mass * price, or nearly."""
-    k, own = len(p), np.flatnonzero(mass > 0)
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
-
-    def measured(at: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """The convex function whose least value the best prices have, its slope and curvature."""
-        r = F.greatest(F.lit(0.0), 1 - _dot(p, at.tolist()))
-        with_r = numbers.withColumn("r", r)
-        row = with_r.agg(F.sum(F.col("n") * F.col("r") ** 2), *(F.sum(F.col("n") * F.col("r") * x) for x in p), *(F.sum(F.when(F.col("r") > 0, F.col("n") * p[i] * p[j]).otherwise(0.0)) for i, j in pairs)).first()
-        curve = np.zeros((k, k))
-        for (i, j), v in zip(pairs, row[1 + k :], strict=True):
-            curve[i, j] = curve[j, i] = v
-        value = (RIDGE * (mass * at * at).sum() + row[0]) / 2 + target @ at
-        return value, RIDGE * mass * at - np.array(row[1 : 1 + k]) + target, RIDGE * np.diag(mass) + curve
-
-    value, slope, curve = measured(prices)
-    passes = 1
-    while passes < REFINING and np.abs(slope[own] / mass[own]).max() > NEAR / 2:
-        step = np.zeros(k)
-        step[own] = np.linalg.solve(curve[np.ix_(own, own)], slope[own])
-        share, fall = 1.0, slope @ step
-        while passes < REFINING:
-            passes += 1
-            after = measured(prices - share * step)
-            if after[0] <= value - 1e-4 * share * fall or share < 1e-6:
-                break
-            share /= 2
-        if after[0] > value:
-            break
-        prices, (value, slope, curve) = prices - share * step, after
-    return prices
+    return rates(F.array(*p))
 
 
 def fit(mixed: DataFrame, weights: list[float], tokens: Column, p: list[Column], total: float | None = None) -> Fit:
     """The rates that bring the expected tokens of each domain to ``weights`` of the ``total``.
 
     ``total``: by default what there is. A domain that no document belongs to is left out,
-    its weight unreached. An empty table needs no step. The result says how many tokens of each
-    domain were wanted and reached. A fit that doesn't settle is an error, not a result.
+    its weight unreached. An empty table, or one without tokens, needs no step. The result says
+    how many tokens of each domain were wanted and reached. A fit that doesn't settle is an
+    error, not a result.
     """
     if min(weights) < 0 or sum(weights) <= 0:
         raise ValueError("weights must be nonnegative, and not all zero")
     shares, k = np.array(weights) / sum(weights), len(p)
-    names = [f"p{i}" for i in range(k)]
-    shown = [F.col(x) for x in names]
-    numbers = mixed.select(tokens.cast("double").alias("n"), *(x.alias(name) for x, name in zip(p, names, strict=True)))
-
-    levels = 1
-    while comb(levels + 1 + k, k) <= CELLS:
-        levels += 1
-    cell = [F.floor(x * levels).alias(f"c{i}") for i, x in enumerate(shown)]
-    cells = numbers.groupBy(*cell).agg(F.sum("n").alias("n"), *(F.sum(F.col("n") * x).alias(name) for x, name in zip(shown, names, strict=True))).filter("n > 0").toArrow()
-    inside = np.array([cells[name].to_numpy() for name in names]).T.reshape(-1, k)
-    mass, size = inside.sum(0), cells["n"].to_numpy()
+    n, r, ahead, new, *shown = (F.col(x) for x in ("n", "r", "ahead", "new", *(f"p{i}" for i in range(k))))
+    state = mixed.select(tokens.cast("double").alias("n"), *(x.alias(f"p{i}") for i, x in enumerate(p)), F.lit(1.0).alias("r"), F.lit(1.0).alias("ahead"))
+    state = written(state.filter("n > 0"), "rates")
+    mass = np.array([x or 0.0 for x in state.agg(*(F.sum(n * x) for x in shown)).first()])
+    size = mass.sum()  # posteriors add up to 1
     inverse = np.where(mass > 0, 1 / np.maximum(mass, 1e-300), 0.0)
-    target = shares * (mass.sum() if total is None else total)
-    found = Fit([0.0] * k, wanted=target.tolist(), reached=mass.tolist())
-    if not mass.sum():
+    target = shares * (size if total is None else total)
+    found = Fit([], target.tolist(), mass.tolist())
+    if not size:
         return found
-    found.prices = refined(numbers, shown, cell_prices(size, inside / size[:, None], target, inverse), target, mass).tolist()
-
-    state = numbers.withColumns({"r": rate(shown, found), "was": F.lit(0.0)})
-    while True:
-        gap = F.col("r") - F.col("was")
-        row = state.agg(*(F.sum(F.col("r") * F.col("n") * x) for x in shown), F.sum(F.col("n") * gap * gap)).first()
-        found.reached = [v or 0.0 for v in row[:-1]]
-        found.moved = float(np.sqrt(row[-1] / size.sum()))
-        if found.steps and found.moved <= NEAR:
+    here = there = mass  # totals of the rates, and of the point ahead
+    pace = 1.0
+    while len(found.steps) < MOST_STEPS:
+        residual = (there - target) * inverse
+        slope = RIDGE * (ahead - 1)
+        for x, gap in zip(shown, residual.tolist(), strict=True):
+            slope = slope + x * gap
+        stepped = state.withColumn("new", F.greatest(F.lit(0.0), ahead - slope / (1 + RIDGE)))
+        *totals, moved, uphill = stepped.agg(*(F.sum(n * new * x) for x in shown), F.sum(n * (new - ahead) ** 2), F.sum(n * (ahead - new) * (new - r))).first()
+        if uphill > 0:
+            pace = 1.0
+        faster = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
+        push, pace = float((pace - 1) / faster), float(faster)
+        found.steps.append((residual, push))
+        here, there = np.array(totals), np.array(totals) + push * (np.array(totals) - here)
+        found.reached, found.moved = totals, float(np.sqrt(moved / size))
+        if found.moved <= NEAR:
             return found
-        if len(found.steps) == MOST_STEPS:
-            raise RuntimeError(f"rates did not settle in {MOST_STEPS} steps: the last one moved them by {found.moved}")
-        found.steps.append(((np.array(found.reached) - target) * inverse).tolist())
-        state = state.withColumns({"was": F.col("r"), "r": _stepped(F.col("r"), shown, found.steps[-1])})
+        state = stepped.select("n", *shown, new.alias("r"), (new + push * (new - r)).alias("ahead"))
         if len(found.steps) % CUT == 0:  # the expression stays short
             state = written(state, "rates", instead_of=state)
+    raise RuntimeError(f"rates did not settle in {MOST_STEPS} steps: the last one moved them by {found.moved}")
 
 
 def rated(scored: DataFrame, weights: list[float], total: float | None = None, doc_id: str = "doc_id", column: str = "mix") -> DataFrame:

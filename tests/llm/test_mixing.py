@@ -33,6 +33,7 @@ def test_rates_are_those_of_a_direct_fit(spark):
     for weights in ([1, 1, 1], [0.9, 0.05, 0.05], [0.7, 0.3, 0.0], [1, 0, 0]):
         found = mixing.fit(df, weights, F.col("n"), cols)
         r = np.array([x.r for x in df.withColumn("r", mixing.rate(cols, found)).orderBy("doc_id").collect()])
+        assert len(found.steps) >= 5  # the steps over documents do the fitting, from rates of 1
         best = direct(n, p, np.array(weights) / sum(weights) * n.sum())
         assert (r >= 0).all()
         assert np.sqrt((n * (r - best) ** 2).sum() / n.sum()) < 0.02, weights
