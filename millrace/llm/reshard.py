@@ -18,10 +18,12 @@ from millrace.llm.common import salted, text_of, unused, written
 
 #: Blocks of an old shard: one for so many rows of the corpus, within these bounds.
 ROWS_A_BLOCK, FEWEST_BLOCKS, MOST_BLOCKS = 20_000, 64, 65_536
+#: Lines of a plan for files that are broadcast, at most.
+MOST_PIECES = 200_000
 
 
 #: Names of columns on the way; columns of a table that have them are called otherwise meanwhile.
-INNER = "_block _upto _rank _begin _from _to _old _ahead _f _r _new _first _shard affected".split()
+INNER = "_block _upto _rank _begin _from _to _old _ahead _f _r _new affected".split()
 
 
 def _hidden(columns: list[str]) -> dict[str, str]:
@@ -162,8 +164,14 @@ def rewrite(old: DataFrame, shards: int, target: str, doc_id: str = "doc_id", te
     ``old`` is a table read from Parquet files partitioned by a column ``shard``. Rows of
     affected files (those with a row that leaves) are written under ``target``, in folders by
     their new ``shard``, with their ``slot``. The other files stay as they are, in their shard:
-    their rows' slots run on from the first one of the file. The plan (a few numbers a row) is
-    written once, so that moves and rows agree. The driver gets one line for each file.
+    their rows' slots run on from the first one of the file.
+
+    A file lies on its line in its own order, so each new shard takes one run of its rows: the
+    plan is a line for each such piece (at most files + old + new shards of them), from which
+    a row's shard and slot follow by its place in the file. Texts meet that plan in the task
+    that reads them (it is broadcast up to MOST_PIECES lines, some 60 MB; beyond that Spark chooses
+    the join) and are written there, so none is shuffled. The plan is written once, so that moves
+    and rows agree. The driver gets one total for each old shard.
     """
     spark = old.sparkSession
     hidden = _hidden(old.columns)
@@ -172,16 +180,22 @@ def rewrite(old: DataFrame, shards: int, target: str, doc_id: str = "doc_id", te
     at = old.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row)).withColumnsRenamed(hidden)
     keep = [F.col(f"`{hidden.get(c, c)}`") for c in old.columns if c.lower() not in ("shard", "slot")]
     plan = reshard(at.select(file, row, doc_id, text, "shard"), F.col("shard"), shards, doc_id, text, file=file, row=row)
-    plan = written(plan.select(file, row, "shard", "slot", "moved"), "plan")
-    files = written(plan.groupBy(file).agg(F.max("moved").alias("affected"), F.min("slot").alias("_first"), F.min("shard").alias("_shard")), "files")
-
-    touched = plan.join(files.filter("affected").select(file), file, "left_semi").select(F.col(file).alias("_f"), F.col(row).alias("_r"), F.col("shard").alias("_new"), F.col("slot").alias("_upto"))
-    rows = at.join(touched, (F.col(file) == F.col("_f")) & (F.col(row) == F.col("_r"))).select(*keep, F.col("_new").alias("shard"), F.col("_upto").alias("slot"))
-    # by shard, and within it by parts of neighbouring slots: a shard is several files, none of them one task's whole shard
-    rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(target)
-    told = files.select(F.col(file).alias("file"), "affected")
-
-    stays = at.join(files.filter("not affected"), file).select(*keep, F.col("_shard").cast("int").alias("shard"), (F.col("_first") + F.col(row)).alias("slot"))
+    pieces = plan.groupBy(F.col(file).alias("_f"), F.col("shard").alias("_new")).agg(F.min(row).alias("_from"), F.max(row).alias("_to"), F.min("slot").alias("_ahead"), F.max("moved").alias("_r"))
+    pieces = written(pieces, "pieces")
+    files = pieces.groupBy("_f").agg(F.max("_r").alias("affected"))
+    if pieces.count() <= MOST_PIECES:
+        pieces, files = F.broadcast(pieces), F.broadcast(files)
+
+    inside = (F.col(file) == F.col("_f")) & F.col(row).between(F.col("_from"), F.col("_to"))
+    slot = (F.col("_ahead") + F.col(row) - F.col("_from")).cast("long").alias("slot")
+    touched = pieces.join(files.filter("affected"), "_f", "left_semi")
+    rows = at.join(touched, inside).select(*keep, F.col("_new").alias("shard"), slot)
+    # rows go from a file's task to the new files of their shards, without a shuffle: a row's slot follows from its place
+    rows.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(target)
+    told = files.select(F.col("_f").alias("file"), "affected")
+
+    whole = pieces.join(files.filter("not affected"), "_f", "left_semi")
+    stays = at.join(whole, inside).select(*keep, F.col("_new").cast("int").alias("shard"), slot)
     new = spark.read.schema(rows.schema).parquet(target).select(*keep, F.col("shard").cast("int").alias("shard"), "slot")
     back = {v: k for k, v in hidden.items()}
     return stays.unionByName(new).withColumnsRenamed(back), told
