@@ -41,7 +41,7 @@ PRIOR_WEIGHT = 20.0  # documents' worth of the overall rate in each domain's rat
 HEATS = (1, 2, 4, 8, 16, 32, 64)  # by which log-odds may be divided
 RIDGE = 1e-3  # what a rate's distance from 1 counts beside the targets
 NEAR, MOST_STEPS = 2e-5, 2000  # settled at so small a step; an error if that isn't reached
-CUT = 10  # steps after which rates are written
+CUT = 16  # steps after which rates are written
 
 
 def buckets(text: str) -> tuple[int, np.ndarray]:
@@ -133,10 +133,55 @@ class Fit:
     def rates(self, p: np.ndarray) -> np.ndarray:
         """The rates of rows of posteriors: the steps, taken again."""
         r = ahead = np.ones(len(p))
-        for residual, pace in self.steps:
-            new = np.maximum(0.0, ahead - (p @ residual + RIDGE * (ahead - 1)) / (1 + RIDGE))
-            ahead, r = new + pace * (new - r), new
-        return r
+        return advanced(p, r, ahead, self.steps)[0]
+
+
+def stepped(p: np.ndarray, ahead: np.ndarray, residual: np.ndarray) -> np.ndarray:
+    """Rates after one projected step from ``ahead``."""
+    return np.maximum(0.0, ahead - (p @ residual + RIDGE * (ahead - 1)) / (1 + RIDGE))
+
+
+def advanced(p: np.ndarray, r: np.ndarray, ahead: np.ndarray, steps: list[tuple[np.ndarray, float]]) -> tuple[np.ndarray, np.ndarray]:
+    """Rates, and the point ahead of them, after some steps."""
+    for residual, push in steps:
+        new = stepped(p, ahead, residual)
+        ahead, r = new + push * (new - r), new
+    return r, ahead
+
+
+def _numbers(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens, rates, points ahead and posteriors of a batch of the state."""
+    n, r, ahead, *p = (c.to_numpy() for c in batch.columns)
+    return n, r, ahead, np.column_stack(p)
+
+
+def totals_after(state: DataFrame, steps: list[tuple[np.ndarray, float]], residual: np.ndarray) -> tuple[np.ndarray, float, float]:
+    """Totals after the given steps and one by ``residual``; the square of that step's length; and whether momentum points uphill (over 0)."""
+    k = len(residual)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, r, ahead, p = _numbers(batch)
+            r, ahead = advanced(p, r, ahead, steps)
+            new = stepped(p, ahead, residual)
+            found = [*((n * new) @ p), (n * (new - ahead) ** 2).sum(), (n * (ahead - new) * (new - r)).sum()]
+            yield pa.RecordBatch.from_arrays([pa.array([float(x)]) for x in found], [f"s{i}" for i in range(k + 2)])
+
+    parts = state.mapInArrow(sums, ", ".join(f"s{i} double" for i in range(k + 2)))
+    *totals, moved, uphill = parts.agg(*(F.sum(c) for c in parts.columns)).first()
+    return np.array(totals), moved, uphill
+
+
+def moved_on(state: DataFrame, steps: list[tuple[np.ndarray, float]]) -> DataFrame:
+    """The state after some steps, written in place of the old one."""
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, r, ahead, p = _numbers(batch)
+            r, ahead = advanced(p, r, ahead, steps)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (n, r, ahead)] + batch.columns[3:], batch.schema.names)
+
+    return written(state.mapInArrow(move, state.schema), "rates", instead_of=state)
 
 
 def rate(p: list[Column], found: Fit) -> Column:
@@ -161,10 +206,9 @@ def fit(mixed: DataFrame, weights: list[float], tokens: Column, p: list[Column],
     if min(weights) < 0 or sum(weights) <= 0:
         raise ValueError("weights must be nonnegative, and not all zero")
     shares, k = np.array(weights) / sum(weights), len(p)
-    n, r, ahead, new, *shown = (F.col(x) for x in ("n", "r", "ahead", "new", *(f"p{i}" for i in range(k))))
-    state = mixed.select(tokens.cast("double").alias("n"), *(x.alias(f"p{i}") for i, x in enumerate(p)), F.lit(1.0).alias("r"), F.lit(1.0).alias("ahead"))
-    state = written(state.filter("n > 0"), "rates")
-    mass = np.array([x or 0.0 for x in state.agg(*(F.sum(n * x) for x in shown)).first()])
+    numbers = mixed.select(tokens.cast("double").alias("n"), F.lit(1.0).alias("r"), F.lit(1.0).alias("ahead"), *(x.alias(f"p{i}") for i, x in enumerate(p)))
+    state = written(numbers.filter("n > 0"), "rates")
+    mass = np.array([x or 0.0 for x in state.agg(*(F.sum(F.col("n") * F.col(f"p{i}")) for i in range(k))).first()])
     size = mass.sum()  # posteriors add up to 1
     inverse = np.where(mass > 0, 1 / np.maximum(mass, 1e-300), 0.0)
     target = shares * (size if total is None else total)
@@ -175,23 +219,19 @@ def fit(mixed: DataFrame, weights: list[float], tokens: Column, p: list[Column],
     pace = 1.0
     while len(found.steps) < MOST_STEPS:
         residual = (there - target) * inverse
-        slope = RIDGE * (ahead - 1)
-        for x, gap in zip(shown, residual.tolist(), strict=True):
-            slope = slope + x * gap
-        stepped = state.withColumn("new", F.greatest(F.lit(0.0), ahead - slope / (1 + RIDGE)))
-        *totals, moved, uphill = stepped.agg(*(F.sum(n * new * x) for x in shown), F.sum(n * (new - ahead) ** 2), F.sum(n * (ahead - new) * (new - r))).first()
+        done = found.steps[len(found.steps) // CUT * CUT :]  # since the rates were written
+        totals, moved, uphill = totals_after(state, done, residual)
         if uphill > 0:
             pace = 1.0
         faster = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
         push, pace = float((pace - 1) / faster), float(faster)
         found.steps.append((residual, push))
-        here, there = np.array(totals), np.array(totals) + push * (np.array(totals) - here)
-        found.reached, found.moved = totals, float(np.sqrt(moved / size))
+        here, there = totals, totals + push * (totals - here)
+        found.reached, found.moved = totals.tolist(), float(np.sqrt(moved / size))
         if found.moved <= NEAR:
             return found
-        state = stepped.select("n", *shown, new.alias("r"), (new + push * (new - r)).alias("ahead"))
-        if len(found.steps) % CUT == 0:  # the expression stays short
-            state = written(state, "rates", instead_of=state)
+        if len(found.steps) % CUT == 0:
+            state = moved_on(state, found.steps[-CUT:])
     raise RuntimeError(f"rates did not settle in {MOST_STEPS} steps: the last one moved them by {found.moved}")
 
 
