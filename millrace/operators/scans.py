@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.ordered import RANGE_ROWS, _names, in_order
+from millrace.sources.scratch import written
 
 RUN = 256  # rows, or maps, of one array
 
@@ -31,10 +32,11 @@ def replayed(requests: DataFrame, key: str, order: list[str], step: Column, stat
 
     ``step``: an array that holds the state that each of ``states`` states becomes by the request. Each
     key begins in the state ``first``; null is a key like others. Order: within a key by the named columns, nulls first,
-    which should be total. The number of passes grows with the logarithm of the rows. An empty table gives an empty result.
+    which should be total. The number of passes grows with the logarithm of the rows; each reads ranked rows that are
+    written once, so ranking isn't done again for each level. An empty table gives an empty result.
     """
     map_, place, held, row = _names([*requests.columns, out], "map", "place", "held", "row")
-    ranked = in_order(requests.withColumn(map_, step), [key, *order], rank=place, range_rows=range_rows)
+    ranked = written(in_order(requests.withColumn(map_, step), [key, *order], rank=place, range_rows=range_rows), "ranked")
     rows = ranked.select(F.col(f"`{key}`").alias("key"), F.col(place).alias("place"), F.struct(F.col(place).alias("place"), F.col(map_).alias("map"), F.struct(*(F.col(f"`{c}`") for c in requests.columns)).alias("row")).alias("one"))
 
     def gathered(df: DataFrame) -> DataFrame:
@@ -42,7 +44,7 @@ def replayed(requests: DataFrame, key: str, order: list[str], step: Column, stat
         return df.groupBy("key", F.floor(F.col("place") / run).cast("long").alias("up")).agg(F.array_sort(F.collect_list("one"), lambda a, b: (a["place"] - b["place"]).cast("int")).alias("held"))
 
     same = F.array(*(F.lit(i + 1) for i in range(states)))
-    levels, n = [gathered(rows)], requests.count()
+    levels, n = [gathered(rows)], ranked.count()
     while n >= run:
         n //= run
         whole = F.aggregate("held", same, lambda m, r: _composed(m, r["map"]))

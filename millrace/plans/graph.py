@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from millrace.operators.asof import as_of
 from millrace.operators.scans import replayed
 from millrace.operators.versions import first_of
+from millrace.sources.scratch import written
 
 
 def summaries(projects: DataFrame, facts: DataFrame, intents: DataFrame, hints: DataFrame) -> DataFrame:
@@ -189,8 +190,11 @@ def goal_edges(requests: DataFrame) -> DataFrame:
 
     ``requests`` has also ``from`` (the facts of a completion), ``description`` and ``worker``. A completion that no reopening undid is an edge
     to the goal. A reopening undoes the one that stands, and leaves an edge ``external_feedback`` from that one's facts to a new fact of its own.
+    Requests of unknown kinds change nothing, so they aren't replayed. The log is written once: three parts of the answer are made from it.
     """
-    fine = project_log(requests).filter("error_code is null")
+    known = requests.filter(F.col("kind").isin(*PROJECT_MOVES))
+    fine = project_log(known).filter("error_code is null and kind in ('complete', 'reopen')").select("project", "at", "id", "kind", "from", "description", "worker")
+    fine = written(fine, "log")
     done = fine.filter("kind = 'complete'")
     undone = as_of(fine.filter("kind = 'reopen'").drop("from"), done.select("project", "at", "id", "from"), "project", "at", ["from"], tie="id", own_tie="id")
     feedback = undone.select("project", "id", F.concat(F.lit("f"), F.col("id").cast("string")).alias("to"), F.lit("external_feedback").alias("description"), "from", F.col("worker").alias("creator"))

@@ -148,6 +148,17 @@ def test_completing_and_reopening(spark):
     assert edges == [("p", "f40", "external_feedback", ["a", "b"], "w"), ("p", "goal", "d6", ["d"], "w"), ("q", "f50", "external_feedback", ["y"], "w")]
 
 
+def test_the_log_is_replayed_once(spark, tmp_path):
+    """Neither the edges nor the states before requests are computed from the requests again: what they read was written."""
+    rows = [("p", i, i, "complete" if i % 2 else "reopen", [f"a{i}"], "d", "w") for i in range(600)]
+    spark.createDataFrame(rows, "project string, at int, id int, kind string, `from` array<string>, description string, worker string").write.parquet(f"{tmp_path}/requests")
+    requests = spark.read.parquet(f"{tmp_path}/requests")
+    edges = graph.goal_edges(requests)
+    assert edges.count() == 300  # each reopening but the first, and the last completion
+    for df in (edges, graph.project_log(requests)):
+        assert df.inputFiles() and not [f for f in df.inputFiles() if str(tmp_path) in f]
+
+
 @pytest.mark.parametrize(("leaf", "range_rows"), [(2, 13), (3, 100_000), (1024, 40)])
 def test_tree_digests(spark, leaf, range_rows):
     rows = [("hot", f"p{i:03}", "file", i % 2 == 0, f"h{i}") for i in range(60)] + [(None, "é", "file", None, "h"), (None, None, "link", True, None), ("x", "b", "f", False, "1"), ("x", "b", "f", False, "0"), ("x", "a/z", "f", False, "2")]
