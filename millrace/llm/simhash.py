@@ -42,6 +42,7 @@ BLOCK = 50_000  # words hashed at once: bounds memory for very long texts
 CROWDED = 64
 TASK_ROWS = 50_000  # fingerprints whose questions one task asks
 LONGS, PART = 4, 21  # of a wide fingerprint: 64-bit words, and bits of each of the three parts of a word
+SKETCH = 16  # more words, that no part is cut from: they tell texts under the similarity from those over it
 
 
 def _set_bits(hashes: np.ndarray) -> np.ndarray:
@@ -169,9 +170,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return marked.join(named, "fp").select(F.col("id").alias(doc_id), F.col("fp").alias("fingerprint"), "component_id")
 
 
-def _spread(hashes: np.ndarray) -> np.ndarray:
-    """Each 64-bit hash as LONGS words that look independent: SplitMix64 outputs with the hash as state."""
-    z = hashes[:, None] + np.arange(1, LONGS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+def _spread(hashes: np.ndarray, longs: int = LONGS) -> np.ndarray:
+    """Each 64-bit hash as so many words that look independent: SplitMix64 outputs with the hash as state."""
+    z = hashes[:, None] + np.arange(1, longs + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
     z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
     return z ^ z >> np.uint64(31)
@@ -195,12 +196,13 @@ def shingle_hashes(text: bytes, words: int = 5, seed: int = 42) -> np.ndarray:
     return np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
 
 
-def wide_simhash(text: bytes, words: int = 5, seed: int = 42) -> list[int]:
-    """A fingerprint of LONGS signed longs of a UTF-8 text, over its distinct shingles; no words give zeros."""
+def wide_simhash(text: bytes, words: int = 5, seed: int = 42, longs: int = LONGS) -> list[int]:
+    """A fingerprint of ``longs`` signed longs of a UTF-8 text, over its distinct shingles; no words give zeros."""
     hashes = shingle_hashes(text, words, seed)
-    counts = np.zeros(64 * LONGS, np.int64)
-    for at in range(0, len(hashes), BLOCK):
-        spread = _spread(hashes[at : at + BLOCK]).view(np.uint8).reshape(-1, 8 * LONGS)
+    counts = np.zeros(64 * longs, np.int64)
+    block = BLOCK * LONGS // longs
+    for at in range(0, len(hashes), block):
+        spread = _spread(hashes[at : at + block], longs).view(np.uint8).reshape(-1, 8 * longs)
         counts += np.unpackbits(spread, axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
     return np.packbits(2 * counts > len(hashes), bitorder="little").view(np.int64).tolist()
 
@@ -233,8 +235,8 @@ def _apart(one: list[Column], two: list[Column]) -> Column:
     return reduce(add, (F.bit_count(a.bitwiseXOR(b)) for a, b in zip(one, two, strict=True)))
 
 
-def _longs(fp: str) -> list[Column]:
-    return [F.col(fp)[i] for i in range(LONGS)]
+def _longs(fp: str, first: int = 0, longs: int = LONGS) -> list[Column]:
+    return [F.col(fp)[i] for i in range(first, first + longs)]
 
 
 def _words(fp: str, key: str) -> list[Column]:
@@ -255,13 +257,14 @@ def _tied(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(joined, "group", "left").select("node", "fp", F.coalesce("root", "group").alias("group"))
 
 
-def wide_roots(prints: DataFrame, radius: int, half: int | None = None, alike: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def wide_roots(prints: DataFrame, radius: int, half: int | None = None, alike: Callable[[DataFrame], DataFrame] | None = None, sketch: int | None = None) -> DataFrame:
     """Columns ``node, root`` of every node; ``prints`` has ``node, fp``, distinct and written.
 
     Nodes with a part in common, but for one bit, are linked if they differ in at most
     ``radius`` bits, and in at most ``half`` (``radius`` where not given) in the two words after
     the part's, and if ``alike`` keeps the pair: it gets pairs ``a, b`` (a > b), each once, and
-    returns some of them.
+    returns some of them. With ``sketch``, fingerprints have SKETCH more words, and pairs that differ in
+    more than so many bits of these are no links; ``alike`` isn't asked about nearly all of them.
 
     First each node is held against the smallest one with the same part, which makes groups of
     most families of near copies. Then each asks for its parts and for those one bit away (of
@@ -280,7 +283,12 @@ def wide_roots(prints: DataFrame, radius: int, half: int | None = None, alike: C
     def checked(pairs: DataFrame) -> DataFrame:
         return pairs if alike is None else written(alike(pairs), "alike")
 
-    same = parts(prints)
+    def whole(one: str, two: str) -> Column:
+        """Whether two fingerprints are within the radius, and their sketches too."""
+        within = _apart(_longs(one), _longs(two)) <= radius
+        return within if sketch is None else within & (_apart(_longs(one, LONGS, SKETCH), _longs(two, LONGS, SKETCH)) <= sketch)
+
+    same = parts(prints.select("node", F.slice("fp", 1, LONGS).alias("fp")))
     least = same.groupBy("key").agg(F.min(F.struct("node", "fp")).alias("least"))
     apart = _apart(_longs("fp"), _longs("least.fp"))
     near = (F.col("node") != F.col("least.node")) & (apart <= radius) & (_apart(_words("fp", "key"), _words("least.fp", "key")) <= half)
@@ -293,18 +301,16 @@ def wide_roots(prints: DataFrame, radius: int, half: int | None = None, alike: C
     def held(nodes: DataFrame) -> DataFrame:
         return parts(nodes).select("key", F.col("node").alias("b"), "group", *(w.alias(f"b_{i}") for i, w in enumerate(_words("fp", "key"))))
 
-    def linked(pairs: DataFrame, known: DataFrame) -> DataFrame:
-        """Of the pairs that aren't known, those within the radius."""
-        one, two = (prints.select(F.col("node").alias(x), F.col("fp").alias(f"fp_{x}")) for x in "ab")
-        fresh = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(known, ["a", "b"], "left_anti")
-        return written(fresh.join(one, "a").join(two, "b").filter(_apart(_longs("fp_a"), _longs("fp_b")) <= radius).select("a", "b"), "links")
+    def fresh(pairs: DataFrame, known: DataFrame) -> DataFrame:
+        """The pairs that aren't known, each once."""
+        return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(known, ["a", "b"], "left_anti")
 
     # One node of the lowest group that has a part and one of the highest: each question meets one of another group.
     row = F.struct("group", "b", "b_0", "b_1")
     have = held(nodes).groupBy("key").agg(F.min(row).alias("low"), F.max(row).alias("high"), F.count("*").alias("n"))
     masks = F.array(*(F.lit(1 << i).cast("long") for i in range(PART)))
     around = F.transform(_keys(_longs("fp")), lambda k: F.concat(F.array(k), F.transform(F.filter(masks, lambda m: k.bitwiseAND(m) != 0), lambda m: k.bitwiseXOR(m))))
-    spread = nodes.repartition(ceil((prints.count() + 1) / TASK_ROWS), "node")  # each row becomes some 140 questions
+    spread = nodes.withColumn("fp", F.slice("fp", 1, LONGS)).repartition(ceil((prints.count() + 1) / TASK_ROWS), "node")  # each row becomes some 140 questions
     asks = spread.select(F.col("node").alias("a"), F.col("group").alias("g"), "fp", F.explode(F.flatten(around)).alias("key"))
     # Which values are taken is a bitmap of 12 times 2^21 bits, 3 MB for any table: questions for the others end here.
     page, bit = F.shiftright("key", 15), F.col("key").bitwiseAND(F.lit((1 << 15) - 1))
@@ -320,16 +326,21 @@ def wide_roots(prints: DataFrame, radius: int, half: int | None = None, alike: C
     met = asks.join(have, "key").filter(((F.col("g") != F.col("low.group")) | (F.col("g") != F.col("high.group"))) & ((F.col("n") > 1) | near))
     met = written(met.select("a", "key", "word_1", "word_2", (F.col("n") > 1).alias("more"), F.when(near, other["b"]).alias("b")), "met")
     wait = _across(star.select("a", "b"), nodes).select("a", "b")
-    second = linked(met.filter("b is not null").select("a", "b").union(wait), first)
+    one, two = (prints.select(F.col("node").alias(x), F.col("fp").alias(f"fp_{x}")) for x in "ab")
+    second = fresh(met.filter("b is not null").select("a", "b").union(wait), first)
+    second = written(second.join(one, "a").join(two, "b").filter(whole("fp_a", "fp_b")).select("a", "b"), "links")
     nodes = written(_tied(nodes, checked(second)), "groups")
 
-    # Of the parts that several nodes have, those still in several groups: there every pair of two groups meets.
-    full = met.filter("more").drop("b").join(nodes.select(F.col("node").alias("a"), F.col("group").alias("g")), "a")
-    several = held(nodes).join(full.select("key").distinct(), "key", "left_semi").withColumnRenamed("key", "part")
+    # Of the parts that several nodes have, those still in several groups: there every pair of two groups meets. The
+    # whole distance is a condition of that join, so only links leave it; a node brings its fingerprint once for all its questions.
+    asked = met.filter("more").groupBy("a").agg(F.collect_list(F.struct("key", "word_1", "word_2")).alias("asked"))  # some 140 at most
+    full = asked.join(nodes.select(F.col("node").alias("a"), F.col("group").alias("g"), F.col("fp").alias("fp_a")), "a").select("a", "g", "fp_a", F.inline("asked"))
+    held_whole = parts(nodes).select("key", F.col("node").alias("b"), "group", F.col("fp").alias("fp_b"), *(w.alias(f"b_{i}") for i, w in enumerate(_words("fp", "key"))))
+    several = held_whole.join(full.select("key").distinct(), "key", "left_semi").withColumnRenamed("key", "part")
     groups = several.groupBy("part").agg(F.min("group").alias("low"), F.max("group").alias("high"))
     full = full.join(groups, F.col("key") == F.col("part")).filter("g != low or g != high").drop("part")
-    pairs = full.join(several, (F.col("key") == F.col("part")) & (F.col("g") != F.col("group")) & close(F.col("b_0"), F.col("b_1"))).select("a", "b")
-    third = linked(pairs, first.union(second))
+    meets = (F.col("key") == F.col("part")) & (F.col("g") != F.col("group")) & close(F.col("b_0"), F.col("b_1")) & whole("fp_a", "fp_b")
+    third = written(fresh(full.join(several, meets).select("a", "b"), first.union(second)), "links")
     return _tied(nodes, checked(third)).select("node", F.col("group").alias("root"))
 
 
@@ -339,14 +350,14 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     Alike: the Jaccard similarity of the sets of their shingles (words as in
     ``with_fingerprint``; sets of 64-bit hashes) is at least ``similarity``. Candidates are by
     their wide fingerprints: one of 12 parts differs in at most one bit, and the whole in at
-    most ``bits_apart(similarity)``. So no link is false, and some pairs near the threshold
+    most ``bits_apart(similarity)``, as do SKETCH more words of 64 bits. So no link is false, and some pairs near the threshold
     are missed. Equal fingerprints are one text. Ids, nulls, repeats and empty tables are as in
     ``near_duplicates``; texts without words are copies of one another.
     """
 
     @F.arrow_udf("array<long>")
     def fingerprint(texts: pa.Array) -> pa.Array:
-        return pa.array([wide_simhash(t.as_py(), words, seed) for t in texts.cast(pa.binary())], pa.list_(pa.int64()))
+        return pa.array([wide_simhash(t.as_py(), words, seed, LONGS + SKETCH) for t in texts.cast(pa.binary())], pa.list_(pa.int64()))
 
     @F.arrow_udf("boolean")
     def enough(ones: pa.Array, twos: pa.Array) -> pa.Array:
@@ -373,7 +384,7 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
         one, two = (found.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
         return pairs.select("a", "b").join(one, "a").join(two, "b").filter(enough("text_a", "text_b")).select("a", "b")
 
-    roots = wide_roots(classes.select("node", "fp"), bits_apart(similarity), bits_apart(similarity, 32 * LONGS), alike)
+    roots = wide_roots(classes.select("node", "fp"), bits_apart(similarity), bits_apart(similarity, 32 * LONGS), alike, bits_apart(similarity, 64 * SKETCH))
     rooted = classes.join(roots, "node", "left").select("fp", "least", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return marked.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select(F.col("id").alias(doc_id), "component_id")

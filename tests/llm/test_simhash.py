@@ -153,6 +153,38 @@ def test_wide_fingerprints_of_long_texts_have_no_blocks(monkeypatch):
     assert simhash.wide_simhash(text.encode()) == whole
 
 
+def test_a_family_under_the_similarity_is_refused_by_sketches(spark):
+    """Thirty texts of about 0.68 with one another: their pairs aren't shown to ``alike``, but that of the two of 0.9 is."""
+    r = random.Random(8)
+    words = [f"w{r.randrange(10**6)}" for _ in range(400)]
+
+    def changed(of: list[str], places: int) -> list[str]:
+        own = list(of)
+        for i in r.sample(range(0, 400, 5), places):
+            own[i] = f"x{r.randrange(10**6)}"
+        return own
+
+    texts = [changed(words, 8) for _ in range(30)]
+    texts.append(changed(texts[0], 4))
+    longs = simhash.LONGS + simhash.SKETCH
+    df = spark.createDataFrame([(i, simhash.wide_simhash(" ".join(t).encode(), longs=longs)) for i, t in enumerate(texts)], "node long, fp array<long>")
+    asked = {}
+
+    def counted(name: str):
+        def alike(pairs):
+            rows = [(p.a, p.b) for p in pairs.collect()]
+            asked.setdefault(name, []).extend(rows)
+            return spark.createDataFrame([p for p in rows if p == (30, 0)], "a long, b long")
+
+        return alike
+
+    bits = simhash.bits_apart
+    without = {x.node: x.root for x in simhash.wide_roots(df, bits(0.8), bits(0.8, 128), counted("without")).collect()}
+    got = {x.node: x.root for x in simhash.wide_roots(df, bits(0.8), bits(0.8, 128), counted("with"), bits(0.8, 64 * simhash.SKETCH)).collect()}
+    assert got == without == {i: 0 if i == 30 else i for i in range(31)}
+    assert set(asked["with"]) <= set(asked["without"]) and 4 * len(asked["with"]) < len(asked["without"]), {k: len(v) for k, v in asked.items()}
+
+
 def test_near_copies_hold_to_the_similarity(spark):
     rng = random.Random(7)
     texts = []
