@@ -28,6 +28,7 @@ SCALE, SHIFT = 64, 1_000_000
 LARGEST = 1 << 40  # of an integer component, so that sums of very many stay exact
 CHUNK = 16  # columns of a summed matrix that one row holds
 SLICE = 1 << 18  # numbers multiplied at once
+PART_BYTES = 16 << 20  # of integers that a task of a pass reads, at least (or all)
 SMALL = 1e-13  # residual of a component, relative to the largest eigenvalue
 
 
@@ -79,11 +80,17 @@ def _summed(fit: DataFrame, width: int, columns: int, product: Callable[[np.ndar
     parts = fit.select("x").mapInArrow(part, "i int, j int, v array<double>")
     sums = parts.groupBy("i", "j").agg(F.array(*(F.sum(F.col("v")[c]) for c in range(CHUNK))).alias("v"))
     out = np.zeros((width, ceil(columns / CHUNK) * CHUNK))
-    for r in sums.toLocalIterator():
+    for r in sums.collect():  # one matrix; a job for each partition would cost more than the sums
         out[r.i, r.j * CHUNK : (r.j + 1) * CHUNK] = r.v
     return out[:, :columns]
 
 
+def _in_parts(rows: DataFrame, numbers: int) -> DataFrame:
+    """``rows`` in no more parts than ``numbers`` integers fill, however many partitions or files they come in."""
+    most = max(rows.sparkSession.sparkContext.defaultParallelism, ceil(8 * numbers / PART_BYTES))
+    return rows.coalesce(most) if rows.rdd.getNumPartitions() > most else rows
+
+
 def _centred(n: int, sums: list[int]) -> Callable[[np.ndarray], np.ndarray]:
     """Integer rows less the mean, in double precision: the mean's whole part is taken off in integers."""
     whole = np.array([s // n for s in sums], np.int64)
@@ -102,6 +109,7 @@ def fit(vectors: DataFrame, components: int = 16, vector: str = "embedding", ove
     width = usable(vectors, vector, True).agg(F.max(F.size(vector))).first()[0] or 0
     rows = written(quantised(vectors, vector, "x", width).groupBy("x").agg(F.lit(True).alias("one")).select("x"), "fit-list")
     n = rows.count()
+    rows = _in_parts(rows, n * width)  # every pass costs as many tasks as there are parts
     if not n or not width:
         return Whitening(n, [0] * width, np.zeros((width, 0)), np.zeros(0), 0.0, 0.0, 0, False)
     top = rows.agg(F.max(F.array_max(F.transform("x", lambda x: F.abs(x - SHIFT))))).first()[0]

@@ -91,3 +91,20 @@ def test_deviations_of_large_tables():
         model = whitening.Whitening(n, sums, np.zeros((5, 0)), np.zeros(0), 1.0, 0.0, 1, False)
         rows = np.array([[1_000_000 + r.randrange(-9000, 9000) for _ in range(5)] for _ in range(20)])
         assert [int(d) for d in whitening._deviations(model, rows)] == [sum((n * int(c) - s) ** 2 for c, s in zip(x, sums, strict=True)) for x in rows]
+
+
+def test_a_pass_is_one_job_of_few_tasks_whatever_the_partitions(spark):
+    df = spark.createDataFrame([([i, i * i % 7, 3],) for i in range(600)], "x array<long>").repartition(300)
+    few = whitening._in_parts(df, 1800)
+    assert few.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism and few.count() == 600
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.sparkContext.setJobGroup("a pass", "")
+    try:
+        sums = whitening._summed(few, 3, 1, lambda x: x.sum(axis=0)[:, None])
+    finally:
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("a pass")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert sums[:, 0].tolist() == [sum(range(600)), sum(i * i % 7 for i in range(600)), 1800]
+    assert len(jobs) <= 3  # two shuffles and the result, not one for each partition
