@@ -42,6 +42,7 @@ STREAM = 1 << 20  # characters stepped through together
 CHUNK, RUN_UP = 512, 48  # bytes
 MOST_STATES = 500_000  # kept between streams; some 300 bytes each, with their transitions
 MOST_AGREE = 400_000  # answers kept about pairs of tokens
+FEW = 64  # new transitions that go into the table one by one
 SPREAD = np.uint64(0x9E3779B97F4A7C15)  # an odd multiplier
 BEFORE, AFTER = 4, 3  # characters around a place that decide whether a piece begins there
 END, SPACE, WHITE, LETTER, NUMBER, OTHER = range(6)
@@ -179,6 +180,14 @@ class Transducer:
             self._room(max(2 * len(self.keys), 1 << wanted.bit_length()))
             self._insert(*old)
         self.used += len(keys)
+        if len(keys) <= FEW:
+            most, shift, spread = len(self.keys) - 1, int(self.shift), int(SPREAD)
+            for key, state, gain in zip(keys.tolist(), states.tolist(), gains.tolist(), strict=True):
+                slot = (key * spread & 0xFFFFFFFFFFFFFFFF) >> shift
+                while self.keys[slot] >= 0:
+                    slot = slot + 1 & most
+                self.keys[slot], self.next[slot], self.weight[slot] = key, state, gain
+            return
         slots, left = self._slots(keys), np.arange(len(keys))
         while len(left):
             free = left[self.keys[slots[left]] < 0]
@@ -245,18 +254,22 @@ class Transducer:
         keys = states.astype(np.int64) << 8 | symbols
         slots = self._slots(keys)
         found = self.keys[slots]
-        off = np.flatnonzero(found != keys)
+        off, missing = np.flatnonzero(found != keys), []
         while len(off):
-            new = off[found[off] < 0]
-            if len(new):
-                fresh = np.unique(keys[new])
-                after, gains = zip(*(self.step(key >> 8, key & 255) for key in fresh.tolist()), strict=True)
-                self._insert(fresh, np.array(after, np.int32), np.array(gains, np.int8))
-                return self.advance(states, symbols)
+            free = found[off] < 0
+            missing.append(off[free])
+            off = off[~free]
             slots[off] = (slots[off] + 1) % len(self.keys)
             found[off] = self.keys[slots[off]]
             off = off[found[off] != keys[off]]
-        return self.next[slots], self.weight[slots]
+        after, gains = self.next[slots], self.weight[slots]
+        if missing and len(new := np.concatenate(missing)):
+            fresh, at = np.unique(keys[new], return_inverse=True)
+            made, more = zip(*(self.step(key >> 8, key & 255) for key in fresh.tolist()), strict=True)
+            made, more = np.array(made, np.int32), np.array(more, np.int8)
+            self._insert(fresh, made, more)
+            after[new], gains[new] = made[at], more[at]
+        return after, gains
 
     def weights(self, stream: np.ndarray, reset: np.ndarray, state: int = 0) -> tuple[np.ndarray, int]:
         """The change of the token count at each byte, and the last state; ``reset`` marks the bytes that begin a piece, ``state`` is that before the first."""

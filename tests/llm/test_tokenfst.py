@@ -103,3 +103,15 @@ def test_long_texts_in_windows(counter, monkeypatch):
 def test_a_column_of_the_outputs_name_is_replaced(spark):
     docs = spark.createDataFrame([(1, "a b", "old")], "doc_id long, text string, n_tokens string")
     assert [tuple(r) for r in tokenfst.with_token_counts(docs, PATH).collect()] == [(1, "a b", 2)]
+
+
+def test_a_step_of_all_lanes_is_looked_up_once(monkeypatch):
+    """New transitions are made for the lanes that lack them; the others aren't looked up again."""
+    machine = tokenfst.Transducer([bytes([b]) for b in range(256)] + [b"ab", b"abc"], [(97, 98), (256, 99)], [256, 257])
+    calls, whole = [], tokenfst.Transducer.advance
+    monkeypatch.setattr(tokenfst.Transducer, "advance", lambda self, *a: calls.append(1) or whole(self, *a))
+    text = b"abcab xyz cab " * 300
+    stream = tokenfst.np.frombuffer(text, tokenfst.np.uint8)
+    gains, _ = machine.weights(stream, stream == 32)
+    assert len(calls) == tokenfst.CHUNK + tokenfst.RUN_UP
+    assert int(gains.sum()) == 300 * (len([b"abc", b"ab", b" ", b"x", b"y", b"z", b" ", b"c", b"ab", b" "]))
