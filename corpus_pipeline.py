@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, gam, mixing, simhash
-from millrace.llm.common import table, unused, written
+from millrace.llm.common import small_batches, table, unused, written
 from millrace.llm.queries import WEIGHTS, label_domains
 
 #: Documents of a lower score are rejected.
@@ -28,6 +28,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     go together, null ids are ids like others (their labels are none). Without rows, or labels
     to learn from, the model is a constant. All columns stay, also one named ``score``.
     """
+    small_batches(spark)
     model = gam.learn(docs, table(spark, sf_dir, "labels"))
     score = unused(docs.columns, "score")
     return gam.with_score(docs, model, out=score).filter(F.col(score) >= LEAST_QUALITY).drop(score)
@@ -40,6 +41,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     linked. Texts without words, null ones too, are one group. Rows with a null id all stay; of
     rows that repeat a kept id, one stays. All columns stay; an empty table stays empty.
     """
+    small_batches(spark)
     return simhash.keep_one(docs)
 
 
@@ -49,6 +51,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Each row has a rate by its text (null: empty, of no tokens) and goes or comes that often; rows
     that repeat have equal rates. All columns stay, also one named ``mix``; an empty table stays empty.
     """
+    small_batches(spark)
     model = mixing.learn(docs, label_domains(spark, sf_dir), len(WEIGHTS))
     return mixing.mix(docs, model, WEIGHTS)
 
@@ -58,6 +61,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A row for each row: a null text has no tokens, null and repeated ids stay; other columns go.
     """
+    small_batches(spark)
     ranks, split = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     name = unused(docs.columns, "coded")
     coded = bpe.with_round_trip(docs.select("doc_id", "text"), ranks, split, out=name)

@@ -33,7 +33,7 @@ from millrace.llm.common import blocks, text_of
 
 MEMORY = 100_000  # pieces that a task remembers from earlier blocks
 LONGEST = 48  # characters of a piece that is remembered
-BLOCK = 3 << 20  # characters encoded together
+BLOCK = 1 << 20  # characters encoded together: their pieces take some 20 bytes a character meanwhile
 PORTION = 200_000  # pieces of a longer text encoded together
 SLICE = 1 << 19  # bytes that share a queue, or one piece
 WORD = 6  # bits that index a bitmap word of 64
@@ -388,6 +388,7 @@ def with_ids(docs: DataFrame, ranks_path: str, split: str, text: str = "text", o
 
     @F.arrow_udf("binary")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        pa.set_memory_pool(pa.system_memory_pool())  # gives large blocks back at once
         codec = codec_of()
         for texts in batches:
             for block in blocks(texts, BLOCK):
@@ -424,6 +425,7 @@ def with_round_trip(docs: DataFrame, ranks_path: str, split: str, text: str = "t
 
     @F.arrow_udf("struct<ids: binary, decoded: binary>")
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        pa.set_memory_pool(pa.system_memory_pool())  # gives large blocks back at once
         codec = codec_of()
         for texts in batches:
             for block in blocks(texts, BLOCK):

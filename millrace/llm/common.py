@@ -54,6 +54,20 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Python gets at most ``BATCH_BYTES`` at once from now on, in the whole session, as results are lazy; a lower limit stays.
+
+    By Spark's own limit of 10,000 rows a batch of texts takes tens of MB, which the executor and each of its
+    workers hold two or three times, outside the heap.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("b")) > BATCH_BYTES:  # set as bytes, or Spark's default
+        spark.conf.set(name, BATCH_BYTES)
+
+
 BITS_A_KEY, MOST_BITS = 32, 1 << 28  # of a filter; at most 32 MB are broadcast
 
 

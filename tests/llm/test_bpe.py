@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -108,3 +109,16 @@ def test_query_over_a_whole_table(spark, sf_dir):
         assert r.n_tokens == len(ids)
         assert r.ids_sha256 == hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_pieces_of_a_block_take_little_memory():
+    """The traced peak of encoding 3 M characters, besides the texts and ids themselves."""
+    import tracemalloc
+
+    codec, texts = bpe.Codec(RANKS, PATTERNS), ["some words of a text that come again and again " * 60] * 1100
+    tracemalloc.start()
+    for block in bpe.blocks(pa.array(texts), bpe.BLOCK):
+        codec.encode(block)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20

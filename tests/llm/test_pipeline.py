@@ -2,8 +2,10 @@
 
 import importlib.util
 from collections import Counter
+from collections.abc import Iterator
 
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ if importlib.util.find_spec("corpus_pipeline") is None:
 import corpus_pipeline
 
 from millrace.llm import bpe, gam, mixing
+from millrace.llm.common import BATCH_BYTES
 from millrace.llm.queries import WEIGHTS, label_domains
 from tests.llm.test_simhash import brute_copies
 
@@ -69,3 +72,24 @@ def test_odd_rows(spark, tmp_path):
     told = corpus_pipeline.tokens(spark, docs, where).collect()
     assert ids(told) == Counter(i for i, _, _ in rows) and all(r.exact and (r.n_tokens == 0) == (r.doc_id in (1, 2)) for r in told)
     assert sorted((r.doc_id is None, r.doc_id) for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()) == [(False, 1), (False, 3), (True, None)]
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    """A batch by rows alone holds 4,000 of these texts at once, 32 MB."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        docs = spark.range(4000, numPartitions=1).select(F.col("id").alias("doc_id"), F.rpad(F.lit("words "), 8000, "of a text ").alias("text"))
+        corpus_pipeline.tokens(spark, docs, "")
+
+        @F.arrow_udf("long")
+        def held(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for texts in batches:
+                yield pa.array([texts.nbytes] * len(texts))
+
+        assert docs.select(F.max(held("text"))).first()[0] < 1.1 * BATCH_BYTES
+        spark.conf.set(name, 1000)
+        corpus_pipeline.tokens(spark, docs, "")
+        assert spark.conf.get(name) == "1000"
+    finally:
+        spark.conf.set(name, before)
