@@ -2,9 +2,11 @@
 
 Texts are cut into words once and kept as shards: one language's words as numbers of the
 shard's own word list. A phrase that occurs ``least`` times has only words and pairs that do, so
-words are counted first, then pairs of such words; two bitmaps of at most 32 MB tell shards which
-words and pairs may be frequent (never that one which is isn't). What is left of a shard
-are runs of such pairs. A generalised suffix automaton of bounded depth is built over them,
+words are counted first, then pairs of such words, then the longer phrases of such pairs, these by hashes of 32 bits
+in packed blocks of two or three bytes each; three bitmaps of at most 32 MB tell shards which
+words, pairs and longer phrases may be frequent (never that one which is isn't), and only those are listed
+as texts. What pairs leave of a shard
+are runs. A generalised suffix automaton of bounded depth is built over them,
 level by level with sorts in place of word after word: its nodes are the distinct phrases, each with
 its number of end positions, its longest proper suffix (the link) and its prefix; nodes whose
 link has as many end positions are one state with it. Nodes are listed with their counts, and the sums over all
@@ -14,7 +16,7 @@ at a time, so the largest count of any phrase around it arrives by two small joi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -24,11 +26,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import BITS_A_KEY, MOST_BITS, fresh_path, text_of, written
+from millrace.llm.common import BITS_A_KEY, MOST_BITS, delete, fresh_path, text_of, written
 
 SHARD_BYTES = 12 << 20  # of texts
 FILE_SHARDS = 3  # of a file: rows of megabytes, which a reader of files holds together
 BATCH_TEXTS = 500  # that go to Python at once
+HELD_KEYS = 1 << 21  # that a task adds up before it sends them
+MOST_PARTS = 1 << 13  # of all keys
 DEPTH = 4
 PAGE_BITS = 1 << 15
 #: What parts words, and what ends a piece.
@@ -103,14 +107,16 @@ def shards(docs: DataFrame, lang: str, text: str, shard_bytes: int = SHARD_BYTES
 
 @contextmanager
 def _batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """So many rows at once go to Python in what runs meanwhile: texts may be long, and shards always are."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, rows)
+    """In what runs meanwhile, so many rows at once go to Python (texts may be long, and shards always are), and shuffle files go when their job ends."""
+    now = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    before = {name: spark.conf.get(name) for name in now}
     try:
+        for name, value in now.items():
+            spark.conf.set(name, value)
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def _bitmap(keys: DataFrame) -> np.ndarray:
@@ -131,11 +137,15 @@ def _set(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def _pair(one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """A hash of two words' hashes, in order; of 40 bits, which shuffle as fewer bytes and part hundreds of billions of pairs."""
+def _chain(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Hashes of a phrase and the next word, from the phrase's and the word's."""
     z = one.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + two.view(np.uint64)
-    z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-    return (z >> np.uint64(24)).view(np.int64)
+    return (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _key(hashes: np.ndarray) -> np.ndarray:
+    """The 32 bits of a phrase's hash by which it is counted; few of billions of phrases share them with a frequent one."""
+    return (hashes >> np.uint64(32)).view(np.int64)
 
 
 def _joined(ids: np.ndarray, hashes: np.ndarray, frequent: np.ndarray) -> np.ndarray:
@@ -178,45 +188,122 @@ class Automaton:
             text = pc.binary_join_element_wise(pc.take(text, pa.array(self.prefix[k])), pc.take(words, pa.array(self.last[k] - 1)), " ")
             yield k, text, self.ends[k]
 
+    def hashes(self, words: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Level and hashes of the phrases, from level 2; ``words`` are those of the words from 1."""
+        own = words[np.maximum(self.last[1] - 1, 0)]
+        for k in sorted(self.prefix):
+            own = _chain(own[self.prefix[k]], words[self.last[k] - 1])
+            yield k, own
+
     def states(self) -> dict[int, np.ndarray]:
         """For each level from 2, whether a node is one state with its link: all its end positions are the link's."""
         return {k: self.ends[k] == self.ends[k - 1][link] for k, link in self.link.items()}
 
 
-def _pairs(rows: DataFrame, frequent) -> DataFrame:
-    """Counts ``h, n`` of pairs of words that may be frequent, by the pair's hash, of each shard."""
+def _pack(values: np.ndarray) -> bytes:
+    """Numbers of 32 bits, a byte of each after the other, compressed."""
+    return pa.compress(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T), "zstd", asbytes=True)
+
+
+def _unpack(data: bytes, n: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(pa.decompress(data, 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, n).T).view("<u4").ravel().astype(np.int64)
+
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, rising, and the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    at = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[at], np.add.reduceat(n, at) if len(at) else n
+
+
+def _frequent_keys(rows: DataFrame, counts: Callable[..., Iterator[tuple[np.ndarray, np.ndarray]]], least: int, parts: int) -> DataFrame:
+    """``h``: the keys whose counts, summed over all shards (``h, ids``), reach ``least``.
+
+    ``counts`` gives the keys and counts of a shard. Each task adds up some shards, and sends a block for each of
+    ``parts`` ranges of keys; counts over ``least`` count as ``least``.
+    """
+    width = (1 << 32) // parts
+    schema = pa.schema([("part", pa.int32()), ("size", pa.int32()), ("keys", pa.binary()), ("n", pa.binary())])
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pa.set_memory_pool(pa.system_memory_pool())  # gives large blocks back at once
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def full() -> Iterator[pa.RecordBatch]:
+            keys, n = _summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            n = np.minimum(n, least)
+            cuts = np.searchsorted(keys, np.arange(parts + 1) * width)
+            some = [(p, a, b) for p, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if a < b]
+            for i in range(0, len(some), 256):
+                own = some[i : i + 256]
+                columns = [p for p, _, _ in own], [b - a for _, a, b in own], [_pack(np.diff(keys[a:b], prepend=p * width)) for p, a, b in own], [_pack(n[a:b]) for _, a, b in own]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
         for batch in batches:
             for h, packed in zip(batch.column("h"), batch.column("ids"), strict=True):
-                hashes, ids = h.values.to_numpy(), np.frombuffer(packed.as_py(), np.int32)
-                at = np.flatnonzero(_joined(ids, hashes, frequent.value))
-                both, n = np.unique(ids[at].astype(np.int64) * (len(hashes) + 1) + ids[at + 1], return_counts=True)
-                key = _pair(hashes[both // (len(hashes) + 1) - 1], hashes[both % (len(hashes) + 1) - 1])
-                for i in range(0, len(key), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(key[i : i + (1 << 16)]), pa.array(n[i : i + (1 << 16)])], ["h", "n"])
+                held += [x for x in counts(np.frombuffer(packed.as_py(), np.int32), h.values.to_numpy()) if len(x[0])]
+                if sum(len(keys) for keys, _ in held) >= HELD_KEYS:
+                    yield from full()
+                    held.clear()
+        if held:
+            yield from full()
+
+    def sums(group: pa.Table) -> pa.Table:
+        found = [(_unpack(k, size), _unpack(n, size)) for size, k, n in zip(*(group[c].to_pylist() for c in ("size", "keys", "n")), strict=True)]
+        keys, n = _summed(np.concatenate([np.cumsum(k) for k, _ in found]), np.concatenate([n for _, n in found]))
+        return pa.table({"h": keys[n >= least] + group["part"][0].as_py() * width})
+
+    return rows.select("h", "ids").mapInArrow(blocks, "part int, size int, keys binary, n binary").groupBy("part").applyInArrow(sums, "h long")
+
+
+def _pairs(frequent) -> Callable[..., Iterator[tuple[np.ndarray, np.ndarray]]]:
+    """What counts a shard's pairs of words that may be frequent."""
+
+    def pairs(ids: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        at = np.flatnonzero(_joined(ids, hashes, frequent.value))
+        both, n = np.unique(ids[at].astype(np.int64) * (len(hashes) + 1) + ids[at + 1], return_counts=True)
+        yield _key(_chain(hashes[both // (len(hashes) + 1) - 1], hashes[both % (len(hashes) + 1) - 1])), n
+
+    return pairs
 
-    return rows.select("h", "ids").mapInArrow(pairs, "h long, n long")
 
+def _machine(ids: np.ndarray, hashes: np.ndarray, frequent, linked, depth: int) -> Automaton | None:
+    """The automaton of a shard's runs of pairs that may be frequent; none without such."""
+    joined = _joined(ids, hashes, frequent.value)
+    at = np.flatnonzero(joined)
+    joined[at] = _set(linked.value, _key(_chain(hashes[ids[at] - 1], hashes[ids[at + 1] - 1])))
+    kept = np.concatenate([joined, [False]]) | np.concatenate([[False], joined])  # words of runs alone
+    runs = ids[kept]
+    return Automaton(runs, joined[kept[:-1]][: len(runs) - 1], depth) if len(runs) else None
 
-def _phrases(rows: DataFrame, frequent, linked, depth: int) -> DataFrame:
-    """Counts ``lang, phrase, k, n`` of the phrases of 2 to ``depth`` words in each shard's automaton."""
+
+def _longer(frequent, linked, depth: int) -> Callable[..., Iterator[tuple[np.ndarray, np.ndarray]]]:
+    """What counts a shard's phrases of 3 to ``depth`` words, of pairs that may be frequent."""
+
+    def longer(ids: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        machine = _machine(ids, hashes, frequent, linked, depth)
+        if machine is not None:
+            yield from ((_key(h), machine.ends[k]) for k, h in machine.hashes(hashes) if k > 2)
+
+    return longer
+
+
+def _phrases(rows: DataFrame, frequent, linked, often, depth: int) -> DataFrame:
+    """Counts ``lang, phrase, k, n`` of the phrases of 2 to ``depth`` words in each shard's automaton that may be frequent."""
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pa.set_memory_pool(pa.system_memory_pool())  # gives large blocks back at once
         for batch in batches:
             for lang, words, h, packed in zip(*(batch.column(c) for c in ("lang", "words", "h", "ids")), strict=True):
-                hashes, ids = h.values.to_numpy(), np.frombuffer(packed.as_py(), np.int32)
-                joined = _joined(ids, hashes, frequent.value)
-                at = np.flatnonzero(joined)
-                joined[at] = _set(linked.value, _pair(hashes[ids[at] - 1], hashes[ids[at + 1] - 1]))
-                kept = np.concatenate([joined, [False]]) | np.concatenate([[False], joined])  # words of runs alone
-                runs = ids[kept]
-                if not len(runs):
+                hashes = h.values.to_numpy()
+                machine = _machine(np.frombuffer(packed.as_py(), np.int32), hashes, frequent, linked, depth)
+                if machine is None:
                     continue
-                machine = Automaton(runs, joined[kept[:-1]][: len(runs) - 1], depth)
+                kept = {k: np.flatnonzero(_set(often.value, _key(h))) for k, h in machine.hashes(hashes) if k > 2}
                 for k, phrases, ends in machine.phrases(words.values):
+                    if k > 2:
+                        phrases, ends = pc.take(phrases, pa.array(kept[k])), ends[kept[k]]
                     for i in range(0, len(ends), 1 << 15):
                         n = min(len(ends) - i, 1 << 15)
                         yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()] * n, pa.string()), phrases.slice(i, n), pa.array([k] * n, pa.int32()), pa.array(ends[i : i + n], pa.int64())], ["lang", "phrase", "k", "n"])
@@ -257,18 +344,19 @@ def mine(docs: DataFrame, least: int = 30, most: int = 2000, lang: str = "lang",
     path = fresh_path(spark, "shards")
     made = shards(docs, lang, text, shard_bytes)
     with _batches(spark, BATCH_TEXTS):
-        made.write.option("maxRecordsPerFile", FILE_SHARDS).parquet(path)
+        made.write.option("maxRecordsPerFile", FILE_SHARDS).option("compression", "zstd").parquet(path)
     rows = spark.read.schema(made.schema).parquet(path)
-    one = rows.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).groupBy("lang", F.col("w.words").alias("phrase")).agg(F.sum("w.counts").alias("a"))
-    one = written(one, "words")
+    parts = min(MOST_PARTS, 1 << (rows.count() // 4).bit_length())
     often = F.col("a") >= least
-    frequent = context.broadcast(_bitmap(one.filter(often).select(F.xxhash64("lang", "phrase").alias("h"))))
-    pairs = _pairs(rows, frequent).groupBy("h").agg(F.sum("n").alias("a")).filter(often)
-    with _batches(spark, 1):
-        linked = context.broadcast(_bitmap(written(pairs.select("h"), "pairs")))
-    counted = _phrases(rows, frequent, linked, depth).groupBy("lang", "phrase", "k").agg(F.sum("n").alias("a")).filter(often)
     with _batches(spark, 1):
+        one = rows.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).groupBy("lang", F.col("w.words").alias("phrase")).agg(F.sum("w.counts").alias("a"))
+        one = written(one, "words")
+        frequent = context.broadcast(_bitmap(one.filter(often).select(F.xxhash64("lang", "phrase").alias("h"))))
+        linked = context.broadcast(_bitmap(written(_frequent_keys(rows, _pairs(frequent), least, parts), "pairs")))
+        longer = context.broadcast(_bitmap(written(_frequent_keys(rows, _longer(frequent, linked, depth), least, parts), "longer")))
+        counted = _phrases(rows, frequent, linked, longer, depth).groupBy("lang", "phrase", "k").agg(F.sum("n").alias("a")).filter(often)
         phrases = written(counted, "phrases")
+    delete(spark, path)
     around = _around(phrases, depth)
     kept = around.filter(F.col("around").isNull() | (F.col("around") * F.lit(5).cast("decimal(9,0)") < F.col("a") * F.lit(4).cast("decimal(9,0)")))
 

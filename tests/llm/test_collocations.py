@@ -107,3 +107,24 @@ def test_long_texts_are_cut_where_pieces_end():
 def test_query_against_sql(spark):
     sf = "/root/testdata/sf0.01"
     compare(spark, connection(sf), "op13_collocations", QUERIES["op13_collocations"], ORACLES["op13_collocations"], sf)
+
+
+def test_only_what_may_be_frequent_is_listed_as_text(spark, monkeypatch):
+    """Phrases of frequent pairs that aren't frequent themselves go by packed hashes alone."""
+    r = random.Random(4)
+    rows = [("en", " ".join(r.choice("abcdefghij") for _ in range(30))) for _ in range(40)]
+    listed, made = [], collocations._phrases
+    monkeypatch.setattr(collocations, "_phrases", lambda *a: listed.append(made(*a)) or listed[0])
+    monkeypatch.setattr(collocations, "delete", lambda *_: None)
+    monkeypatch.setattr(collocations, "HELD_KEYS", 50)
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    assert sorted(map(tuple, collocations.mine(df, 5, 100, shard_bytes=300).collect())) == brute(rows, 5, 100)
+    texts = Counter(r.phrase for r in listed[0].collect())
+    counts = Counter(" ".join(w[i : i + k]) for _, t in rows for w in [t.split()] for k in (2, 3, 4) for i in range(len(w) - k + 1))
+    frequent = {p for p, a in counts.items() if a >= 5}
+    assert frequent <= set(texts) and len(texts) < 1.1 * len(frequent) and len(frequent) < 0.5 * len(counts)
+
+
+def test_packed_numbers():
+    values = np.array([0, 1, 255, 2**31, 2**32 - 1])
+    assert collocations._unpack(collocations._pack(values), len(values)).tolist() == values.tolist()
