@@ -64,7 +64,7 @@ def small_batches(spark: SparkSession) -> None:
     workers hold two or three times, outside the heap.
     """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(name).rstrip("b")) > BATCH_BYTES:  # set as bytes, or Spark's default
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > BATCH_BYTES:  # it may say 64m
         spark.conf.set(name, BATCH_BYTES)
 
 
