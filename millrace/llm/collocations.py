@@ -5,7 +5,7 @@ shard's own word list. A phrase that occurs ``least`` times has only words and p
 words are counted first, then pairs of such words, then the longer phrases of such pairs, these by hashes of 32 bits
 in packed blocks of two or three bytes each; three bitmaps of at most 32 MB tell shards which
 words, pairs and longer phrases may be frequent (never that one which is isn't), and only those are listed
-as texts. What pairs leave of a shard
+as texts, in packed blocks too. What pairs leave of a shard
 are runs. A generalised suffix automaton of bounded depth is built over them,
 level by level with sorts in place of word after word: its nodes are the distinct phrases, each with
 its number of end positions, its longest proper suffix (the link) and its prefix; nodes whose
@@ -289,8 +289,13 @@ def _longer(frequent, linked, depth: int) -> Callable[..., Iterator[tuple[np.nda
     return longer
 
 
-def _phrases(rows: DataFrame, frequent, linked, often, depth: int) -> DataFrame:
-    """Counts ``lang, phrase, k, n`` of the phrases of 2 to ``depth`` words in each shard's automaton that may be frequent."""
+def _phrases(rows: DataFrame, frequent, linked, often, depth: int, least: int, parts: int) -> DataFrame:
+    """``lang, phrase, k, a``: phrases of 2 to ``depth`` words and their counts over all shards, if those reach ``least``.
+
+    A shard's phrases that may be frequent go in a block for each of ``parts`` ranges of their keys, and are summed by their texts.
+    """
+    width = (1 << 32) // parts
+    schema = pa.schema([("part", pa.int32()), ("lang", pa.string()), ("size", pa.int32()), ("bytes", pa.int32()), ("phrases", pa.binary()), ("n", pa.binary())])
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pa.set_memory_pool(pa.system_memory_pool())  # gives large blocks back at once
@@ -300,15 +305,36 @@ def _phrases(rows: DataFrame, frequent, linked, often, depth: int) -> DataFrame:
                 machine = _machine(np.frombuffer(packed.as_py(), np.int32), hashes, frequent, linked, depth)
                 if machine is None:
                     continue
-                kept = {k: np.flatnonzero(_set(often.value, _key(h))) for k, h in machine.hashes(hashes) if k > 2}
+                keys = {k: _key(h) for k, h in machine.hashes(hashes)}
+                kept = {k: np.arange(len(x)) if k == 2 else np.flatnonzero(_set(often.value, x)) for k, x in keys.items()}
+                texts, n, key = [], [], []
                 for k, phrases, ends in machine.phrases(words.values):
-                    if k > 2:
-                        phrases, ends = pc.take(phrases, pa.array(kept[k])), ends[kept[k]]
-                    for i in range(0, len(ends), 1 << 15):
-                        n = min(len(ends) - i, 1 << 15)
-                        yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()] * n, pa.string()), phrases.slice(i, n), pa.array([k] * n, pa.int32()), pa.array(ends[i : i + n], pa.int64())], ["lang", "phrase", "k", "n"])
+                    texts.append(pc.take(phrases, pa.array(kept[k])))
+                    n.append(ends[kept[k]])
+                    key.append(keys[k][kept[k]] // width)
+                part, n = np.concatenate(key), np.concatenate(n)
+                order = np.argsort(part, kind="stable")
+                texts, n = pc.take(pa.concat_arrays(texts), pa.array(order)), n[order]
+                cuts = np.searchsorted(part[order], np.arange(parts + 1)).tolist()
+                for p, (at, end) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                    if at < end:
+                        text = "\n".join(texts.slice(at, end - at).to_pylist()).encode()
+                        yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((p, lang.as_py(), end - at, len(text), pa.compress(text, "zstd", asbytes=True), _pack(n[at:end])), schema, strict=True)], schema=schema)
+
+    def sums(group: pa.Table) -> pa.Table:
+        found = []
+        for lang in pc.unique(group["lang"]):
+            own = group.filter(pc.equal(group["lang"], lang))
+            texts = [pa.array(pa.decompress(t, size, "zstd", asbytes=True).decode().split("\n"), pa.string()) for size, t in zip(own["bytes"].to_pylist(), own["phrases"].to_pylist(), strict=True)]
+            n = np.concatenate([_unpack(x, size) for size, x in zip(own["size"].to_pylist(), own["n"].to_pylist(), strict=True)])
+            some = pa.table({"phrase": pa.chunked_array(texts), "n": n}).group_by("phrase").aggregate([("n", "sum")])
+            some = some.filter(pc.greater_equal(some["n_sum"], least))
+            k = pc.add(pc.count_substring(some["phrase"], " "), pa.scalar(1, pa.int32()))
+            found.append(pa.table({"lang": pa.array([lang.as_py()] * len(some), pa.string()), "phrase": some["phrase"], "k": k, "a": some["n_sum"]}))
+        return pa.concat_tables(found)
 
-    return rows.select("lang", "words", "h", "ids").mapInArrow(listed, "lang string, phrase string, k int, n long")
+    blocks = rows.select("lang", "words", "h", "ids").mapInArrow(listed, "part int, lang string, size int, bytes int, phrases binary, n binary")
+    return blocks.groupBy("part").applyInArrow(sums, "lang string, phrase string, k int, a long")
 
 
 def _around(phrases: DataFrame, depth: int) -> DataFrame:
@@ -354,8 +380,7 @@ def mine(docs: DataFrame, least: int = 30, most: int = 2000, lang: str = "lang",
         frequent = context.broadcast(_bitmap(one.filter(often).select(F.xxhash64("lang", "phrase").alias("h"))))
         linked = context.broadcast(_bitmap(written(_frequent_keys(rows, _pairs(frequent), least, parts), "pairs")))
         longer = context.broadcast(_bitmap(written(_frequent_keys(rows, _longer(frequent, linked, depth), least, parts), "longer")))
-        counted = _phrases(rows, frequent, linked, longer, depth).groupBy("lang", "phrase", "k").agg(F.sum("n").alias("a")).filter(often)
-        phrases = written(counted, "phrases")
+        phrases = written(_phrases(rows, frequent, linked, longer, depth, least, max(1, parts // 4)), "phrases")
     delete(spark, path)
     around = _around(phrases, depth)
     kept = around.filter(F.col("around").isNull() | (F.col("around") * F.lit(5).cast("decimal(9,0)") < F.col("a") * F.lit(4).cast("decimal(9,0)")))

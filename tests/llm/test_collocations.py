@@ -114,7 +114,7 @@ def test_only_what_may_be_frequent_is_listed_as_text(spark, monkeypatch):
     r = random.Random(4)
     rows = [("en", " ".join(r.choice("abcdefghij") for _ in range(30))) for _ in range(40)]
     listed, made = [], collocations._phrases
-    monkeypatch.setattr(collocations, "_phrases", lambda *a: listed.append(made(*a)) or listed[0])
+    monkeypatch.setattr(collocations, "_phrases", lambda *a: listed.append(made(*a[:5], 1, a[6])) or made(*a))  # all that are listed
     monkeypatch.setattr(collocations, "delete", lambda *_: None)
     monkeypatch.setattr(collocations, "HELD_KEYS", 50)
     df = spark.createDataFrame(rows, "lang string, text string").repartition(3)
