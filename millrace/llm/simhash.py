@@ -43,6 +43,7 @@ CROWDED = 64
 TASK_ROWS = 50_000  # fingerprints whose questions one task asks
 LONGS, PART = 4, 21  # of a wide fingerprint: 64-bit words, and bits of each of the three parts of a word
 SKETCH = 16  # more words, that no part is cut from: they tell texts under the similarity from those over it
+PARITY = 16  # words of the parities of a set of hashes; the set's size follows them
 
 
 def _set_bits(hashes: np.ndarray) -> np.ndarray:
@@ -198,7 +199,10 @@ def shingle_hashes(text: bytes, words: int = 5, seed: int = 42) -> np.ndarray:
 
 def wide_simhash(text: bytes, words: int = 5, seed: int = 42, longs: int = LONGS) -> list[int]:
     """A fingerprint of ``longs`` signed longs of a UTF-8 text, over its distinct shingles; no words give zeros."""
-    hashes = shingle_hashes(text, words, seed)
+    return _wide(shingle_hashes(text, words, seed), longs)
+
+
+def _wide(hashes: np.ndarray, longs: int) -> list[int]:
     counts = np.zeros(64 * longs, np.int64)
     block = BLOCK * LONGS // longs
     for at in range(0, len(hashes), block):
@@ -207,6 +211,16 @@ def wide_simhash(text: bytes, words: int = 5, seed: int = 42, longs: int = LONGS
     return np.packbits(2 * counts > len(hashes), bitorder="little").view(np.int64).tolist()
 
 
+def parities(hashes: np.ndarray) -> list[int]:
+    """PARITY signed longs, then the number of hashes: each bit is the parity of the hashes that fall on it.
+
+    A hash that two sets share leaves no trace in the difference of their bits, and any other
+    changes one bit: so sets differ in at least as many hashes as bits, whatever falls together.
+    """
+    odd = np.bincount((hashes % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+    return [*np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).tolist(), len(hashes)]
+
+
 def as_alike(one: np.ndarray, two: np.ndarray, similarity: float) -> bool:
     """Whether two sets of hashes have at least this Jaccard similarity; two empty ones have."""
     if min(len(one), len(two)) < similarity * max(len(one), len(two)) - 1e-9:
@@ -257,7 +271,7 @@ def _tied(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(joined, "group", "left").select("node", "fp", F.coalesce("root", "group").alias("group"))
 
 
-def wide_roots(prints: DataFrame, radius: int, half: int | None = None, alike: Callable[[DataFrame], DataFrame] | None = None, sketch: int | None = None) -> DataFrame:
+def wide_roots(prints: DataFrame, radius: int, half: int | None = None, alike: Callable[[DataFrame], DataFrame] | None = None, sketch: int | None = None, similarity: float | None = None) -> DataFrame:
     """Columns ``node, root`` of every node; ``prints`` has ``node, fp``, distinct and written.
 
     Nodes with a part in common, but for one bit, are linked if they differ in at most
@@ -265,12 +279,17 @@ def wide_roots(prints: DataFrame, radius: int, half: int | None = None, alike: C
     the part's, and if ``alike`` keeps the pair: it gets pairs ``a, b`` (a > b), each once, and
     returns some of them. With ``sketch``, fingerprints have SKETCH more words, and pairs that differ in
     more than so many bits of these are no links; ``alike`` isn't asked about nearly all of them.
+    With ``similarity`` (and ``sketch``), the ``parities`` of the node's hashes follow, and pairs that these prove
+    to be below it are no links: exactly, so a set that ``alike`` would keep is never lost by them. Of sets of some
+    hundred hashes they leave few that it would refuse; of thousands, the sketch alone tells.
 
     First each node is held against the smallest one with the same part, which makes groups of
     most families of near copies. Then each asks for its parts and for those one bit away (of
     two such values, the one with the bit set asks), and is answered only where another group
-    has the part: so the links made within a family grow with its members, not with their
-    pairs, and the groups at the end are those of all links. No pair is shown to ``alike`` twice.
+    has the part. Of the answers between two groups the closest is tried, and the groups are made one if it
+    holds. What is asked between groups that are still apart then meets all that have the part: again the closest
+    link of two groups is tried first, and the others if they stay apart. So the links made within a family grow with its
+    members, not with their pairs, and the groups at the end are those of all links. No pair is shown to ``alike`` twice.
 
     Distances are conditions of the joins. A question brings two of four words with it, and chance
     matches of a part nearly all differ in too many of their bits.
@@ -284,9 +303,15 @@ def wide_roots(prints: DataFrame, radius: int, half: int | None = None, alike: C
         return pairs if alike is None else written(alike(pairs), "alike")
 
     def whole(one: str, two: str) -> Column:
-        """Whether two fingerprints are within the radius, and their sketches too."""
+        """Whether two fingerprints are within the radius, their sketches too, and their parities allow the similarity."""
         within = _apart(_longs(one), _longs(two)) <= radius
-        return within if sketch is None else within & (_apart(_longs(one, LONGS, SKETCH), _longs(two, LONGS, SKETCH)) <= sketch)
+        if sketch is not None:
+            within &= _apart(_longs(one, LONGS, SKETCH), _longs(two, LONGS, SKETCH)) <= sketch
+        if similarity is not None:
+            odd, n = LONGS + SKETCH, LONGS + SKETCH + PARITY
+            differ = F.greatest(_apart(_longs(one, odd, PARITY), _longs(two, odd, PARITY)), F.abs(F.col(one)[n] - F.col(two)[n]))
+            within &= differ <= (F.col(one)[n] + F.col(two)[n]) * ((1 - similarity) / (1 + similarity)) + 1e-6
+        return within
 
     same = parts(prints.select("node", F.slice("fp", 1, LONGS).alias("fp")))
     least = same.groupBy("key").agg(F.min(F.struct("node", "fp")).alias("least"))
@@ -321,27 +346,37 @@ def wide_roots(prints: DataFrame, radius: int, half: int | None = None, alike: C
     def close(one: Column, two: Column) -> Column:
         return _apart([F.col("word_1"), F.col("word_2")], [one, two]) <= half
 
+    def closest(pairs: DataFrame) -> DataFrame:
+        """Of pairs ``a, b, g_a, g_b, apart`` the closest of each two groups."""
+        of = (F.least("g_a", "g_b").alias("low"), F.greatest("g_a", "g_b").alias("high"))
+        return pairs.groupBy(*of).agg(F.min(F.struct("apart", "a", "b")).alias("pair")).select("pair.a", "pair.b")
+
     other = F.when(F.col("g") != F.col("low.group"), F.col("low")).otherwise(F.col("high"))
     near = close(other["b_0"], other["b_1"])
     met = asks.join(have, "key").filter(((F.col("g") != F.col("low.group")) | (F.col("g") != F.col("high.group"))) & ((F.col("n") > 1) | near))
-    met = written(met.select("a", "key", "word_1", "word_2", (F.col("n") > 1).alias("more"), F.when(near, other["b"]).alias("b")), "met")
-    wait = _across(star.select("a", "b"), nodes).select("a", "b")
+    two_words = _apart([F.col("word_1"), F.col("word_2")], [other["b_0"], other["b_1"]])
+    met = met.select("a", F.col("g").alias("g_a"), "key", "word_1", "word_2", F.when(near, other["b"]).alias("b"), other["group"].alias("g_b"), two_words.alias("apart"))
+    met = written(met, "met")
     one, two = (prints.select(F.col("node").alias(x), F.col("fp").alias(f"fp_{x}")) for x in "ab")
-    second = fresh(met.filter("b is not null").select("a", "b").union(wait), first)
+    second = fresh(closest(met.filter("b is not null")), first)
     second = written(second.join(one, "a").join(two, "b").filter(whole("fp_a", "fp_b")).select("a", "b"), "links")
     nodes = written(_tied(nodes, checked(second)), "groups")
 
-    # Of the parts that several nodes have, those still in several groups: there every pair of two groups meets. The
+    # Of the parts that are asked for, those still in several groups: there every pair of two groups meets. The
     # whole distance is a condition of that join, so only links leave it; a node brings its fingerprint once for all its questions.
-    asked = met.filter("more").groupBy("a").agg(F.collect_list(F.struct("key", "word_1", "word_2")).alias("asked"))  # some 140 at most
+    asked = met.groupBy("a").agg(F.collect_list(F.struct("key", "word_1", "word_2")).alias("asked"))  # some 140 at most
     full = asked.join(nodes.select(F.col("node").alias("a"), F.col("group").alias("g"), F.col("fp").alias("fp_a")), "a").select("a", "g", "fp_a", F.inline("asked"))
-    held_whole = parts(nodes).select("key", F.col("node").alias("b"), "group", F.col("fp").alias("fp_b"), *(w.alias(f"b_{i}") for i, w in enumerate(_words("fp", "key"))))
-    several = held_whole.join(full.select("key").distinct(), "key", "left_semi").withColumnRenamed("key", "part")
+    several = held(nodes).join(met.select("key").distinct(), "key", "left_semi").withColumnRenamed("key", "part")
     groups = several.groupBy("part").agg(F.min("group").alias("low"), F.max("group").alias("high"))
+    several = several.join(two, "b")
     full = full.join(groups, F.col("key") == F.col("part")).filter("g != low or g != high").drop("part")
     meets = (F.col("key") == F.col("part")) & (F.col("g") != F.col("group")) & close(F.col("b_0"), F.col("b_1")) & whole("fp_a", "fp_b")
-    third = written(fresh(full.join(several, meets).select("a", "b"), first.union(second)), "links")
-    return _tied(nodes, checked(third)).select("node", F.col("group").alias("root"))
+    third = full.join(several, meets).select("a", "b", F.col("g").alias("g_a"), F.col("group").alias("g_b"), _apart(_longs("fp_a"), _longs("fp_b")).alias("apart"))
+    third = written(third.distinct(), "links")
+    tried = written(fresh(closest(third), first.union(second)), "links")
+    nodes = written(_tied(nodes, checked(tried)), "groups")
+    rest = fresh(_across(third.select("a", "b"), nodes), first.union(second).union(tried))
+    return _tied(nodes, checked(written(rest, "links"))).select("node", F.col("group").alias("root"))
 
 
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
@@ -351,13 +386,14 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     ``with_fingerprint``; sets of 64-bit hashes) is at least ``similarity``. Candidates are by
     their wide fingerprints: one of 12 parts differs in at most one bit, and the whole in at
     most ``bits_apart(similarity)``, as do SKETCH more words of 64 bits. So no link is false, and some pairs near the threshold
-    are missed. Equal fingerprints are one text. Ids, nulls, repeats and empty tables are as in
+    are missed. Most that aren't alike are refused by their ``parities`` before texts are fetched; these miss none. Equal fingerprints are one text. Ids, nulls, repeats and empty tables are as in
     ``near_duplicates``; texts without words are copies of one another.
     """
 
     @F.arrow_udf("array<long>")
     def fingerprint(texts: pa.Array) -> pa.Array:
-        return pa.array([wide_simhash(t.as_py(), words, seed, LONGS + SKETCH) for t in texts.cast(pa.binary())], pa.list_(pa.int64()))
+        hashes = (shingle_hashes(t.as_py(), words, seed) for t in texts.cast(pa.binary()))
+        return pa.array([_wide(h, LONGS + SKETCH) + parities(h) for h in hashes], pa.list_(pa.int64()))
 
     @F.arrow_udf("boolean")
     def enough(ones: pa.Array, twos: pa.Array) -> pa.Array:
@@ -369,8 +405,10 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
         return pa.array(out, pa.bool_())
 
     rows = docs.select(F.col(doc_id).alias("id"), text_of(text).alias("text")).withColumn("mark", F.xxhash64("text"))
-    marked = written(rows.select("id", "mark", fingerprint("text").alias("fp")), "marked")
-    classes = marked.groupBy("fp").agg(F.min("id").alias("least"), F.min(F.struct("id", "mark")).alias("row"))
+    longs = LONGS + SKETCH
+    marked = rows.select("id", "mark", fingerprint("text").alias("all")).select("id", "mark", F.slice("all", 1, longs).alias("fp"), F.slice("all", longs + 1, PARITY + 1).alias("odd"))
+    marked = written(marked, "marked")
+    classes = marked.groupBy("fp").agg(F.min("id").alias("least"), F.min(F.struct("id", "mark", "odd")).alias("row"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # fixed once written
     repeated = not marked.groupBy("id", "mark").count().filter("count > 1").isEmpty()
 
@@ -384,7 +422,8 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
         one, two = (found.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
         return pairs.select("a", "b").join(one, "a").join(two, "b").filter(enough("text_a", "text_b")).select("a", "b")
 
-    roots = wide_roots(classes.select("node", "fp"), bits_apart(similarity), bits_apart(similarity, 32 * LONGS), alike, bits_apart(similarity, 64 * SKETCH))
+    prints = classes.select("node", F.concat("fp", "row.odd").alias("fp"))
+    roots = wide_roots(prints, bits_apart(similarity), bits_apart(similarity, 32 * LONGS), alike, bits_apart(similarity, 64 * SKETCH), similarity)
     rooted = classes.join(roots, "node", "left").select("fp", "least", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return marked.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select(F.col("id").alias(doc_id), "component_id")

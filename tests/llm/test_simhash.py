@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
@@ -185,6 +186,45 @@ def test_a_family_under_the_similarity_is_refused_by_sketches(spark):
     assert set(asked["with"]) <= set(asked["without"]) and 4 * len(asked["with"]) < len(asked["without"]), {k: len(v) for k, v in asked.items()}
 
 
+def test_parities_never_refuse_sets_that_are_alike():
+    rng = np.random.default_rng(9)
+    for size, own in ((0, 1), (3, 0), (150, 10), (150, 40), (900, 300), (20_000, 3000)):
+        shared = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+        one, two = (np.unique(np.concatenate([shared, rng.integers(0, 1 << 63, own, dtype=np.uint64)])) for _ in range(2))
+        a, b = simhash.parities(one), simhash.parities(two)
+        apart = sum(((x ^ y) & M).bit_count() for x, y in zip(a[:-1], b[:-1], strict=True))
+        differ = len(np.setxor1d(one, two))
+        assert len(a) == simhash.PARITY + 1 and a[-1] == len(one) and apart <= differ and (differ - apart) % 2 == 0
+        assert differ > 100 or apart >= differ - 12  # little falls together
+
+
+def test_texts_compared_grow_with_a_family_not_with_its_pairs(spark, monkeypatch):
+    """Copies of one text with up to four changed words, of about 0.6 to 0.9 with one another: half and whole of them."""
+    rng, texts = random.Random(10), []
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    for _ in range(160):
+        own = list(base)
+        for i in rng.sample(range(150), rng.randrange(1, 5)):
+            own[i] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(own))
+    roots, shown = simhash.wide_roots, []
+
+    def counted(prints, radius, half, alike, *more):
+        def count(pairs):
+            shown[-1] += pairs.count()
+            return alike(pairs)
+
+        return roots(prints, radius, half, count, *more)
+
+    monkeypatch.setattr(simhash, "wide_roots", counted)
+    for n in (80, 160):
+        shown.append(0)
+        docs = spark.createDataFrame(list(enumerate(texts[:n])), "doc_id long, text string")
+        got = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
+        assert got == brute_copies(dict(enumerate(texts[:n])))
+    assert shown[0] <= 3 * 80 and shown[1] <= 3 * 160, shown
+
+
 def test_near_copies_hold_to_the_similarity(spark):
     rng = random.Random(7)
     texts = []
