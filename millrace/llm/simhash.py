@@ -343,19 +343,23 @@ def wide_roots(prints: DataFrame, radius: int, half: int | None = None, alike: C
     asks = asks.join(F.broadcast(taken), page == F.col("page")).filter(bit_at(F.col("bits"), bit.cast("int")))
     asks = asks.select("a", "g", "key", *_words("fp", "key"))
 
-    def close(one: Column, two: Column) -> Column:
-        return _apart([F.col("word_1"), F.col("word_2")], [one, two]) <= half
+    def two_words(row: Column) -> Column:
+        return _apart([F.col("word_1"), F.col("word_2")], [row["b_0"], row["b_1"]])
 
     def closest(pairs: DataFrame) -> DataFrame:
         """Of pairs ``a, b, g_a, g_b, apart`` the closest of each two groups."""
         of = (F.least("g_a", "g_b").alias("low"), F.greatest("g_a", "g_b").alias("high"))
         return pairs.groupBy(*of).agg(F.min(F.struct("apart", "a", "b")).alias("pair")).select("pair.a", "pair.b")
 
-    other = F.when(F.col("g") != F.col("low.group"), F.col("low")).otherwise(F.col("high"))
-    near = close(other["b_0"], other["b_1"])
-    met = asks.join(have, "key").filter(((F.col("g") != F.col("low.group")) | (F.col("g") != F.col("high.group"))) & ((F.col("n") > 1) | near))
-    two_words = _apart([F.col("word_1"), F.col("word_2")], [other["b_0"], other["b_1"]])
-    met = met.select("a", F.col("g").alias("g_a"), "key", "word_1", "word_2", F.when(near, other["b"]).alias("b"), other["group"].alias("g_b"), two_words.alias("apart"))
+    def answer(row: Column) -> Column:
+        return F.struct(row["b"].alias("b"), row["group"].alias("g_b"), two_words(row).alias("apart"))
+
+    # Two nodes or one that have a part are known whole, and a question that is close to neither ends here, as nearly all chance matches do.
+    ends = [F.col("low"), F.col("high")]
+    other = [F.col("g") != x["group"] for x in ends]
+    near = [o & (two_words(x) <= half) for o, x in zip(other, ends, strict=True)]
+    met = asks.join(have, "key").filter((other[0] | other[1]) & ((F.col("n") > 2) | near[0] | near[1]))
+    met = met.select("a", F.col("g").alias("g_a"), "key", "word_1", "word_2", F.when(near[0], answer(ends[0])).when(near[1], answer(ends[1])).alias("met")).select("*", "met.*").drop("met")
     met = written(met, "met")
     one, two = (prints.select(F.col("node").alias(x), F.col("fp").alias(f"fp_{x}")) for x in "ab")
     second = fresh(closest(met.filter("b is not null")), first)
@@ -370,7 +374,7 @@ def wide_roots(prints: DataFrame, radius: int, half: int | None = None, alike: C
     groups = several.groupBy("part").agg(F.min("group").alias("low"), F.max("group").alias("high"))
     several = several.join(two, "b")
     full = full.join(groups, F.col("key") == F.col("part")).filter("g != low or g != high").drop("part")
-    meets = (F.col("key") == F.col("part")) & (F.col("g") != F.col("group")) & close(F.col("b_0"), F.col("b_1")) & whole("fp_a", "fp_b")
+    meets = (F.col("key") == F.col("part")) & (F.col("g") != F.col("group")) & (_apart([F.col("word_1"), F.col("word_2")], [F.col("b_0"), F.col("b_1")]) <= half) & whole("fp_a", "fp_b")
     third = full.join(several, meets).select("a", "b", F.col("g").alias("g_a"), F.col("group").alias("g_b"), _apart(_longs("fp_a"), _longs("fp_b")).alias("apart"))
     third = written(third.distinct(), "links")
     tried = written(fresh(closest(third), first.union(second)), "links")
